@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, repair
+from . import decontam, exact_dedup, lm, packing, quality, repair, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +20,33 @@ def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(_table(spark, sf_dir, "documents"), end=2)
 
 
+def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), end=1, with_ids=False).drop("ids")
 
 
+def op8_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
+def op9_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_repair_token_files, op6_ffd_packing)}
+    return {q.__name__: q for q in (op1_repair_token_files, op3_winnowing_decontamination, op5_quadratic_quality, op6_ffd_packing, op8_perfect_hash_dedup, op9_ball_simhash, op10_bloom_lm)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -56,3 +57,11 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
             pass
 
     atexit.register(clean)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (doc_id, key) names, one of those with equal id and key, with the columns of ``docs``."""
+    own = docs.withColumn("__sl_key", key)
+    named = kept.select(F.col("doc_id").alias("__sl_id"), F.col("key").alias("__sl_named")).distinct()
+    found = own.join(named, own["doc_id"].eqNullSafe(F.col("__sl_id")) & (own["__sl_key"] == F.col("__sl_named")), "left_semi")
+    return found.dropDuplicates(["doc_id", "__sl_key"]).select(*docs.columns)
