@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, lm, packing, quality, repair, simhash
+from . import decontam, exact_dedup, licenses, lm, packing, pii, quality, repair, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +20,23 @@ def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(_table(spark, sf_dir, "documents"), end=2)
 
 
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
 def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of(kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
+
+
 def op5_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -33,6 +45,10 @@ def op6_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), end=1, with_ids=False).drop("ids")
 
 
+def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
@@ -45,9 +61,44 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_repair_token_files,
+    op2_bootstrapped_pii,
+    op3_winnowing_decontamination,
+    op4_entropy_secrets,
+    op5_quadratic_quality,
+    op6_ffd_packing,
+    op7_license_digests,
+    op8_perfect_hash_dedup,
+    op9_ball_simhash,
+    op10_bloom_lm,
+)
+
+#: Lower-casing of A-Z only, as an argument of DuckDB's translate.
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP8_SQL = f"""WITH own AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_AZ})) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AND row_number() OVER (PARTITION BY text_sha256, doc_id) = 1 AS kept, text_sha256
+FROM own WINDOW g AS (PARTITION BY text_sha256)"""
+
+OP3_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+n AS (SELECT DISTINCT least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, n WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_repair_token_files, op3_winnowing_decontamination, op5_quadratic_quality, op6_ffd_packing, op8_perfect_hash_dedup, op9_ball_simhash, op10_bloom_lm)}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against brute force."""
+    return {"op3_winnowing_decontamination": OP3_SQL.replace("\\\\", "\\"), "op7_license_digests": licenses.sql(), "op8_perfect_hash_dedup": OP8_SQL}
