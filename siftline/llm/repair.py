@@ -52,7 +52,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = 6, rounds: int =
         inside = np.ones(len(a), dtype=bool)
         inside[starts[(starts > 0) & (starts < len(seq))] - 1] = False
         counts = np.bincount(slot[inside], minlength=1 << _SLOTS)
-        floor = max(least, int(np.partition(counts, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]))
+        above = np.cumsum(np.bincount(np.minimum(counts, 1 << 14))[::-1])[::-1]  # slots with so many pairs or more
+        floor = max(least, int(np.searchsorted(-above, -2 * RULES_A_ROUND)))
         some = np.flatnonzero(inside & (counts[slot] >= floor))
         keys, often = np.unique((a[some].astype(np.int64) << 32) | b[some], return_counts=True)
         keys, often = keys[often >= least], often[often >= least]

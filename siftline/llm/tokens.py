@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
 from .bytesops import ragged
 
-MOST_PARTS = 600_000
+MOST_PARTS = 1_500_000
 _CUT = re.compile(r"(?<=\S) ")
 _ODD = re.compile(r"\s ")
 _SPACE = re.compile(r"\s")
+_STOPS = ".,"
 _NEWLINE = 198  # the id of a line feed, which stands between parts that are encoded together
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -35,11 +37,11 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict = {}  # a str follows a space, a tuple of one str does not
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _keep(self, parts: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    def _keep(self, parts: list, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         k, n = len(self.place), len(parts)
         while k + n > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
@@ -50,21 +52,36 @@ class Encoder:
         self.place.update(zip(parts, range(k, k + n), strict=True))
         self.used += len(ids)
 
-    def _learn(self, parts: list[str]) -> None:
-        """Parts without white space but one leading space share calls, a line feed between two of them."""
-        plain = [p for p in parts if self.joins and p[:1] == " " and len(p) > 1 and not _SPACE.search(p, 1)]
+    def _learn(self, parts: list) -> None:
+        """Ids of new parts. A word and the stops behind it never share a token, so stems are encoded and stops added."""
+        ended, new = [], {}
+        for p in parts:
+            if type(p) is str and p[-1:] in _STOPS and (stem := p.rstrip(_STOPS))[-1:].isalpha():
+                ended.append((p, stem, (p[len(stem) :],)))
+                new[stem] = new[ended[-1][2]] = None
+            else:
+                new[p] = None
+        self._encode_new([p for p in new if p not in self.place])
+        if ended:
+            places = np.array([(self.place[stem], self.place[stops]) for _, stem, stops in ended]).ravel()
+            lengths = self.lengths[places]
+            ids = self.pool[ragged(self.starts[places], lengths)]
+            own = lengths.reshape(-1, 2).sum(axis=1)
+            self._keep([p for p, _, _ in ended], ids, np.cumsum(own) - own, own)
+
+    def _encode_new(self, parts: list) -> None:
+        """Parts without white space share calls, a line feed between two of them."""
+        plain = [p for p in parts if self.joins and type(p) is str and p and not _SPACE.search(p)]
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for k in range(0, len(groups), 64):
             some = groups[k : k + 64]
-            for e in self.tokenizer.encode_batch_fast(["\n".join(g) for g in some], add_special_tokens=False):
-                group, ids = groups[k], np.array(e.ids, dtype=np.int32)
-                k += 1
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" " + "\n ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=np.int32)
                 cuts = np.flatnonzero(ids == _NEWLINE)
                 starts = np.concatenate([[0], cuts + 1])
                 self._keep(group, ids, starts, np.concatenate([cuts, [len(ids)]]) - starts)
-        known = set(plain)
-        rest = [p for p in parts if p not in known]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+        rest = [p for p in parts if p not in self.place]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p[0] if type(p) is tuple else " " + p for p in rest], add_special_tokens=False) if rest else [], strict=True):
             ids = np.array(e.ids, dtype=np.int32)
             self._keep([p], ids, np.zeros(1, np.int64), np.array([len(ids)]))
 
@@ -72,21 +89,17 @@ class Encoder:
         """Ids of all texts, each closed by ``end``, and the n + 1 places where the texts begin."""
         if len(self.place) > MOST_PARTS:
             self._clear()
-        parts: list[str] = []
+        parts: list = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
-            if own[0] == "" and len(own) > 1:  # the text begins with a space
-                own = own[1:]
-                parts.append(" " + own[0])
-            else:
-                parts.append(own[0])
-            parts.extend([" " + p for p in own[1:]])
+            own: list = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
+            own[0] = (own[0],)  # the one part that no space precedes
+            parts += own
             counts[i] = len(own)
-        fresh = list({p: None for p in parts if p not in self.place})
-        if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        at = np.fromiter(map(self.place.get, parts, repeat(-1)), np.int64, len(parts))
+        if len(missing := np.flatnonzero(at < 0)):
+            self._learn(list(dict.fromkeys(parts[i] for i in missing.tolist())))
+            at[missing] = np.fromiter((self.place[parts[i]] for i in missing.tolist()), np.int64, len(missing))
         lengths = self.lengths[at]
         ids = self.pool[ragged(self.starts[at], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
