@@ -1,10 +1,10 @@
 """First-fit decreasing packing of documents into fixed-length sequences.
 
-Documents are encoded and cut into pieces of at most ``capacity`` ids. A full piece is a sequence of
-its own. The rest of each document goes to a random group of about ``group_rows`` documents; in each
-group, pieces in descending length go to the first open sequence with room, found in a tournament
-tree of the capacities. Groups are independent, of bounded size and drawn by row, not by key, so no
-source or repeated ``doc_id`` makes one group large.
+Documents are encoded and cut into pieces of at most ``capacity`` ids. Each piece goes to a random
+group, about one for every ``group_rows`` documents; in each group, pieces in descending length go
+to the first sequence with room, found in a tournament tree of the capacities, so a full piece is a
+sequence of its own. Groups are independent, of bounded size and drawn for each piece, not by key, so
+no source, repeated ``doc_id`` or long document makes one group large.
 
 Rows: a null text is empty (its only id is the end id); repeated rows and ids are packed each on its
 own; an empty table gives no piece. Extra columns are not read.
@@ -20,14 +20,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bytesops import U64, mix
 from .tokens import default_vocabulary, encoder
 
 CAPACITY = 2048
 GROUP_ROWS = 4096
-_GROUPED = 1 << 62  # ids of sequences that hold several pieces begin here
 
 
 class CapacityTree:
@@ -66,7 +64,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 
 
 def cut_documents(docs: DataFrame, groups: int, end: int = 1, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = True, seed: int = 7) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (of full pieces), group, ids.
+    """Pieces of at most ``capacity`` ids: doc_id, start, length, ids_crc32, doc_tokens, group, ids.
 
     ``ids`` is null unless ``with_ids``: little-endian unsigned 32-bit integers.
     """
@@ -74,7 +72,7 @@ def cut_documents(docs: DataFrame, groups: int, end: int = 1, capacity: int = CA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), encoder(file).encode
-        rows = full = 0
+        seen = 0
         for batch in batches:
             texts, keys = batch.column(1), batch.column(0)
             for lo in range(0, len(texts), 64):
@@ -88,16 +86,14 @@ def cut_documents(docs: DataFrame, groups: int, end: int = 1, capacity: int = CA
                 view = memoryview(ids.astype("<u4")).cast("B")
                 cuts = [view[4 * a : 4 * b] for a, b in zip((at[doc] + start).tolist(), (at[doc] + start + length).tolist(), strict=True)]
                 with np.errstate(over="ignore"):
-                    drawn = mix(U64(seed) * U64(0x9E3779B97F4A7C15) + (U64(part) << U64(40)) + (rows + np.arange(len(n))).astype(U64))
-                whole = length == capacity
-                own = (np.int64(part) << 36) + full + np.cumsum(whole) - 1
-                rows, full = rows + len(n), full + int(whole.sum())
+                    drawn = mix(U64(seed) * U64(0x9E3779B97F4A7C15) + (U64(part) << U64(40)) + (seen + np.arange(len(doc))).astype(U64))
+                seen += len(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(lo, 64).take(pa.array(doc)).cast(pa.int64()), pa.array(start), pa.array(length), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(n[doc]), pa.array(own, mask=~whole), pa.array((drawn % U64(groups)).astype(np.int64)[doc]), pa.array([c.tobytes() for c in cuts] if with_ids else [None] * len(cuts), pa.binary())],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "group", "ids"],
+                    [keys.slice(lo, 64).take(pa.array(doc)).cast(pa.int64()), pa.array(start), pa.array(length), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(n[doc]), pa.array((drawn % U64(groups)).astype(np.int64)), pa.array([c.tobytes() for c in cuts] if with_ids else [None] * len(cuts), pa.binary())],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group", "ids"],
                 )
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, group long, ids binary"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group long, ids binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -107,7 +103,7 @@ _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _pack_group(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
     sequence, offset = first_fit_decreasing(rows["length"].to_numpy())
-    rows = rows.assign(sequence_id=_GROUPED + (rows["group"].to_numpy() << 24) + sequence, offset=offset)
+    rows = rows.assign(sequence_id=(rows["group"].to_numpy() << 24) + sequence, offset=offset)
     return rows[[c.split()[0] for c in _PACKED.split(", ")]]
 
 
@@ -118,7 +114,4 @@ def pack_documents(docs: DataFrame, end: int = 1, vocabulary: str | None = None,
     """
     groups = max(1, -(-docs.count() // group_rows))
     pieces = cut_documents(docs, groups, end, CAPACITY, vocabulary, with_ids)
-    whole = pieces.filter(F.col("sequence_id").isNotNull()).withColumn("offset", F.lit(0).cast("long"))
-    parts = pieces.filter(F.col("sequence_id").isNull()).drop("sequence_id")
-    packed = parts.groupBy("group").applyInPandas(_pack_group, _PACKED)
-    return whole.select(*packed.columns).unionByName(packed)
+    return pieces.groupBy("group").applyInPandas(_pack_group, _PACKED)
