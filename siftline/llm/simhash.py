@@ -55,7 +55,7 @@ def fingerprint(text: Column | str, shingle: int = SHINGLE) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            own = [fingerprint_of((t or "").encode(), shingle) for t in column.to_pylist()]
+            own = [fingerprint_of((t.as_py() or "").encode(), shingle) for t in column]  # one text at a time
             yield pa.array(np.array(own, dtype=np.uint64).view(np.int64))
 
     return F.arrow_udf(run, "long")(text)

@@ -16,7 +16,7 @@ import numpy as np
 
 from .bytesops import ragged
 
-MOST_PARTS = 1_500_000
+MOST_PARTS = 400_000
 _CUT = re.compile(r"(?<=\S) ")
 _ODD = re.compile(r"\s ")
 _SPACE = re.compile(r"\s")
