@@ -296,7 +296,7 @@ def fuse_pages(spark, sf_dir):
     f"""WITH {_TOKENS_SQL}, {_LISTS}, r AS (SELECT doc_id, sum(1.0 / (60 + pos)) AS rrf FROM lists GROUP BY doc_id),
 p AS (SELECT doc_id, rrf, score AS content, greatest(0.5, CASE WHEN source = 'src1' THEN 0.9 WHEN source = 'src2' THEN 0.85 ELSE 0 END) AS trust, CASE WHEN doc_id % 5 > 0 THEN 2000 + doc_id % 25 END AS year FROM r JOIN bm USING (doc_id) JOIN docs USING (doc_id)),
 e AS (SELECT max(content) AS mc, max(rrf) AS mr, min(year) AS y0, max(year) AS y1 FROM p)
-SELECT doc_id, round(round(0.45 * rrf / greatest(1e-9, mr) + 0.35 * content / greatest(1e-9, mc) + 0.15 * trust + 0.05 * CASE WHEN year IS NULL OR y1 <= y0 THEN 0.5 ELSE (year - y0) / (y1 - y0) END, 6), 5) AS blended FROM p, e"""
+SELECT doc_id, round(0.45 * rrf / greatest(1e-9, mr) + 0.35 * content / greatest(1e-9, mc) + 0.15 * trust + 0.05 * CASE WHEN year IS NULL OR y1 <= y0 THEN 0.5 ELSE (year - y0) / (y1 - y0) END, 6) AS blended FROM p, e"""
 )
 def blend_scores(spark, sf_dir):
     rrf = fusion.rrf(_three_lists(spark, sf_dir), "doc_id").withColumnRenamed("score", "rrf")
@@ -304,7 +304,7 @@ def blend_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     backend = F.when(F.col("source") == "src1", "arxiv").when(F.col("source") == "src2", "wikipedia").otherwise("web")
     pool = rrf.join(content, "doc_id").join(docs.select("doc_id", ranking.trust(backend).alias("trust"), F.when(F.col("doc_id") % 5 > 0, 2000 + F.col("doc_id") % 25).alias("year")), "doc_id")
-    return ranking.blend(pool).select("doc_id", F.round("blended", 5).alias("blended"))
+    return ranking.blend(pool).select("doc_id", "blended")
 
 
 @query("WITH y AS (SELECT o_orderkey, year(o_orderdate) AS y FROM orders), e AS (SELECT min(y) AS a, max(y) AS b FROM y) SELECT o_orderkey, CASE WHEN b <= a THEN 0.5 ELSE round((y - a) / (b - a), 6) END AS recency FROM y, e")
