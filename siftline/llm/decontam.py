@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import ALNUM, LOWER, U64, ngram_hashes, ragged, segment, span_hashes, text_chunks
+from .shared import text_batches
 
 K = 5
 WINDOW = 13
@@ -179,6 +180,7 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def contamination(text: Column | str, benchmark: DataFrame, window: int = WINDOW, k: int = K, page_bytes: int = PAGE_BYTES) -> Column:
     """A struct column for each text: n_words, n_hit, item_ids (sorted), spans of hit words (disjoint, ascending)."""
+    text_batches(benchmark.sparkSession)
     pages = _pages(benchmark, window, k, page_bytes)
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, NONSPACE, U64, mix, segment, span_hashes, text_chunks
-from .shared import materialise
+from .shared import materialise, text_batches
 
 ADD = 0.1
 MU = 200.0
@@ -241,6 +241,7 @@ class Model:
 def fit(texts: DataFrame, mu: float = MU) -> Model:
     """Counts the column ``text`` of all rows of ``texts``; null is empty."""
     spark = texts.sparkSession
+    text_batches(spark)
     total = texts.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("texts")).first()
     bits = max(0, (-(-(total.n or 0) // BLOCK_BYTES) - 1).bit_length()) if total.n else 0
     counted = texts.select("text").mapInArrow(_count(bits), _COUNTS)

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bytesops import U64, mix
+from .shared import text_batches
 from .tokens import default_vocabulary, encoder
 
 CAPACITY = 2048
@@ -68,6 +69,7 @@ def cut_documents(docs: DataFrame, groups: int, end: int = 1, capacity: int = CA
 
     ``ids`` is null unless ``with_ids``: little-endian unsigned 32-bit integers.
     """
+    text_batches(docs.sparkSession)
     file = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

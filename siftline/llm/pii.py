@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 3  # distinct seeds that a pattern needs before it is trusted
@@ -177,6 +177,7 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id; ``base`` and ``spans``, arrays of (start, rank of the kind, end) in order; ``spans`` has the discovered ones too."""
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", scan("text").alias("found")).select("doc_id", "found.*", F.monotonically_increasing_id().alias("row"))
     rows = materialise(rows, "pii")
     seen = rows.select("row", F.explode("instances").alias("i")).select("row", "i.*")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, NONSPACE, U64, mix, ngram_hashes, segment, span_hashes, text_chunks
+from .shared import text_batches
 
 THRESHOLD = 0.7
 TO_POOLED = 0.1
@@ -133,6 +134,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY) -> Discriminant:
     """Learns from all rows of ``docs`` that ``labels`` (doc_id, label) names; only sums of fixed size reach the driver."""
+    text_batches(docs.sparkSession)
     labels = labels.filter("label is not null").groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
     rows = docs.select("doc_id", document_statistics("text").alias("x")).join(labels, "doc_id").select("x", "label")
     sums = rows.mapInArrow(_moments, "k int, place int, value double").groupBy("k", "place").agg(F.sum("value").alias("value")).collect()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesops import ragged
-from .shared import new_path
+from .shared import new_path, text_batches
 from .tokens import default_vocabulary, encoder
 
 FIRST_RULE = 1 << 17  # above every id of the vocabularies in use
@@ -197,6 +197,7 @@ def _build(vocabulary: str, end: int, shard_ids: int):
 
 def write_token_files(docs: DataFrame, path: str, end: int, vocabulary: str | None = None, shard_ids: int = SHARD_IDS) -> None:
     """Encodes the texts and writes the file set to ``path``, shards in ascending ``doc_id`` order."""
+    text_batches(docs.sparkSession)
     run = _build(vocabulary or default_vocabulary(), end, shard_ids)
     ordered = docs.select("doc_id", "text").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)

@@ -59,6 +59,16 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(clean)
 
 
+ROWS_A_BATCH = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Whole texts are long: unless the session says otherwise, fewer of them than Spark's default go to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ROWS_A_BATCH:
+        spark.conf.set(key, str(ROWS_A_BATCH))
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
     """The rows of ``docs`` that ``kept`` (doc_id, key) names, one of those with equal id and key, with the columns of ``docs``."""
     own = docs.withColumn("__sl_key", key)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_rows, materialise
+from .shared import keep_rows, materialise, text_batches
 
 SHINGLE = 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -65,7 +65,8 @@ def links(prints: DataFrame) -> DataFrame:
     """Distinct verified links (a, b), a < b, that connect all of the distinct ``fp`` at most 2 bits apart."""
     shifts = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
     ball = F.array(*[F.struct(F.col("fp").bitwiseXOR(F.lit(s).cast("long")).alias("value"), F.lit(s).cast("long").alias("bit")) for s in shifts], F.struct(F.col("fp").alias("value"), F.lit(0).cast("long").alias("bit")))
-    balls = prints.select(F.explode(ball).alias("x")).select("x.value", "x.bit").groupBy("value").agg(F.bit_or("bit").alias("mask"), F.max(F.col("bit") == 0).alias("centre"))
+    # dealt by value before the grouping: hardly any value repeats in one task, so a partial aggregate would only take memory
+    balls = prints.select(F.explode(ball).alias("x")).select("x.value", "x.bit").repartition("value").groupBy("value").agg(F.bit_or("bit").alias("mask"), F.max(F.col("bit") == 0).alias("centre"))
     balls = balls.filter(F.bit_count("mask") + F.col("centre").cast("int") > 1)
     around = F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("mask"), i) == 1), lambda i: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     members = F.concat(around, F.when(F.col("centre"), F.array("value")).otherwise(F.array().cast("array<long>")))
@@ -99,6 +100,7 @@ def fingerprint_components(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
+    text_batches(docs.sparkSession)
     rows = materialise(docs.select("doc_id", fingerprint("text", shingle).alias("fp")), "fingerprints")
     out = rows.join(fingerprint_components(rows), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -106,6 +108,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The document of least ``doc_id`` in each component, with all its columns; of rows with equal id and text one stays."""
+    text_batches(docs.sparkSession)
     rows = materialise(docs.select("doc_id", F.xxhash64("text").alias("key"), fingerprint("text", shingle).alias("fp")), "fingerprints")
     joined = rows.join(fingerprint_components(rows), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # two texts of one component may share its least id
