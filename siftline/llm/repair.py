@@ -48,13 +48,13 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = 6, rounds: int =
         if len(seq) < 2:
             break
         a, b = seq[:-1], seq[1:]
-        slot = _slots(a, b)
-        inside = np.ones(len(a), dtype=bool)
-        inside[starts[(starts > 0) & (starts < len(seq))] - 1] = False
-        counts = np.bincount(slot[inside], minlength=1 << _SLOTS)
+        slot = _slots(a, b).astype(np.intp)
+        slot[starts[(starts > 0) & (starts < len(seq))] - 1] = 1 << _SLOTS  # a slot beside, for pairs across a border
+        counts = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
+        counts[-1] = 0
         above = np.cumsum(np.bincount(np.minimum(counts, 1 << 14))[::-1])[::-1]  # slots with so many pairs or more
         floor = max(least, int(np.searchsorted(-above, -2 * RULES_A_ROUND)))
-        some = np.flatnonzero(inside & (counts[slot] >= floor))
+        some = np.flatnonzero((counts >= floor)[slot])
         keys, often = np.unique((a[some].astype(np.int64) << 32) | b[some], return_counts=True)
         keys, often = keys[often >= least], often[often >= least]
         order = np.lexsort((keys, -often))
@@ -64,19 +64,23 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = 6, rounds: int =
         if not len(first):
             break
         left, right = left[first], right[first]
-        table = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        table = np.full((1 << _SLOTS) + 1, -1, dtype=np.int32)
         table[_slots(left, right)] = np.arange(len(left), dtype=np.int32)
-        rule = table[slot]
-        hits = np.flatnonzero((rule >= 0) & inside)
-        hits = hits[(left[rule[hits]] == a[hits]) & (right[rule[hits]] == b[hits])]
+        hits = np.flatnonzero((table >= 0)[slot])
+        rule = table[slot[hits]]
+        same = (left[rule] == a[hits]) & (right[rule] == b[hits])
+        hits, rule = hits[same], rule[same]
         # leftmost first: of a run of overlapping pairs, every second is replaced
         new_run = np.concatenate([[True], np.diff(hits) > 1])
         heads = np.maximum.accumulate(np.where(new_run, hits, 0))
-        hits = hits[(hits - heads) % 2 == 0]
-        seq = seq.copy()
-        seq[hits] = FIRST_RULE + len(rules) + rule[hits]
+        even = (hits - heads) % 2 == 0
+        hits, rule = hits[even], rule[even]
         before = len(seq)
-        seq = np.delete(seq, hits + 1)
+        stay = np.ones(before, dtype=bool)
+        stay[hits + 1] = False
+        seq = seq.copy()
+        seq[hits] = FIRST_RULE + len(rules) + rule
+        seq = seq[stay]
         starts = starts - np.searchsorted(hits + 1, starts)
         own = np.stack([left, right], axis=1)
         lengths = np.concatenate([lengths, _lengths_of(own.ravel(), lengths).reshape(-1, 2).sum(axis=1)])
