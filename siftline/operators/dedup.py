@@ -106,7 +106,7 @@ def diversify(pool: DataFrame, group: str, weight: float = LAMBDA) -> DataFrame:
         picked, left = ([*range(n)], []) if n <= 2 else ([0], [*range(1, n)])
         near = {i: alike[i][0] / most if most else 0.0 for i in left}
         while left:
-            best = max(left, key=lambda i: (weight * gain[i] - (1 - weight) * near[i], -rows["id"][i]))
+            best = min(left, key=lambda i: ((1 - weight) * near[i] - weight * gain[i], rows["id"][i]))
             left.remove(best)
             picked.append(best)
             for i in left:
