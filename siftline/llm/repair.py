@@ -30,6 +30,7 @@ FIRST_RULE = 1 << 17  # above every id of the vocabularies in use
 SHARD_IDS = 1 << 20
 RULES_A_ROUND = 4096
 ROUNDS = 12
+MOST_PARTS = 800_000
 _SLOTS = 20
 
 SHARD_SCHEMA = "part int, shard int, n_tokens long, doc_ids array<long>, doc_tokens array<int>, doc_symbols array<int>, rules binary, rule_lengths binary, symbols binary"
@@ -166,7 +167,7 @@ def _build(vocabulary: str, end: int, shard_ids: int):
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("doc_symbols", pa.list_(pa.int32())), ("rules", pa.binary()), ("rule_lengths", pa.binary()), ("symbols", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, encode = TaskContext.get().partitionId(), 0, encoder(vocabulary).encode
+        part, shard, encode = TaskContext.get().partitionId(), 0, encoder(vocabulary, MOST_PARTS).encode
         keys: list = []
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []

@@ -3,7 +3,7 @@
 The byte-level pre-tokeniser never joins a non-space character with a space that follows it, so a
 text may be cut before each space that has a non-space before it, and the ids of the parts are the
 ids of the text. Parts repeat (they are mostly words), so each distinct part is encoded once and its
-ids are copied from then on. The memory of the table of parts is bounded by ``MOST_PARTS``.
+ids are copied from then on. The table of parts is emptied when it has more than ``most_parts``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ _LOADED: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_parts: int):
+        self.most_parts = most_parts
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -87,7 +88,7 @@ class Encoder:
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``, and the n + 1 places where the texts begin."""
-        if len(self.place) > MOST_PARTS:
+        if len(self.place) > self.most_parts:
             self._clear()
         parts: list = []
         counts = np.zeros(len(texts), np.int64)
@@ -107,10 +108,11 @@ class Encoder:
         return out.astype(np.int32), np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and vocabulary file."""
+def encoder(path: str, most_parts: int = MOST_PARTS) -> Encoder:
+    """One encoder for each worker process and vocabulary file; some 300 bytes for each part that it remembers."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        _LOADED[path] = Encoder(path, most_parts)
+    _LOADED[path].most_parts = most_parts
     return _LOADED[path]
 
 
