@@ -26,8 +26,7 @@ NEUTRAL_TRUST = 0.5
 
 def field_tokens(title: Column, headings: Column, body: Column) -> Column:
     """Tokens of the body, then those of the headings twice, then those of the title three times."""
-    h, t = tokens(headings), tokens(title)
-    return F.concat(tokens(body), *[h] * HEADING_WEIGHT, *[t] * TITLE_WEIGHT)
+    return F.concat(tokens(body), F.flatten(F.array_repeat(tokens(headings), HEADING_WEIGHT)), F.flatten(F.array_repeat(tokens(title), TITLE_WEIGHT)))
 
 
 def _close(hits: Column) -> Column:
@@ -42,14 +41,12 @@ def document_hits(docs: DataFrame, doc_id: str, terms: list[str], title: Column,
     return df.select(doc_id, F.size("tokens").alias("dl"), places.alias("hits"))
 
 
-def _frequency(term: str) -> Column:
-    return F.size(F.filter("hits", lambda h: h["term"] == term)).cast("double")
-
-
-def corpus_statistics(hits: DataFrame, terms: list[str]) -> DataFrame:
-    """One row: n, avgdl, and df of each term as an array."""
-    df = F.array(*[F.sum((_frequency(t) > 0).cast("long")) for t in terms])
-    return hits.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), df.alias("df"))
+def corpus_statistics(hits: DataFrame) -> DataFrame:
+    """One row: n, avgdl, and df, a map from each term of the question to its number of documents."""
+    size = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    terms = hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["term"]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counts = terms.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))  # as many as the question has
+    return size.crossJoin(counts)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -62,12 +59,15 @@ def bm25(docs: DataFrame, doc_id: str, question: str, title: Column, text: Colum
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched"))
     hits = document_hits(docs, doc_id, terms, title, text)
-    rows = hits.crossJoin(F.broadcast(corpus_statistics(hits, terms)))  # one row of fixed size
-    norm = 1 - B + B * F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0)
-    score = F.lit(0.0)
-    for k, term in enumerate(terms):
-        f = _frequency(term)
-        score = score + F.when(f > 0, idf(F.col("n"), F.get("df", F.lit(k))) * f * (K1 + 1) / (f + K1 * norm)).otherwise(0.0)
+    rows = hits.crossJoin(F.broadcast(corpus_statistics(hits)))  # one row of fixed size
+    rows = rows.withColumn("norm", 1 - B + B * F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0))
+
+    def part(term: Column) -> Column:
+        f = F.size(F.filter("hits", lambda h: h["term"] == term)).cast("double")
+        return idf(F.col("n"), F.element_at("df", term)) * f * (K1 + 1) / (f + K1 * F.col("norm"))
+
+    found = F.array_distinct(F.transform("hits", lambda h: h["term"]))
+    score = F.aggregate(found, F.lit(0.0), lambda total, term: total + part(term))
     if proximity and len(terms) >= 2:
         bonus = F.least(F.lit(BONUS), BONUS * _close(F.col("hits")) / max(1, len(terms) - 1))
         score = score * (1 + F.when(F.size("hits") >= 2, bonus).otherwise(0.0))
