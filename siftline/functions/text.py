@@ -64,10 +64,15 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Folded terms of a text in order, repeats kept, stopwords and single characters dropped."""
-    kept = F.filter(words(text), lambda t: (F.length(t) >= 2) & ~is_stopword(t))
-    plain = F.transform(kept, lambda t: deaccent(F.lower(t)))
-    return F.filter(F.transform(plain, fold_plural), lambda t: F.length(t) >= 2)
+    """Folded terms of a text in order, repeats kept, stopwords and single characters dropped.
+
+    The text is lower-cased as a whole; accents are looked up only in words with a character beyond
+    ASCII, and plural endings only in words that end in s.
+    """
+    kept = F.filter(words(F.lower(text)), lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
+    plain = F.transform(kept, lambda t: F.when(F.octet_length(t) > F.length(t), deaccent(t)).otherwise(t))
+    folded = F.transform(plain, lambda t: F.when(t.endswith("s"), fold_plural(t)).otherwise(t))
+    return F.filter(folded, lambda t: F.length(t) >= 2)
 
 
 def first_of_each(items: Column, key=F.lower) -> Column:

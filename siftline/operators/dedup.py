@@ -32,7 +32,7 @@ def _block_keys(fp: Column, bits: int) -> Column:
 
 def near_pairs(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct ``fp`` at most ``bits`` apart. Each pair is verified and given once."""
-    keyed = prints.select("fp").distinct().select("fp", F.explode(_block_keys(F.col("fp"), bits)).alias("key"))
+    keyed = _cut(prints.select("fp").distinct()).select("fp", F.explode(_block_keys(F.col("fp"), bits)).alias("key"))
     left, right = keyed.select(F.col("fp").alias("a"), "key"), keyed.select(F.col("fp").alias("b"), "key")
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= bits))
     return pairs.select("a", "b").distinct()

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import heading_lines, query_tokens, tokens
 
+from .dedup import _cut as cut
+
 K1, B = 1.2, 0.75
 TITLE_WEIGHT, HEADING_WEIGHT = 3, 2
 WINDOW, BONUS = 6, 0.1
@@ -58,7 +60,7 @@ def bm25(docs: DataFrame, doc_id: str, question: str, title: Column, text: Colum
     terms = query_tokens(question)
     if not terms:
         return docs.select(doc_id, F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched"))
-    hits = document_hits(docs, doc_id, terms, title, text)
+    hits = cut(document_hits(docs, doc_id, terms, title, text))  # small beside the texts, which are read once
     rows = hits.crossJoin(F.broadcast(corpus_statistics(hits)))  # one row of fixed size
     rows = rows.withColumn("norm", 1 - B + B * F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0))
 
