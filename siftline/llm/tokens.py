@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -32,9 +32,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = self.tokenizer.encode(" a\n b", add_special_tokens=False).ids
-        alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" a", "\n", " b")]
-        self.joins = alone[1] == [_NEWLINE] and probe == alone[0] + alone[1] + alone[2]
+        ids = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" a", "b", "\n", " c", " a\n c", "b\nb")}
+        self.joins = ids["\n"] == [_NEWLINE] and ids[" a\n c"] == ids[" a"] + [_NEWLINE] + ids[" c"] and ids["b\nb"] == ids["b"] + [_NEWLINE] + ids["b"]
         self._clear()
 
     def _clear(self) -> None:
@@ -58,8 +57,9 @@ class Encoder:
         ended, new = [], {}
         for p in parts:
             if type(p) is str and p[-1:] in _STOPS and (stem := p.rstrip(_STOPS))[-1:].isalpha():
-                ended.append((p, stem, (p[len(stem) :],)))
-                new[stem] = new[ended[-1][2]] = None
+                stops = (p[len(stem) :],)
+                ended.append((p, stem, stops))
+                new[stem] = new[stops] = None
             else:
                 new[p] = None
         self._encode_new([p for p in new if p not in self.place])
@@ -72,19 +72,30 @@ class Encoder:
 
     def _encode_new(self, parts: list) -> None:
         """Parts without white space share calls, a line feed between two of them."""
-        plain = [p for p in parts if self.joins and type(p) is str and p and not _SPACE.search(p)]
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        if self.joins:
+            spaced: list = []
+            bare: list = []
+            for p in parts:
+                word, group = (p, spaced) if type(p) is str else (p[0], bare)
+                if word.isalnum() or word and not _SPACE.search(word):
+                    group.append(p)
+            self._encode_joined(spaced, " ", "\n ".join)
+            self._encode_joined(bare, "", lambda g: "\n".join(p[0] for p in g))
+        rest = [p for p in parts if p not in self.place]
+        if rest:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p[0] if type(p) is tuple else " " + p for p in rest], add_special_tokens=False)]
+            lengths = np.array([len(x) for x in found], np.int64)
+            self._keep(rest, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), np.cumsum(lengths) - lengths, lengths)
+
+    def _encode_joined(self, parts: list, begin: str, join) -> None:
+        groups = [parts[i : i + 256] for i in range(0, len(parts), 256)]
         for k in range(0, len(groups), 64):
             some = groups[k : k + 64]
-            for group, e in zip(some, self.tokenizer.encode_batch_fast([" " + "\n ".join(g) for g in some], add_special_tokens=False), strict=True):
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([begin + join(g) for g in some], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, dtype=np.int32)
                 cuts = np.flatnonzero(ids == _NEWLINE)
                 starts = np.concatenate([[0], cuts + 1])
                 self._keep(group, ids, starts, np.concatenate([cuts, [len(ids)]]) - starts)
-        rest = [p for p in parts if p not in self.place]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p[0] if type(p) is tuple else " " + p for p in rest], add_special_tokens=False) if rest else [], strict=True):
-            ids = np.array(e.ids, dtype=np.int32)
-            self._keep([p], ids, np.zeros(1, np.int64), np.array([len(ids)]))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``, and the n + 1 places where the texts begin."""
@@ -99,8 +110,9 @@ class Encoder:
             counts[i] = len(own)
         at = np.fromiter(map(self.place.get, parts, repeat(-1)), np.int64, len(parts))
         if len(missing := np.flatnonzero(at < 0)):
-            self._learn(list(dict.fromkeys(parts[i] for i in missing.tolist())))
-            at[missing] = np.fromiter((self.place[parts[i]] for i in missing.tolist()), np.int64, len(missing))
+            absent = list(map(parts.__getitem__, missing.tolist()))
+            self._learn(list(dict.fromkeys(absent)))
+            at[missing] = np.fromiter(map(self.place.__getitem__, absent), np.int64, len(absent))
         lengths = self.lengths[at]
         ids = self.pool[ragged(self.starts[at], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
