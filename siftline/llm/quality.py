@@ -68,20 +68,21 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_starts, line_ends, lines = segment(buf, offsets, _LINE)
     n_lines = np.diff(lines)
     marked = np.concatenate([[0], np.cumsum(_SYMBOL[buf[ends - 1]])])[words] if len(ends) else np.zeros(len(words))
-    letters, size = np.maximum(count(_LETTER), 1), np.maximum(n, 1)
+    # a few imagined characters, words and lines of usual text keep the shares of short texts from extremes
+    letters, size, own_words, own_lines = count(_LETTER) + 40, n + 50, n_words + 8, n_lines + 2
     pairs = ngram_hashes(np.append(hashes, U64(0)), 2)  # a pair across a border counts for the earlier text
     return np.stack(
         [
             np.log1p(n_words),
-            np.log1p(n / np.maximum(n_words, 1)),
-            np.sqrt(count(_UPPER) / letters),
+            np.log(size / own_words),
+            np.sqrt((count(_UPPER) + 1) / letters),
             np.sqrt(count(_DIGIT) / size),
             np.sqrt(count(_SYMBOL) / size),
-            np.sqrt(count(_STOP) / size),
-            np.sqrt(np.diff(marked) / np.maximum(n_words, 1)),
-            np.log1p(_distinct(hashes, words)) / np.log1p(np.maximum(n_words, 1)),
-            np.log1p(_distinct(pairs, words)) / np.log1p(np.maximum(n_words, 1)),
-            _distinct(span_hashes(low, line_starts, line_ends), lines) / np.maximum(n_lines, 1),
+            np.sqrt((count(_STOP) + 1) / size),
+            np.sqrt(np.diff(marked) / own_words),
+            np.log(_distinct(hashes, words) + 8) / np.log(own_words),
+            np.log(_distinct(pairs, words) + 8) / np.log(own_words),
+            (_distinct(span_hashes(low, line_starts, line_ends), lines) + 2) / own_lines,
             np.log1p(n / np.maximum(n_lines, 1)),
             np.sqrt(count(_HIGH) / size),
         ],
