@@ -263,14 +263,14 @@ def read_hits(responses: DataFrame) -> DataFrame:
     own = {"url": F.coalesce(F.when(F.col("item").rlike("^https?://"), F.col("item")), any_of(HIT_URL)), "title": any_of(HIT_TITLE), "snippet": any_of(HIT_SNIPPET), "score": (F.col("n") - F.col("place")).cast("double")}
     found = rows.select("query", "place", *[own.get(n, F.lit(None)).cast(k).alias(n) for n, k in FIELDS.items()])
     first = found.groupBy("query", "url").agg(F.min("place").alias("place"))
-    return _finish(found.join(first, ["query", "url", "place"], "left_semi"), "claude")
+    return _finish(found.join(first, ["query", "url", "place"], "left_semi"), "supplied")
 
 
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
     **{kind: (lambda df, kind=kind: read_json_responses(df, kind)) for kind in SPECS},
     **{engine: (lambda df, engine=engine: read_result_pages(df, engine)) for engine in SCRAPED},
     "arxiv": read_arxiv,
-    "claude": read_hits,
+    "supplied": read_hits,
 }
 
 
