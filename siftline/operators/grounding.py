@@ -56,20 +56,28 @@ def unsourced_claims(reports: DataFrame) -> DataFrame:
     return u.select("report_id", "file", "unit", F.explode(found).alias("claim")).withColumn("claim", F.substring(F.trim("claim"), 1, 120))
 
 
-def claim_pairs(reports: DataFrame, sources: DataFrame, file: str = "REPORT.md") -> DataFrame:
-    """One row for each claim and source that it cites: claim_id (by order among the claims with a known source), claim, numerals that the source lacks."""
-    claims = claim_strings(reports.filter(F.col("file") == file)).withColumn("source_id", F.explode(source_tokens(F.col("claim"))))
+def _cited_claims(reports: DataFrame, sources: DataFrame, file: str) -> DataFrame:
+    """claim_pairs with the ``numerals`` of the whole claim. Only these and the first 400 characters meet the sources."""
+    claim = F.col("claim")
+    claims = claim_strings(reports.filter(F.col("file") == file)).select(
+        "report_id", "unit", "item", F.substring(F.trim(claim), 1, 400).alias("claim"), numerals(claim).alias("numerals"), F.explode(source_tokens(claim)).alias("source_id")
+    )
     known = claims.join(sources.select("report_id", "source_id", "trust", normalize_numerals(F.col("text")).alias("plain")), ["report_id", "source_id"])
+    absent = F.filter("numerals", lambda n: ~F.col("plain").contains(n))
+    found = known.select("report_id", "unit", "item", "source_id", "claim", "numerals", absent.alias("numerals_absent"), "trust")
     order = Window.partitionBy("report_id").orderBy("unit", "item")
-    known = known.withColumn("claim_id", F.concat(F.lit("C"), F.dense_rank().over(order)))
-    absent = F.filter(numerals(F.col("claim")), lambda n: ~F.col("plain").contains(n))
-    return known.select("report_id", "claim_id", "source_id", F.substring(F.trim("claim"), 1, 400).alias("claim"), absent.alias("numerals_absent"), "trust")
+    return found.withColumn("claim_id", F.concat(F.lit("C"), F.dense_rank().over(order)))
+
+
+def claim_pairs(reports: DataFrame, sources: DataFrame, file: str = "REPORT.md") -> DataFrame:
+    """One row for each claim and source that it cites: claim_id (by order among the claims with a known source), claim (its first 400 characters), numerals that the source lacks."""
+    return _cited_claims(reports, sources, file).select("report_id", "claim_id", "source_id", "claim", "numerals_absent", "trust")
 
 
 def ungrounded_numerals(reports: DataFrame, sources: DataFrame) -> DataFrame:
-    """Numerals of a claim that none of its cited sources has. Claims meet their own sources only, by equality."""
-    pairs = claim_pairs(reports, sources)
-    rows = pairs.select("report_id", "claim_id", F.explode(numerals(F.col("claim"))).alias("numeral"), "numerals_absent")
+    """Numerals of a whole claim that none of its cited sources has. Claims meet their own sources only, by equality."""
+    pairs = _cited_claims(reports, sources, "REPORT.md")
+    rows = pairs.select("report_id", "claim_id", F.explode("numerals").alias("numeral"), "numerals_absent")
     found = rows.groupBy("report_id", "claim_id", "numeral").agg(F.bool_and(F.array_contains("numerals_absent", F.col("numeral"))).alias("absent"))
     return found.filter("absent").drop("absent")
 

@@ -151,6 +151,25 @@ def test_claim_pairs_and_numerals(spark):
     assert rows(grounding.worklist(pairs, 2), "claim_id", "source_id") == [("C1", "S2"), ("C2", "S2")]
 
 
+def test_numerals_of_long_claims(spark):
+    """Against brute force on claims of more than 400 characters, with numerals before, across and behind character 400."""
+    random.seed(5)
+    texts, bodies, want = [], [], set()
+    for r in range(12):
+        cited = random.sample([1, 2, 3], random.randint(1, 2))
+        found = [str(random.randint(10, 99) * 1000 + k) for k in range(3)]
+        head = f"Starts with {found[0]} " + "word " * 200
+        claim = head[: 396 + r % 3] + f" {found[1]} " + "more " * 30 + f"{found[2]} " + "".join(f"[S{s}]" for s in cited)
+        body = {s: " ".join(n for n in found if random.random() < 0.3) for s in (1, 2, 3)}
+        texts.append((r, "REPORT.md", claim))
+        bodies += [(r, f"S{s}", 0.5, t) for s, t in body.items()]
+        want |= {(r, "C1", n) for n in found if not any(n in body[s] for s in cited)}
+    reports = spark.createDataFrame(texts, "report_id long, file string, text string")
+    sources = spark.createDataFrame(bodies, "report_id long, source_id string, trust double, text string")
+    assert rows(grounding.ungrounded_numerals(reports, sources), "report_id", "claim_id", "numeral") == sorted(want)
+    assert {len(r.claim) for r in grounding.claim_pairs(reports, sources).collect()} == {400}
+
+
 def test_verdicts(spark):
     data = [("C1", "S1", "supported", 1), ("C1", "S2", "refuted", 2), ("C2", "S1", "unsupported", 3), ("C3", "S1", None, 4), ("C3", "S2", "supported", 5), ("C4", "S3", "partial", 6), ("C4", "S3", "supported", 7)]
     v = spark.createDataFrame(data, "claim_id string, source_id string, verdict string, seq int")
