@@ -14,7 +14,13 @@ from siftline.functions.url import canonical_url, declares_identity, derive_cita
 
 
 def number(df: DataFrame, prefix: str, start: Column | int, *order: Column) -> DataFrame:
-    """Adds ``id``: prefix and a running number. Rows are ranked inside ranges of the order and offset by the ranges before, so no task sees all rows."""
+    """Adds ``id``: prefix and a running number behind ``start``."""
+    base = start if isinstance(start, Column) else F.lit(start)
+    return _placed(df, *order).withColumn("id", F.concat(F.lit(prefix), (F.col("__place") + base).cast("string"))).drop("__place")
+
+
+def _placed(df: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``__place``, from 1. Rows are ranked inside ranges of the order and offset by the ranges before, so no task sees all rows."""
     spark = df.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parted = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
@@ -23,8 +29,7 @@ def number(df: DataFrame, prefix: str, start: Column | int, *order: Column) -> D
     sizes = parted.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     rows = parted.withColumn("__own", inner).join(F.broadcast(sizes), "__range")  # a row for each shuffle partition
-    base = start if isinstance(start, Column) else F.lit(start)
-    return rows.withColumn("id", F.concat(F.lit(prefix), (F.col("__own") + F.col("__before") + base).cast("string"))).drop("__range", "__own", "__before", "__n")
+    return rows.withColumn("__place", F.col("__own") + F.col("__before")).drop("__range", "__own", "__before", "__n")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -108,8 +113,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, size: int = 8, *order: Column) -> DataFrame:
-    """Adds ``batch``: a bounded worklist in chunks of ``size``."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+    """Adds ``batch``: a worklist of any length in chunks of ``size``."""
+    return _placed(rows, *order).withColumn("batch", F.floor((F.col("__place") - 1) / size).cast("int")).drop("__place")
 
 
 def bibliography_keys(sources: DataFrame, group: str) -> DataFrame:

@@ -586,6 +586,13 @@ def worklist_batches(spark, sf_dir):
     return sources_table.batches(bounded, 8, F.asc("c_custkey")).select("c_custkey", F.col("batch").cast("long").alias("batch"))
 
 
+@query("SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 8 AS batch FROM customer")
+def customer_batches(spark, sf_dir):
+    """What worklist_batches does for 40 keys, over the whole table."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return sources_table.batches(customers, 8, F.asc("c_custkey")).select("c_custkey", F.col("batch").cast("long").alias("batch"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def hourly_events(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type")

@@ -43,5 +43,11 @@ def test_query_without_sql_runs(spark, small, name):
     assert entry.queries()[name](spark, small).collect() is not None
 
 
+def test_batches_cover_all_customers(spark, small):
+    keys = sorted(r.c_custkey for r in spark.read.parquet(f"{small}/customer.parquet").select("c_custkey").collect())
+    got = sorted(tuple(r) for r in entry.queries()["customer_batches"](spark, small).collect())
+    assert got == [(key, k // 8) for k, key in enumerate(keys)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10

@@ -190,6 +190,18 @@ def test_numbers_and_ingest(spark):
     assert got == {1: (None, "already a source"), 2: ("S4", None), 3: (None, "repeated"), 4: (None, "not citable"), 5: (None, "no text"), 6: (None, "cookie/consent wall")}
 
 
+def test_batches_of_a_whole_table(spark):
+    df = spark.range(1003).select((F.lit(2000) - F.col("id")).alias("id"))
+    got = sources_table.batches(df, 8, F.asc("id"))
+    assert rows(got, "id", "batch") == [(998 + k, k // 8) for k in range(1003)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len({r.p for r in got.withColumn("p", F.spark_partition_id()).collect()}) > 1  # no task has all rows
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sources_table.batches(df.limit(0), 8, F.asc("id")).collect() == []
+
+
 def test_hygiene_and_bibliography(spark):
     s = spark.createDataFrame([("S1", "https://a.org", "fine"), ("S2", "https://a.org", "fine"), ("S3", "https://api.crossref.org/w", "doi 10.1000/z"), ("S4", "https://w.org", "we use cookies")], "id string, canonical_url string, text string")
     assert rows(sources_table.issues(s), "id", "issue") == [("S2", "duplicate of S1"), ("S3", "not citable"), ("S4", "wall")]
