@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 import pytest
 
@@ -49,5 +50,25 @@ def test_batches_cover_all_customers(spark, small):
     assert got == [(key, k // 8) for k, key in enumerate(keys)]
 
 
+def brute_title(text):
+    parts = re.split(r"\n\s*\n", text)
+    heading = re.search(r"^\s*#{1,6}\s+(.+?)\s*#*\s*$", parts[0], re.M)
+    if heading:
+        return heading[1].strip()[:200]
+    paragraphs = [p for p in (" ".join(p.split()) for p in parts) if p]
+    lead = paragraphs[0] if paragraphs else ""
+    record = re.match(r"\d+\.\s", lead) and re.search(r"\bdoi:|\bepub\b|\d{4}\s+\w{3}\b", lead, re.I)
+    return (paragraphs[1] if record and len(paragraphs) > 1 else lead)[:200]
+
+
+def test_titles_of_all_texts(spark, tmp_path):
+    texts = [None, "", " \n\n ", "one line", "first  part\nof it\n\nsecond", "\n\n# Late\n\nbody", "# Heading #\n\nbody", "lead\n## Within\nbody", "\n  \nlead behind a blank line"]
+    texts += ["1. Journal. 2020 Sep;1: doi: 10.1/x\n\nThe title\n\nbody", "2. Journal. Epub 2019", "x" * 300 + "\n\ny", "a\n\n# Second paragraph"]
+    data = list(enumerate(texts))
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.title for r in entry.queries()["titles_from_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: brute_title(t or "") for k, t in data}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
