@@ -2,7 +2,8 @@
 
 A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped, equivalent spellings
 made one, every run of other characters than letters and digits made one space. Its SHA-256 is
-joined with the digests of known licence texts, so only entire texts match.
+joined with the digests of known licence texts, so only entire texts match. A text without a match
+is tried once more as a licence file: copyright lines may stand behind comment marks or lack a year.
 
 Rows: null is the empty text; a text that is no known licence has a null ``license_id``; repeated
 rows give repeated results; an empty table gives none. Extra columns are not read.
@@ -10,6 +11,7 @@ rows give repeated results; an empty table gives none. Extra columns are not rea
 
 from __future__ import annotations
 
+import pkgutil
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,42 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+_CLAUSES = TEXTS["BSD-2-Clause"].split("\n")
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+# Further texts without a title; several may share an id.
+BODIES = [
+    *TEXTS.items(),
+    ("ISC", TEXTS["ISC"].replace("and/or", "and")),
+    ("BSD-3-Clause", "\n".join([*_CLAUSES[:3], _THIRD, _CLAUSES[3]])),
+]
+
+# Titles that published files of these licences begin with.
+TITLES = {
+    "MIT": ["MIT", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["0BSD", "BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "Free Public License 1.0.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+
+# Id and file of the licences that are published as one whole text.
+FILES = {
+    "Apache-2.0": "Apache-2.0",
+    "CC0-1.0": "CC0-1.0",
+    "GPL-1.0": "GPL-1",
+    "GPL-2.0": "GPL-2",
+    "GPL-3.0": "GPL-3",
+    "LGPL-2.0": "LGPL-2",
+    "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3.0": "LGPL-3",
+    "MPL-1.1": "MPL-1.1",
+    "MPL-2.0": "MPL-2.0",
+}
+#: What may be left out behind a text, from these words on.
+APPENDIX = {"Apache-2.0": "APPENDIX: How to apply"}
+
 # Spellings that count as one.
 SPELLINGS = {
     "licence": "license",
@@ -51,12 +89,18 @@ SPELLINGS = {
 }
 
 COPYRIGHT_LINE = r"^[ \t]*(copyright[ \t]*([(]c[)]|©|[0-9]{4})|[(]c[)][ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+#: The same in files: behind comment marks, and with a name in place of the year. The words are those that follow in running text.
+COPYRIGHT_IN_FILE = (
+    r"^[^\p{L}\p{N}\n(©]*(copyright[ \t:]*([(]c[)]|©|[0-9]{4})"
+    r"|copyright[ \t:]+(?!(notices?|holders?|owners?|licen[sc]es?|laws?|statements?|status|interests?|claims?|infringement|disclaimers?|permission|treaty|protection|rights?|the (software|program|library)|and|or|on|in|of|to|is|by|for|that|which|as|under|with)\b)[\[<{\p{L}]"
+    r"|[(]c[)][ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+)
 OTHER = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, copyright_line: str = COPYRIGHT_LINE) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    out = F.regexp_replace(out, "(?dm)" + COPYRIGHT_LINE, "")
+    out = F.regexp_replace(out, "(?dm)" + copyright_line, "")
     for spelling, one in SPELLINGS.items():
         out = F.replace(out, F.lit(spelling), F.lit(one))
     return F.trim(F.regexp_replace(out, OTHER, " "))
@@ -66,18 +110,31 @@ def canonical_digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def file_digest(text: Column) -> Column:
+    return F.sha2(canonical(text, COPYRIGHT_IN_FILE), 256)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """license_id, text of the licences above."""
-    return spark.createDataFrame(list(TEXTS.items()), "license_id string, text string")
+    """license_id, text of the licences above, bare and with their titles."""
+    rows = BODIES + [(k, f"{title}\n{body}") for k, body in BODIES for title in TITLES[k]]
+    for k, name in FILES.items():
+        whole = pkgutil.get_data("siftline.llm", f"license_texts/{name}.txt").decode()
+        rows += [(k, part) for part in {whole, whole.split(APPENDIX[k])[0] if k in APPENDIX else whole}]
+    return spark.createDataFrame(rows, "license_id string, text string")
 
 
 def find_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id of each document; of several known texts with one digest the least id."""
     texts = known_licenses(docs.sparkSession) if known is None else known
-    digests = texts.groupBy(canonical_digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    if known is None:  # the number of texts above bounds the size
-        digests = F.broadcast(digests)
-    return docs.select("doc_id", canonical_digest(F.col("text")).alias("digest")).join(digests, "digest", "left").select("doc_id", "digest", "license_id")
+
+    def ids(digest: Column, key: str, name: str) -> DataFrame:
+        found = texts.groupBy(digest.alias(key)).agg(F.min("license_id").alias(name))
+        return F.broadcast(found) if known is None else found  # the number of texts above bounds the size
+
+    text = F.col("text")
+    own = docs.select("doc_id", canonical_digest(text).alias("digest"), file_digest(text).alias("as_file"))
+    own = own.join(ids(canonical_digest(text), "digest", "whole"), "digest", "left").join(ids(file_digest(text), "as_file", "filed"), "as_file", "left")
+    return own.select("doc_id", "digest", F.coalesce("whole", "filed").alias("license_id"))
 
 
 def sql() -> str:

@@ -1,5 +1,7 @@
 import math
+import pkgutil
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -179,6 +181,34 @@ def test_licenses(spark):
     assert licenses.find_licenses(documents(spark, [])).collect() == []
 
 
+def test_license_files_as_published(spark):
+    def folded(body, mark=""):
+        return "\n".join(f"{mark}{x}".rstrip() for line in body.split("\n") for x in [*textwrap.wrap(line, 76), ""])
+
+    t = licenses.TEXTS
+    bsd3 = t["BSD-2-Clause"].replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
+    apache = pkgutil.get_data("siftline.llm", "license_texts/Apache-2.0.txt").decode()
+    rows = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + folded(t["MIT"])),
+        ("MIT", "The MIT License (MIT)\r\n\r\nCopyright The X Authors\r\n\r\n" + folded(t["MIT"]).replace("\n", "\r\n")),
+        ("MIT", "# MIT License\n#\n# Copyright (c) 2020 X\n#\n" + folded(t["MIT"], "# ")),
+        ("MIT", "/*\n * Copyright 2020 X\n *\n" + folded(t["MIT"], " * ") + "\n */"),
+        ("ISC", "ISC License\n\nCopyright X <x@x.org>\n\n" + folded(t["ISC"])),
+        ("0BSD", "BSD Zero Clause License\n\nCopyright (C) 2006 by X\n\n" + folded(t["0BSD"])),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + folded(t["BSD-2-Clause"])),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + folded(bsd3)),
+        ("Zlib", "zlib License\n\n(C) 2020 X\n\n" + folded(t["Zlib"])),
+        ("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 X").replace("http://www", "https://www")),
+        ("Apache-2.0", apache.split("APPENDIX")[0]),
+        *[(k, pkgutil.get_data("siftline.llm", f"license_texts/{name}.txt").decode()) for k, name in licenses.FILES.items()],
+        (None, "MIT License\n\nCopyright (c) 2020 X\n\n" + folded(t["ISC"])),
+        (None, "MIT License\n\nCopyright notice of X\n\n" + folded(t["MIT"])),
+        (None, apache[:-400].replace("APPENDIX", "")),
+    ]
+    found = licenses.find_licenses(documents(spark, [(k, text) for k, (_, text) in enumerate(rows)])).collect()
+    assert {r.doc_id: r.license_id for r in found} == {k: name for k, (name, _) in enumerate(rows)}
+
+
 def test_quality_learns_and_scores_all(spark):
     rng = np.random.default_rng(0)
     words = ["the", "of", "river", "green", "moves", "stone", "light", "over"]
