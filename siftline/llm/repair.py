@@ -2,7 +2,8 @@
 
 A file set is a Parquet folder of shards. A shard holds about ``SHARD_IDS`` ids of consecutive
 documents as one grammar: rounds of Re-Pair replace the most frequent adjacent id pairs by
-nonterminals, never across the border of two documents, until no pair repeats often enough. The
+nonterminals, never across the border of two documents, until no pair occurs six times, a round
+removes less than 0.5 % of the symbols, or 12 rounds are done. The
 rules, the expansion length of each rule and the place of each document in the compressed sequence
 are stored, so one document, or one id of it, is decoded without the rest of its shard.
 
