@@ -2,13 +2,15 @@
 
 Fingerprints of a text are the hashes of ``K`` consecutive words that are least in some run of
 ``window - K + 1`` of them, so two texts that share ``window`` words share a fingerprint at the same
-place of the span. Fingerprints of the documents are joined with those of the benchmark items, each
-match is extended word by word to the longest common span and compared byte by byte; spans of at
-least ``window`` words count. An item of fewer words counts where all its words occur in order.
+place of the span. Fingerprints of the documents are joined with those of the benchmark items; every
+window of words around a shared one is looked up among the items' windows and compared byte by byte,
+and windows that overlap are extended to one span. An item of fewer words counts where all its words occur in order.
 
 The benchmark is dealt into pages of at most ``PAGE_BYTES`` of text (or one longer item). Pages are
-broadcast one by one; a worker that must pass several holds one at a time, so neither the driver nor
-a worker holds a benchmark of any size at once, and the result is the same for any number of pages.
+broadcast one by one; a worker that must pass several holds one at a time, and goes through them once
+for each ``PASS_BYTES`` of documents, so neither the driver nor a worker holds a benchmark of any size
+at once, and the result is the same for any number of pages. Windows are looked up by distinct hash,
+so repeated words or passages on either side do not multiply.
 
 Rows: a null text, or one without words, has no words and is not contaminated; a null item has no
 window; items that repeat an ``item_id`` count once; an empty benchmark hits nothing. Repeated rows
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import ALNUM, LOWER, U64, ngram_hashes, ragged, segment, span_hashes, text_chunks
+from .bytesops import ALNUM, LOWER, U64, mix, ngram_hashes, ragged, segment, span_hashes, text_chunks
 from .shared import text_batches
 
 K = 5
 WINDOW = 13
 PAGE_BYTES = 4 << 20
+PASS_BYTES = 32 << 20  # of documents for each time that a worker goes through several pages
+_SLICE = 1 << 13  # windows that are compared byte by byte at once
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 RESULT = "n_words long, n_hit long, item_ids array<string>, spans array<struct<first:int,end:int>>"
@@ -77,8 +81,70 @@ class Words:
         self.starts, self.ends, self.begins = segment(self.buf, offsets, ALNUM)
         self.hashes = span_hashes(self.buf, self.starts, self.ends)
 
-    def word(self, i: int) -> bytes:
-        return self.buf[self.starts[i] : self.ends[i]].tobytes()
+    def windows(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the ``size`` words from each of the places."""
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(at), U64)
+            for j in range(size):
+                h = h * U64(0x9FB21C651E98DF25) + self.hashes[at + j]
+            return mix(h + U64(size))
+
+    def texts_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, at, "right") - 1
+
+
+def _same_words(a: Words, at: np.ndarray, b: Words, to: np.ndarray, size: int) -> np.ndarray:
+    """Whether the ``size`` words from each place of one are byte for byte those from the place of the other."""
+    same = np.ones(len(at), bool)
+    for lo in range(0, len(at), _SLICE):
+        i, j = ((x[lo : lo + _SLICE, None] + np.arange(size)).ravel() for x in (at, to))
+        n = a.ends[i] - a.starts[i]
+        own = n == b.ends[j] - b.starts[j]
+        i, j, n = i[own], j[own], n[own]
+        odd = a.buf[ragged(a.starts[i], n)] != b.buf[ragged(b.starts[j], n)]
+        own[np.flatnonzero(own)[np.searchsorted(np.cumsum(n), np.flatnonzero(odd), "right")]] = False
+        same[lo : lo + _SLICE] = own.reshape(-1, size).all(axis=1)
+    return same
+
+
+class _Known:
+    """Ascending distinct hashes, with a table of bits that turns most others away."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.bits = np.zeros(1 << max(10, (16 * len(self.hashes)).bit_length()), dtype=bool)
+        self.bits[self.hashes & U64(len(self.bits) - 1)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the given hashes that are known, and their numbers."""
+        some = np.flatnonzero(self.bits[hashes & U64(len(self.bits) - 1)])
+        if not len(self.hashes):
+            return some[:0], some[:0]
+        at = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
+        own = self.hashes[at] == hashes[some]
+        return some[own], at[own]
+
+
+class _Windows:
+    """The distinct windows of one size: where each stands first, and which set of items has it."""
+
+    def __init__(self, words: Words, at: np.ndarray, size: int, item: np.ndarray):
+        hashes = words.windows(at, size)
+        self.known = _Known(hashes)
+        number = np.searchsorted(self.known.hashes, hashes)
+        self.first = np.zeros(len(self.known.hashes), np.int64)
+        self.first[number[::-1]] = at[::-1]
+        # windows whose words differ from the first of their hash; a hash of 64 bits makes them rare to nonexistent
+        odd = np.flatnonzero(~_same_words(words, at, words, self.first[number], size))
+        self.others = [(int(number[k]), int(at[k]), int(item[k])) for k in odd.tolist()]
+        own = np.ones(len(at), bool)
+        own[odd] = False
+        pairs = np.unique(number[own] * np.int64(item.max(initial=0) + 1) + item[own])
+        number, item = np.divmod(pairs, np.int64(item.max(initial=0) + 1))
+        cuts = np.searchsorted(number, np.arange(len(self.known.hashes) + 1))
+        sets: dict[bytes, int] = {}
+        self.set_of = np.array([sets.setdefault(item[x:y].tobytes(), len(sets)) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], np.int64)
+        self.sets = [np.frombuffer(x, np.int64).tolist() for x in sets]
 
 
 class Page:
@@ -87,72 +153,59 @@ class Page:
         self.words, self.window, self.k = Words(buf, offsets), window, k
         self.ids = ["" if i is None else str(i) for i, _ in items]
         begins, n = self.words.begins, np.diff(self.words.begins)
-        places, prints = winnow(self.words.hashes, begins, window, k)
-        order = np.argsort(prints, kind="stable")
-        self.prints, self.places = prints[order], places[order]
-        self.bits = self._bits(self.prints)
-        self.short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size in sorted({int(x) for x in n if 0 < x < window}):
-            own = np.flatnonzero(n == size)
-            grams = ngram_hashes(self.words.hashes, size)[begins[own]]
-            order = np.argsort(grams, kind="stable")
-            self.short[size] = grams[order], own[order], self._bits(grams)
-
-    @staticmethod
-    def _bits(prints: np.ndarray) -> np.ndarray:
-        bits = np.zeros(1 << max(10, (16 * len(prints)).bit_length()), dtype=bool)
-        bits[prints & U64(len(bits) - 1)] = True
-        return bits
-
-    @staticmethod
-    def _pairs(places: np.ndarray, prints: np.ndarray, known: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and indices into ``known`` of all equal fingerprints."""
-        some = bits[prints & U64(len(bits) - 1)]
-        places, prints = places[some], prints[some]
-        lo, hi = np.searchsorted(known, prints, "left"), np.searchsorted(known, prints, "right")
-        return np.repeat(places, hi - lo), ragged(lo, hi - lo)
-
-    def scan(self, docs: Words, found: dict[int, tuple[list[tuple[int, int]], set[str]]]) -> None:
-        """Adds spans (of words in each text) and item ids to ``found``."""
-        at, which = self._pairs(*winnow(docs.hashes, docs.begins, self.window, self.k), self.prints, self.bits)
-        if len(at):
-            self._extend(docs, at, self.places[which], found)
-        for size, (known, own, bits) in self.short.items():
-            grams = _within(docs.hashes, docs.begins, size)
-            at, which = self._pairs(np.arange(len(grams)), grams, known, bits)
-            for i, item in zip(at.tolist(), own[which].tolist(), strict=True):
-                j = int(self.words.begins[item])
-                doc = int(np.searchsorted(docs.begins, i, "right")) - 1
-                if i + size <= docs.begins[doc + 1] and all(docs.word(i + x) == self.words.word(j + x) for x in range(size)):
-                    self._add(found, docs, doc, i, i + size, item)
-
-    def _add(self, found, docs: Words, doc: int, first: int, end: int, item: int) -> None:
-        spans, items = found.setdefault(doc, ([], set()))
-        base = int(docs.begins[doc])
-        spans.append((first - base, end - base))
-        items.add(self.ids[item])
-
-    def _extend(self, docs: Words, at: np.ndarray, to: np.ndarray, found) -> None:
-        own, ref, mine, theirs = docs.begins, self.words.begins, docs.hashes, self.words.hashes
-        doc, item = np.searchsorted(own, at, "right") - 1, np.searchsorted(ref, to, "right") - 1
-        order = np.lexsort((at, at - to, item, doc))
-        last, reach = None, -1
-        for i, j, d, t in zip(at[order].tolist(), to[order].tolist(), doc[order].tolist(), item[order].tolist(), strict=True):
-            if last == (d, t, i - j) and i < reach:
+        self.prints = _Known(winnow(self.words.hashes, begins, window, k)[1])
+        self.sizes = {}
+        for size in sorted({min(int(x), window) for x in n if x}):
+            own = np.flatnonzero(n >= window) if size == window else np.flatnonzero(n == size)
+            count = n[own] - size + 1
+            self.sizes[size] = _Windows(self.words, ragged(begins[own], count), size, np.repeat(own, count))
+
+    def scan(self, docs: Words, prints: tuple[np.ndarray, np.ndarray], found: dict[int, tuple[list[tuple[int, int]], set[str]]]) -> None:
+        """Adds spans (of words in each text) and item ids to ``found``. ``prints`` are the winnowed fingerprints of ``docs``.
+
+        Windows are looked up by distinct hash, so the time depends on the words of both sides, not on their pairs.
+        """
+        for size, own in self.sizes.items():
+            if size == self.window:
+                at = self._around(docs, prints[0][self.prints.find(prints[1])[0]])
+            else:
+                at = np.arange(max(0, len(docs.hashes) - size + 1))
+                at = at[at + size <= docs.begins[docs.texts_of(at) + 1]]
+            if not len(at):
                 continue
-            last = d, t, i - j
-            left = min(i - int(own[d]), j - int(ref[t]))
-            right = min(int(own[d + 1]) - i, int(ref[t + 1]) - j)
-            odd = np.flatnonzero(mine[i - left : i] != theirs[j - left : j])
-            first = i - left + (int(odd[-1]) + 1 if len(odd) else 0)
-            odd = np.flatnonzero(mine[i : i + right] != theirs[j : j + right])
-            end = reach = i + (int(odd[0]) if len(odd) else right)
-            start = first
-            for x in range(first, end + 1):  # words whose hashes agree and bytes do not part the span
-                if x == end or docs.word(x) != self.words.word(x - i + j):
-                    if x - start >= self.window:
-                        self._add(found, docs, d, start, x, t)
-                    start = x + 1
+            which, number = own.known.find(docs.windows(at, size))
+            at = at[which]
+            same = _same_words(docs, at, self.words, own.first[number], size)
+            self._add(found, docs, at[same], size, own.set_of[number[same]], own.sets)
+            for n, j, item in own.others:
+                there = at[number == n]
+                there = there[_same_words(docs, there, self.words, np.full(len(there), j), size)]
+                self._add(found, docs, there, size, np.zeros(len(there), np.int64), [[item]])
+
+    def _around(self, docs: Words, places: np.ndarray) -> np.ndarray:
+        """Begins of all windows of one text that hold the fingerprint at one of the places."""
+        text = docs.texts_of(places)
+        lo = np.maximum(places - (self.window - self.k), docs.begins[text])
+        hi = np.minimum(places, docs.begins[text + 1] - self.window) + 1
+        some = lo < hi
+        marks = np.zeros(len(docs.hashes) + 1, np.int32)
+        np.add.at(marks, lo[some], 1)
+        np.add.at(marks, hi[some], -1)
+        return np.flatnonzero(np.cumsum(marks) > 0)
+
+    def _add(self, found, docs: Words, at: np.ndarray, size: int, sets: np.ndarray, items: list[list[int]]) -> None:
+        """Ascending windows become spans, those that overlap or meet one span; equal sets of items count once a text."""
+        if not len(at):
+            return
+        text = docs.texts_of(at)
+        new = np.concatenate([[True], (at[1:] > at[:-1] + size) | (text[1:] != text[:-1])])
+        heads = np.flatnonzero(new)
+        ends = at[np.append(heads[1:], len(at)) - 1] + size
+        base = docs.begins[text[heads]]
+        for t, a, b in zip(text[heads].tolist(), (at[heads] - base).tolist(), (ends - base).tolist(), strict=True):
+            found.setdefault(t, ([], set()))[0].append((a, b))
+        for t, k in {*zip(text.tolist(), sets.tolist(), strict=True)}:
+            found[t][1].update(self.ids[i] for i in items[k])
 
 
 def _pages(benchmark: DataFrame, window: int, k: int, page_bytes: int) -> list:
@@ -184,31 +237,40 @@ def contamination(text: Column | str, benchmark: DataFrame, window: int = WINDOW
     pages = _pages(benchmark, window, k, page_bytes)
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            n_words = np.zeros(len(column), np.int64)
-            found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-            for page in pages:
+    def judged(columns: list[pa.Array]) -> Iterator[pa.Array]:
+        """The results of some batches; each page is read once for all of them."""
+        n_words = [np.zeros(len(c), np.int64) for c in columns]
+        found: list[dict[int, tuple[list[tuple[int, int]], set[str]]]] = [{} for _ in columns]
+        for number, page in enumerate(pages or [None]):
+            for c, column in enumerate(columns):
                 for lo, hi, buf, offsets in text_chunks(column):
                     docs = Words(buf, offsets)
-                    n_words[lo:hi] = np.diff(docs.begins)
+                    n_words[c][lo:hi] = np.diff(docs.begins)
                     own: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-                    page.value.scan(docs, own)
+                    if page is not None:
+                        page.value.scan(docs, winnow(docs.hashes, docs.begins, window, k), own)
                     for d, (spans, items) in own.items():
-                        mine = found.setdefault(lo + d, ([], set()))
+                        mine = found[c].setdefault(lo + d, ([], set()))
                         mine[0].extend(spans)
                         mine[1].update(items)
-                if len(pages) > 1:
-                    del page._value
-            if not pages:
-                for lo, hi, buf, offsets in text_chunks(column):
-                    n_words[lo:hi] = np.diff(segment(LOWER[buf], offsets, ALNUM)[2])
-            rows = [{"n_words": n, "n_hit": 0, "item_ids": [], "spans": []} for n in n_words.tolist()]
-            for d, (spans, items) in found.items():
+            if number or len(pages) > 1:
+                del page._value
+        for n, hits in zip(n_words, found, strict=True):
+            rows = [{"n_words": x, "n_hit": 0, "item_ids": [], "spans": []} for x in n.tolist()]
+            for d, (spans, items) in hits.items():
                 whole = _union(spans)
                 rows[d] |= {"n_hit": sum(b - a for a, b in whole), "item_ids": sorted(items), "spans": [{"first": a, "end": b} for a, b in whole]}
             yield pa.array(rows, type=kind)
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held: list[pa.Array] = []
+        for column in batches:
+            held.append(column)
+            if len(pages) < 2 or sum(c.nbytes for c in held) >= PASS_BYTES:
+                yield from judged(held)
+                held = []
+        yield from judged(held)
+
     return F.arrow_udf(run, f"struct<{', '.join(x.replace(' ', ':', 1) for x in RESULT.split(', '))}>")(text)
 
 
