@@ -1,8 +1,8 @@
 """Secrets by pattern and by sliding-window entropy, in DataFrame functions only.
 
 Base spans are matches of fixed patterns. Other candidate strings are runs of token characters with a
-digit; each belongs to a character class, and the greatest Shannon entropy of any window of ``WINDOW``
-characters is found with counts that change by one character in and one out at each step. A
+digit, or with four capitals; each belongs to a character class, and the greatest Shannon entropy of any window of ``WINDOW``
+characters is found with counts that change by one character in and one out at each step, in time proportional to its length. A
 candidate at or above the threshold of its class is a span of kind ``entropy`` unless the allow-list
 suppresses it or it overlaps a base span.
 
@@ -15,6 +15,7 @@ matches, so a long text with very many matches takes time in proportion.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +25,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}+"  # runs are maximal, so the length may stand in the pattern
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|(?:[a-z+/_=-]*+[A-Z]){4})[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
 #: character class: (pattern of the whole candidate, least entropy in bits)
 CLASSES = {
     "hex": (r"^[0-9A-Fa-f]+$", 3.0),
     "mixed": (r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])", 3.7),
     "one_case": (r"^(?=.*[A-Za-z])(?=.*[0-9])", 3.7),
+    "letters": (r"^(?=.*[a-z])(?=(?:[^A-Z]*+[A-Z]){4})", 4.0),
 }
 ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|dummy|lorem",
@@ -43,12 +45,12 @@ BLOCK = 256
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _matches(df: DataFrame, name: str, pattern: str, begin: str | None = None) -> DataFrame:
-    """Adds ``name``: structs (start, end, value) of all matches of ``pattern`` in ``__text``, null without any."""
+def _matches(df: DataFrame, name: str, pattern: str, only: Column | None = None) -> DataFrame:
+    """Adds ``name``: structs (start, end, value) of all matches of ``pattern`` in ``__text``, null without any. Rows that fail ``only`` have none."""
     parts, found, heads = f"{name}_parts", f"{name}_found", f"{name}_heads"
     has = F.col("__text").rlike(pattern)
-    if begin:
-        has = F.col("__text").contains(begin) & has
+    if only is not None:
+        has = only & has
     df = df.withColumn(found, F.when(has, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))))
     df = df.withColumn(parts, F.when(F.col(found).isNotNull(), F.split("__text", pattern, -1)))
     n = F.size(found)
@@ -83,28 +85,33 @@ def _matches(df: DataFrame, name: str, pattern: str, begin: str | None = None) -
     return df.drop(parts, found, heads)
 
 
-def _weight(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once: inside a lambda an expression would be computed at every step."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The greatest Shannon entropy, in bits, of any ``window`` ASCII characters in a row; the value has that many."""
+    """The greatest Shannon entropy, in bits, of any ``window`` characters in a row; the value has that many.
 
-    def code(i: Column) -> Column:
-        return F.ascii(F.substring(value, i, F.lit(1)))
+    The counts that change are those of the character that comes and of the one that goes, each
+    taken from the window of the step before, so a value of n characters takes n short steps.
+    """
+    weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
 
-    def step(a: Column, i: Column) -> Column:
-        came, went = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(-1))
-        out = F.when(went >= 0, F.get(a["counts"], went)).otherwise(F.lit(0))
-        lower = a["sum"] - _weight(out) + _weight(out - 1)
-        into = F.get(a["counts"], came) - (came == went).cast("int")
-        total = lower - _weight(into) + _weight(into + 1)
-        counts = F.transform(a["counts"], lambda c, k: c + (k == came).cast("int") - (k == went).cast("int"))
-        best = F.when(i >= window, F.greatest(a["best"], F.lit(math.log2(window)) - total / window)).otherwise(a["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+    def of(letters: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            came, went = F.get(letters, i), F.when(i >= window, F.get(letters, i - window))
+            held = F.slice(letters, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
+            out = F.when(went.isNull(), 0).otherwise(F.size(held) - F.size(F.array_remove(held, went)))
+            into = F.size(held) - F.size(F.array_remove(held, came)) - (came.eqNullSafe(went)).cast("int")
+            total = a["sum"] - F.get(weights, out) + F.get(weights, F.greatest(out - 1, F.lit(0))) - F.get(weights, into) + F.get(weights, into + 1)
+            best = F.when(i >= window - 1, F.greatest(a["best"], F.lit(math.log2(window)) - total / window)).otherwise(a["best"])
+            return F.struct(total.alias("sum"), best.alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda a: a["best"])
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step, lambda a: a["best"])
+
+    return _bound(F.split(value, ""), of)
 
 
 def is_secret(value: Column) -> Column:
@@ -124,8 +131,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and, for each kind, an array of (start, end); ``base`` and ``spans``: arrays of (start, rank of the kind, end) in order."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
-    df = _matches(df, "assign", ASSIGN)
-    df = _matches(df, "access", ACCESS, "AKIA")
+    low = F.lower("__text")
+    named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
+    df = _matches(df, "assign", ASSIGN, named)
+    df = _matches(df, "access", ACCESS, F.col("__text").contains("AKIA"))
     df = _matches(df, "hex", HEX)
     df = _matches(df, "entropy", CANDIDATE)
     good = {

@@ -1,11 +1,14 @@
 import math
 import pkgutil
+import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,8 +25,6 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aB1 \n.é😀 ", max_size=30)), max_size=8), st.integers(1, 40))
 def test_words_of_bytes_are_words_of_code_points(texts, limit):
-    import pyarrow as pa
-
     for table, pattern in ((ALNUM, WORD), (NONSPACE, re.compile(r"[^\x20\x09-\x0D]+"))):
         found = []
         for lo, hi, buf, offsets in text_chunks(pa.array(texts, pa.string()), limit):
@@ -63,17 +64,43 @@ def test_contamination(spark, page_bytes):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=1, max_size=3))
 def test_every_shared_span_is_found(doc, items):
-    import pyarrow as pa
-
     page = decontam.Page([(i, " ".join(x)) for i, x in enumerate(items)], 13, 5)
     _, _, buf, offsets = next(text_chunks(pa.array([" ".join(doc)])))
     found = {}
-    page.scan(decontam.Words(buf, offsets), found)
+    docs = decontam.Words(buf, offsets)
+    page.scan(docs, decontam.winnow(docs.hashes, docs.begins), found)
     spans, named = found.get(0, ([], set()))
     want = brute_contamination(" ".join(doc), [(i, " ".join(x)) for i, x in enumerate(items)])
     assert sum(b - a for a, b in decontam._union(spans)) == want[1] and sorted(named) == want[2]
 
 
+def test_repeated_words_do_not_multiply():
+    import tracemalloc
+
+    page = decontam.Page([(k, "word " * 5000) for k in range(40)], 13, 5)
+    _, _, buf, offsets = next(text_chunks(pa.array(["word " * 100_000, "other", "word " * 12]), 1 << 62))
+    docs, found = decontam.Words(buf, offsets), {}
+    tracemalloc.start()
+    began = time.time()
+    page.scan(docs, decontam.winnow(docs.hashes, docs.begins), found)
+    assert time.time() - began < 20 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert set(found) == {0} and found[0][0] == [(0, 100_000)] and len(found[0][1]) == 40
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontam, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))  # all words of a length collide
+    items = [(1, "aa bbb cc"), (2, "dd eee ff"), (3, " ".join(["xx", "yyy"] * 9)), (4, " ".join(["pp", "qqq"] * 9))]
+    page = decontam.Page(items, 13, 5)
+    text = "dd eee ff gg " + " ".join(["pp", "qqq"] * 8) + " zz aa bbb cc"
+    _, _, buf, offsets = next(text_chunks(pa.array([text])))
+    docs, found = decontam.Words(buf, offsets), {}
+    page.scan(docs, decontam.winnow(docs.hashes, docs.begins), found)
+    spans, named = found[0]
+    _, hit, want = brute_contamination(text, items)
+    assert sum(b - a for a, b in decontam._union(spans)) == hit and sorted(named) == want == ["1", "2", "4"]
+
+
 def test_empty_benchmark_and_empty_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in decontam.find_contamination(documents(spark), none).collect()} == {False}
@@ -162,10 +189,56 @@ def test_window_entropy_by_brute_force(spark):
     assert all(abs(r.e - brute(r.v)) < 1e-9 for r in got)
 
 
-def test_entropy_spans_and_the_allow_list(spark):
-    rows = [(1, "key aGVsbG8gd29ybGQhIT9Zx8Qk2 end"), (2, "id 123e4567-e89b-12d3-a456-426614174000"), (3, "exampleA1b2C3d4E5f6G7h8I9"), (4, "keitkeitkeitkeitkeiteinein plain words"), (5, "g1g1g1g1g1g1g1g1g1g1g1g1g1")]
-    found = {r.doc_id: [s.rank for s in r.spans] for r in secrets.find_secrets(documents(spark, rows)).collect()}
-    assert found == {1: [3], 2: [], 3: [], 4: [], 5: []}
+def brute_entropy(v):
+    """The best window's entropy by whole counts of each window."""
+    out = 0.0
+    for i in range(len(v) - secrets.WINDOW + 1):
+        n = Counter(v[i : i + secrets.WINDOW])
+        out = max(out, -sum(c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in n.values()))
+    return out
+
+
+def brute_spans(text):
+    base = brute_secrets(text)
+    out = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        v, (a, b) = m[0], m.span()
+        digit, lower_case, upper = re.search("[0-9]", v), re.search("[a-z]", v), re.findall("[A-Z]", v)
+        if re.fullmatch("[0-9A-Fa-f]+", v):
+            least = 3.0 if digit or len(upper) > 3 else None
+        elif digit and (lower_case or upper):
+            least = 3.7
+        elif lower_case and len(upper) > 3:
+            least = 4.0
+        else:
+            least = None
+        if least is None or any(re.search(p, v) for p in secrets.ALLOWED) or any(x < b and a < y for x, _, y in base):
+            continue
+        if brute_entropy(v) >= least:
+            out.append((a, 3, b))
+    return sorted(out)
+
+
+def test_entropy_spans_by_brute_force(spark):
+    random.seed(11)
+    kinds = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/", "aaaaabbb01", "aAbB-_=/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    made = ["".join(random.choice(random.choice(kinds) if k % 3 else kinds[k % len(kinds)]) for _ in range(random.randint(15, 70))) for k in range(300)]
+    rows = [(1, "key aGVsbG8gd29ybGQhIT9Zx8Qk2 end"), (2, "id 123e4567-e89b-12d3-a456-426614174000"), (3, "exampleA1b2C3d4E5f6G7h8I9"), (4, "keitkeitkeitkeitkeiteinein plain words"), (5, "g1g1g1g1g1g1g1g1g1g1g1g1g1"), (6, "key qWzRtYpLkJhGfDsXcVbN")]
+    rows += [(10 + k, f"é {a} 😀 token: {b}, {c}.") for k, (a, b, c) in enumerate(zip(made, made[1:], made[2:]))]
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(documents(spark, rows)).collect()}
+    assert found == {d: brute_spans(t) for d, t in rows}
+    assert [len(found[k]) for k in range(1, 7)] == [1, 0, 0, 0, 0, 1]
+    assert sum(r[1] == 3 for own in found.values() for r in own) > 100
+
+
+def test_very_long_candidates(spark):
+    random.seed(12)
+    noise = "".join(random.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1000))
+    rows = [(1, "aB1c" * 250_000), (2, "b " + noise * 300 + " c"), (3, "0a" * 200_000)]
+    began = time.time()
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(documents(spark, rows)).collect()}
+    assert found == {1: [], 2: [(2, 3, 300_002)], 3: [(0, 2, 400_000)]}
+    assert time.time() - began < 60
 
 
 def test_secrets_stay_in_the_jvm(spark):
@@ -234,51 +307,81 @@ def test_quality_without_labels(spark):
     assert quality.keep_good(documents(spark, []), none).collect() == []
 
 
-def test_scores_by_brute_force(spark, monkeypatch):
+def training(rows):
+    """Counts of words and of pairs in the rows that are learnt from; None is the end of a text, 0 its begin."""
+    words, pairs, texts = Counter(), Counter(), 0
+    for d, t in rows:
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 10:
+            own = [*spaced(t), None]
+            texts += 1
+            words.update(own)
+            pairs.update(zip([0, *own], own))
+    return words, pairs, texts
+
+
+def smoothed(words, pairs, texts, h, w, mu=lm.MU):
+    base = (words[w] + 0.1) / (sum(words.values()) + 0.1 * (len(words) + 1))
+    together = 2 ** (pairs[h, w].bit_length() - 1) if pairs[h, w] else 0
+    return (together + mu * base) / ((texts if h == 0 else words[h]) + mu)
+
+
+LM_ROWS = ROWS + [(300 + i, " ".join(f"w{(i * k) % 17}" for k in range(40))) for i in range(60)]
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 24])
+def test_scores_by_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 14)  # several blocks
-    found = lm.score_documents(documents(spark)).collect()
-    text = {d: t for d, t in ROWS}
-    train = Counter(w for d, t in ROWS for w in [*spaced(t), None] if zlib.crc32(("" if d is None else str(d)).encode()) % 10)
-    n, v = sum(train.values()), len(train)
-    assert len(found) == len(ROWS)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 1 << 12)
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", broadcast)
+    found = lm.score_documents(documents(spark, LM_ROWS)).collect()
+    text = {d: t for d, t in LM_ROWS}
+    words, pairs, texts = training(LM_ROWS)
+    n, v = sum(words.values()), len(words)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == sorted((d is None, d or 0) for d, _ in LM_ROWS)
+    exact = 0
     for r in found:
+        assert math.isfinite(r.score) and r.score < 0 and r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10 == 0)
         if r.doc_id is None:
             continue
         own = [*spaced(text[r.doc_id]), None]
-        base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
+        base = sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
         assert abs(r.base_score - base) < 1e-6 * abs(base)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(train[w] > 0 for w in own), n)
-        assert math.isfinite(r.score) and r.score < 0
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(words[w] > 0 for w in own), n)
+        want = sum(math.log10(smoothed(words, pairs, texts, h, w)) for h, w in zip([0, *own], own))
+        assert r.score >= want - 1e-6 * abs(want)  # a false positive of the filter can only raise it
+        exact += abs(r.score - want) < 1e-6 * abs(want)
+    assert exact > 0.9 * len(found)
+
+
+def test_probabilities_add_up_to_one_at_most():
+    words, pairs, texts = training(LM_ROWS)
+    for h in [0, *list(words)[:40]]:
+        if h is not None:
+            assert sum(smoothed(words, pairs, texts, h, w) for w in [*words, "never seen"]) <= 1 + 1e-9
 
 
-def test_pages_one_at_a_time_give_the_same_scores(spark, monkeypatch):
-    docs = documents(spark)
-    model = lm.fit(docs)
-    held = sorted(r[0].score for r in docs.select(lm.score("text", model)).collect())
+def test_more_is_scored_than_was_learnt(spark, monkeypatch):
+    docs = documents(spark, LM_ROWS)
+    few = documents(spark, LM_ROWS[17:19])
+    held = tuples(lm.score(docs, lm.fit(few)), "doc_id", "n_tokens", "n_known", "base_score", "score")
     monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 14)
-    monkeypatch.setattr(lm, "PAGE_BYTES", 1)
-    monkeypatch.setattr(lm, "HELD_BYTES", 0)
-    paged = lm.fit(docs)
-    assert len(paged.pages) > 2 and not paged.held
-    again = sorted(r[0].score for r in docs.select(lm.score("text", paged)).collect())
-    assert np.allclose(held, again, rtol=0.02)  # filters of other sizes have other false positives
-    base = sorted(r[0].base_score for r in docs.select(lm.score("text", paged)).collect())
-    assert np.allclose(base, sorted(r[0].base_score for r in docs.select(lm.score("text", model)).collect()))
+    monkeypatch.setattr(lm, "PIECE_BYTES", 1 << 12)
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", 0)
+    model = lm.fit(few)
+    assert not model.stores
+    dealt = tuples(lm.score(docs, model), "doc_id", "n_tokens", "n_known", "base_score", "score")
+    assert [r[:3] for r in held] == [r[:3] for r in dealt] and np.allclose([r[3:] for r in held], [r[3:] for r in dealt])
 
 
 def test_filter_has_all_pairs_and_few_others():
     rng = np.random.default_rng(1)
-    h = np.unique(rng.integers(0, 1 << 63, 20000).astype(np.uint64))
+    h = np.unique(rng.integers(0, 1 << 48, 20000).astype(np.uint64))
     counts = rng.integers(1, 40, len(h))
-    body = lm.build_filter(h, counts)
-    page = lm.Page(1, np.array([0]), np.array([0]), np.array([len(body)]), np.zeros(0, np.uint64), body)
-    out = np.zeros(len(h), np.int64)
-    page.read(h, 0, out)
-    assert (out >= lm.levels_of(counts)).all() and (out == lm.levels_of(counts)).mean() > 0.95
-    others = rng.integers(0, 1 << 63, 20000).astype(np.uint64)
-    out = np.zeros(len(others), np.int64)
-    page.read(others, 0, out)
-    assert (out > 0).mean() < 0.03
+    store = lm.Store(lm.PAIRS, 0, [(0, b"", lm.build_filter(h, counts).tobytes())])
+    out = store.read(h)
+    assert (out >= lm.levels_of(counts)).all() and (out == lm.levels_of(counts)).mean() > 0.99
+    others = rng.integers(0, 1 << 48, 20000).astype(np.uint64)
+    assert (store.read(others) > 0).mean() < 0.002
 
 
 def test_no_training_rows(spark):
