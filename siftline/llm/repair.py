@@ -2,10 +2,11 @@
 
 A file set is a Parquet folder of shards. A shard holds about ``SHARD_IDS`` ids of consecutive
 documents as one grammar: rounds of Re-Pair replace the most frequent adjacent id pairs by
-nonterminals, never across the border of two documents, until no pair occurs six times, a round
-removes less than 0.5 % of the symbols, or 12 rounds are done. The
+nonterminals, never across the border of two documents, until no pair occurs ``LEAST`` times. The
 rules, the expansion length of each rule and the place of each document in the compressed sequence
-are stored, so one document, or one id of it, is decoded without the rest of its shard.
+are stored, so one document, or one id of it, is decoded without the rest of its shard. A document is
+never parted, so a very long one makes its shard as large as itself. Ids of ``FIRST_RULE`` or more are
+refused.
 
 Rows: null texts are empty documents (their only id is the end id); documents are in ascending
 ``doc_id`` order, null first, equal ids in the order of a hash of the text; repeated rows are kept,
@@ -23,72 +24,105 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytesops import ragged
+from .bytesops import ragged, text_chunks
 from .shared import new_path, text_batches
 from .tokens import default_vocabulary, encoder
 
-FIRST_RULE = 1 << 17  # above every id of the vocabularies in use
+FIRST_RULE = 1 << 20  # ids are below it; symbols have 24 bits
 SHARD_IDS = 1 << 20
-RULES_A_ROUND = 4096
-ROUNDS = 12
-MOST_PARTS = 800_000
+RULES_A_ROUND = 1 << 14
+LEAST = 4  # a pair that occurs less often is no rule
+MOST_PARTS = 600_000
+CHUNK = 1 << 20  # bytes of text that are encoded at once; a shard ends behind such a chunk
 _SLOTS = 20
 
 SHARD_SCHEMA = "part int, shard int, n_tokens long, doc_ids array<long>, doc_tokens array<int>, doc_symbols array<int>, rules binary, rule_lengths binary, symbols binary"
 
 
-def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOTS)
-
-
-def compress(ids: np.ndarray, starts: np.ndarray, least: int = 6, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counts(a: np.ndarray, b: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many pairs each slot has, and the slot of each pair; those across a border have a slot beside, which counts none."""
+    slot = ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOTS)).astype(np.intp)
+    slot[borders] = 1 << _SLOTS
+    counts = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
+    counts[-1] = 0
+    return counts, slot
+
+
+def _frequent(a: np.ndarray, b: np.ndarray, borders: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(places of pairs, the number of each one's pair, one place of each pair, whether all that was found was taken).
+
+    Of a slot with enough pairs, the pair that stands first in it is looked at.
+    """
+    counts, slot = _counts(a, b, borders)
+    above = np.cumsum(np.bincount(np.minimum(counts, 1 << 14))[::-1])[::-1]  # slots with so many pairs or more
+    floor = max(least, int(np.searchsorted(-above, -2 * RULES_A_ROUND)))
+    own = np.flatnonzero(counts >= floor)
+    number = np.full(len(counts), -1, np.int32)
+    number[own] = np.arange(len(own), dtype=np.int32)
+    number = number[slot]
+    hits = np.flatnonzero(number >= 0)
+    number = number[hits]
+    first = np.zeros(len(own), np.int64)
+    first[number[::-1]] = hits[::-1]
+    same = (a[hits] == a[first[number]]) & (b[hits] == b[first[number]])
+    hits, number = hits[same], number[same]
+    often = np.bincount(number, minlength=len(own))
+    keep = often >= least
+    whole = floor == least and keep.sum() <= RULES_A_ROUND
+    if keep.sum() > RULES_A_ROUND:
+        keep[np.argsort(-often, kind="stable")[RULES_A_ROUND:]] = False
+    new = np.cumsum(keep) - 1
+    some = keep[number]
+    return hits[some], new[number[some]], first[keep], whole
+
+
+def _frequent_among(a: np.ndarray, b: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for all pairs at the given ascending places, by exact counts."""
+    _, first, number, often = np.unique((a[places].astype(np.int64) << 32) | b[places], return_index=True, return_inverse=True, return_counts=True)
+    keep = often >= least
+    some = keep[number]
+    return places[some], (np.cumsum(keep) - 1)[number[some]], places[first[keep]]
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts of the documents among them, rules as pairs, expansion lengths of the rules)."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < FIRST_RULE:
+        raise ValueError(f"ids must be in 0 .. {FIRST_RULE - 1}")
     seq, starts = ids.astype(np.int32), np.asarray(starts, dtype=np.int64)
     rules = np.zeros((0, 2), np.int32)
     lengths = np.zeros(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    newest, exact = 0, False  # newest: the first rule of the last round, where only pairs with its rules may have become frequent
+    while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        slot = _slots(a, b).astype(np.intp)
-        slot[starts[(starts > 0) & (starts < len(seq))] - 1] = 1 << _SLOTS  # a slot beside, for pairs across a border
-        counts = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
-        counts[-1] = 0
-        above = np.cumsum(np.bincount(np.minimum(counts, 1 << 14))[::-1])[::-1]  # slots with so many pairs or more
-        floor = max(least, int(np.searchsorted(-above, -2 * RULES_A_ROUND)))
-        some = np.flatnonzero((counts >= floor)[slot])
-        keys, often = np.unique((a[some].astype(np.int64) << 32) | b[some], return_counts=True)
-        keys, often = keys[often >= least], often[often >= least]
-        order = np.lexsort((keys, -often))
-        left, right = (keys[order] >> 32).astype(np.int32), (keys[order] & 0xFFFFFFFF).astype(np.int32)
-        _, first = np.unique(_slots(left, right), return_index=True)
-        first = np.sort(first)[:RULES_A_ROUND]
-        if not len(first):
+        borders = starts[(starts > 0) & (starts < len(seq))] - 1
+        hits = np.zeros(0, np.int64)
+        if newest:
+            new = seq >= newest
+            places = np.flatnonzero(new[:-1] | new[1:])
+            hits, rule, first = _frequent_among(a, b, places[~np.isin(places, borders)], least)
+        elif not exact:
+            hits, rule, first, whole = _frequent(a, b, borders, least)
+        if not len(hits) and not exact:  # frequent pairs that stood behind rare ones in their slots
+            counts, slot = _counts(a, b, borders)
+            hits, rule, first = _frequent_among(a, b, np.flatnonzero((counts >= least)[slot]), least)
+            whole = exact = True
+        if not len(hits):
             break
-        left, right = left[first], right[first]
-        table = np.full((1 << _SLOTS) + 1, -1, dtype=np.int32)
-        table[_slots(left, right)] = np.arange(len(left), dtype=np.int32)
-        hits = np.flatnonzero((table >= 0)[slot])
-        rule = table[slot[hits]]
-        same = (left[rule] == a[hits]) & (right[rule] == b[hits])
-        hits, rule = hits[same], rule[same]
         # leftmost first: of a run of overlapping pairs, every second is replaced
         new_run = np.concatenate([[True], np.diff(hits) > 1])
         heads = np.maximum.accumulate(np.where(new_run, hits, 0))
         even = (hits - heads) % 2 == 0
+        own = np.stack([a[first], b[first]], axis=1)
         hits, rule = hits[even], rule[even]
-        before = len(seq)
-        stay = np.ones(before, dtype=bool)
+        newest = FIRST_RULE + len(rules) if whole else 0
+        stay = np.ones(len(seq), dtype=bool)
         stay[hits + 1] = False
         seq = seq.copy()
         seq[hits] = FIRST_RULE + len(rules) + rule
         seq = seq[stay]
         starts = starts - np.searchsorted(hits + 1, starts)
-        own = np.stack([left, right], axis=1)
         lengths = np.concatenate([lengths, _lengths_of(own.ravel(), lengths).reshape(-1, 2).sum(axis=1)])
         rules = np.concatenate([rules, own])
-        if before - len(seq) < before // 200:
-            break
     return seq, starts, rules, lengths
 
 
@@ -133,7 +167,9 @@ def id_at(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, k: int) -
 
 
 def _pack(symbols: np.ndarray) -> bytes:
-    """Three planes of bytes, low first; symbols are below 2**24."""
+    """Three planes of bytes, low first."""
+    if symbols.max(initial=0) >> 24:
+        raise ValueError("a shard has more rules than 24 bits can name")
     return symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
 
 
@@ -184,11 +220,10 @@ def _build(vocabulary: str, end: int, shard_ids: int):
 
         held = 0
         for batch in batches:
-            texts, own = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 64):
-                some = [t or "" for t in texts[lo : lo + 64]]
-                got, at = encode(some, end)
-                keys += own[lo : lo + 64]
+            own = batch.column(0).to_pylist()
+            for lo, hi, buf, offsets in text_chunks(batch.column(1), CHUNK):
+                got, at = encode(buf, offsets, end)
+                keys += own[lo:hi]
                 ids.append(got)
                 sizes.append(np.diff(at))
                 held += len(got)
