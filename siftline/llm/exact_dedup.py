@@ -4,8 +4,9 @@ The distinct digests of earlier deliveries are dealt into buckets by their first
 is one row of the index: a minimal perfect hash, and in its slots the full digest, the winner (the
 largest ``doc_id`` so far) and the number of rows. New digests are pre-aggregated, looked up in their
 bucket and compared byte for byte with the slot; members raise the slot's winner and count,
-nonmembers form groups of their own. Digests are uniform and distinct, so buckets are of even, bounded
-size whatever the sizes of the groups of copies.
+nonmembers form groups of their own. Digests are uniform and distinct, and there are as many buckets as
+the larger of both deliveries needs, so buckets are of even, bounded size whatever the sizes of the
+groups of copies or of the history.
 
 Rows: null counts as the empty text; the largest ``doc_id`` of a group stays, null ids only where the
 group has no other; of rows with equal id and text one stays; an empty table gives no row, and an
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U64, mix
-from .shared import keep_rows, materialise
+from .shared import join_groups, keep_rows, materialise
 
 BUCKET_DIGESTS = 1 << 14
 _NULL = np.iinfo(np.int64).min
@@ -151,23 +152,23 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 def group_digests(history: DataFrame, new: DataFrame) -> DataFrame:
     """Groups of two deliveries of (digest, doc_id, n)."""
-    known = materialise(_groups(history), "history")
-    buckets = max(1, -(-known.count() // BUCKET_DIGESTS))
+    known, fresh = materialise(_groups(history), "history"), materialise(_groups(new), "new")
+    buckets = max(1, -(-max(known.count(), fresh.count()) // BUCKET_DIGESTS))
     index = materialise(build_index(known, buckets), "index")
-    return look_up(index, _groups(new), buckets)
+    return look_up(index, fresh, buckets)
 
 
 def _delivered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct (digest, doc_id) with their numbers, and the groups. Half of the ids, drawn by hash, are the historical delivery."""
     rows = materialise(docs.select("doc_id", digest("text").alias("digest")).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")), "digests")
     earlier = F.xxhash64("doc_id") % 2 == 0
-    return rows, group_digests(rows.filter(earlier), rows.filter(~earlier))
+    return rows, materialise(group_digests(rows.filter(earlier), rows.filter(~earlier)), "groups")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each document, dropped ones too."""
     rows, groups = _delivered(docs)
-    out = rows.join(groups, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    out = join_groups(rows, groups, "digest", "group_size").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -1,8 +1,9 @@
 """Personal data by pattern, and by bootstrapped contextual extraction.
 
-Seed entities are the matches of fixed patterns. Every identifier-like token of a text is an instance;
-the words around it are its lexical patterns. On the graph of patterns and instances, a pattern's
-score for a kind is the mean score of its instances, an instance's the noisy-or of its trusted
+Seed entities are the matches of fixed patterns. Every identifier-like token of a text, and every run of
+short digit groups, is an instance; the words around it are its lexical patterns. On the graph of patterns and instances, a pattern's
+score for a kind is the share of its instances that are seeds of the kind or have gained its score, where
+unseen instances weigh less than seeds of other kinds; an instance's is the noisy-or of its trusted
 patterns; seeds stay certain. After ``ROUNDS`` rounds, instances of high score that are no seeds are
 identifiers of that kind wherever a text has them.
 
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_batches
+from .shared import join_groups, materialise, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 3  # distinct seeds that a pattern needs before it is trusted
 PATTERN_SCORE = 0.8
 INSTANCE_SCORE = 0.9
+UNSEEN_WEIGHT = 0.3  # an unseen instance may be of the kind: it speaks less against a pattern than a seed of another kind
 ROUNDS = 3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -39,6 +41,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+#: Short groups of digits joined by single spaces, hyphens or brackets are one instance if they have enough digits.
+_RUN = re.compile(r"(?<![\w@.+/-])\(?[0-9]{1,6}\)?(?:[ -]\(?[0-9]{1,6}\)?)++(?![\w@])")
 _EDGE = "()[]{}<>\"'.,;:!?"
 
 
@@ -97,9 +101,19 @@ def _words(part: str) -> list[str]:
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds, and identifier-like tokens beside them, with the lexical patterns around each."""
+    """Seeds, and identifier-like tokens and runs of digit groups beside them, with the lexical patterns around each."""
     spans = [(a, b, k) for a, k, b in base]
     covered = sorted((a, b) for a, _, b in base)
+    runs = []
+    at = 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        if 7 <= len(_NOT_DIGITS.sub("", m.group())) <= 19 and not (at < len(covered) and covered[at][0] < b):
+            runs.append((a, b))
+    spans += [(a, b, -1) for a, b in runs]
+    covered = sorted(covered + runs)
     at = 0
     for m in _TOKEN.finditer(text):
         a, b = m.span()
@@ -151,28 +165,38 @@ def _by_kind(column: str, f) -> list[Column]:
     return [f(F.col(f"{column}{k}")).alias(f"{column}{k}") for k in range(len(KINDS))]
 
 
+def _confidence(own: Column, gained: Column, every: Column, seeds: Column) -> Column:
+    """Seeds of the kind and gained scores, over these, the seeds of other kinds, and the rest at ``UNSEEN_WEIGHT``."""
+    rest = F.greatest(every - seeds - gained, F.lit(0.0))
+    return (own + gained) / (seeds + gained + UNSEEN_WEIGHT * rest)
+
+
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(pattern, score0.., n_seeds0..) and (value, kind, score) of unseen instances, from distinct (pattern, value, seed)."""
+    """(pattern, score0.., n_seeds0..) and (value, kind, score) of unseen instances, from distinct (pattern, value, seed).
+
+    Joins know how many edges each pattern and value has, so a frequent one is not gathered in one task.
+    """
     edges = materialise(edges, "edges")
     kinds = range(len(KINDS))
-    seeds = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("seed") == k).cast("long")).alias(f"n_seeds{k}") for k in kinds])
+    seeds = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("seed") >= 0).cast("long")).alias("n_seeds"), *[F.sum((F.col("seed") == k).cast("long")).alias(f"n_seeds{k}") for k in kinds])
     seeds = materialise(seeds.filter(F.greatest(*[f"n_seeds{k}" for k in kinds]) >= MIN_SEEDS), "patterns")
     unseen = edges.filter("seed < 0").select("pattern", "value")
-    scores = None
+    degrees = materialise(unseen.groupBy("value").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    scores = rated = None
     for _ in range(rounds):
         if scores is None:
             gained = seeds.select("pattern", *[F.lit(0.0).alias(f"score{k}") for k in kinds])
         else:
-            gained = unseen.join(scores, "value").groupBy("pattern").agg(*_by_kind("score", F.sum))
+            gained = join_groups(unseen, scores, "value", "degree").groupBy("pattern").agg(*_by_kind("score", F.sum))
         rated = seeds.join(gained.toDF("pattern", *[f"gain{k}" for k in kinds]), "pattern", "left")
-        rated = rated.select("pattern", *[((F.col(f"n_seeds{k}") + F.coalesce(F.col(f"gain{k}"), F.lit(0.0))) / F.col("n")).alias(f"score{k}") for k in kinds], *[f"n_seeds{k}" for k in kinds])
+        rated = rated.select("pattern", "n", "n_seeds", *[_confidence(F.col(f"n_seeds{k}"), F.coalesce(F.col(f"gain{k}"), F.lit(0.0)), F.col("n"), F.col("n_seeds")).alias(f"score{k}") for k in kinds], *[f"n_seeds{k}" for k in kinds])
         rated = materialise(rated, "rated")
-        trusted = rated.select("pattern", *[F.when((F.col(f"score{k}") >= PATTERN_SCORE) & (F.col(f"n_seeds{k}") >= MIN_SEEDS), F.least(F.col(f"score{k}"), F.lit(0.95))).otherwise(0.0).alias(f"score{k}") for k in kinds])
+        trusted = rated.select("pattern", "n", *[F.when((F.col(f"score{k}") >= PATTERN_SCORE) & (F.col(f"n_seeds{k}") >= MIN_SEEDS), F.least(F.col(f"score{k}"), F.lit(0.95))).otherwise(0.0).alias(f"score{k}") for k in kinds])
         trusted = trusted.filter(F.greatest(*[f"score{k}" for k in kinds]) > 0)
-        scores = unseen.join(trusted, "pattern").groupBy("value").agg(*_by_kind("score", lambda s: F.lit(1.0) - F.exp(F.sum(F.log1p(-s)))))
-        scores = materialise(scores, "instances")
+        reached = join_groups(unseen, trusted, "pattern", "n").groupBy("value").agg(*_by_kind("score", lambda s: F.lit(1.0) - F.exp(F.sum(F.log1p(-s)))))
+        scores = materialise(reached.join(degrees, "value"), "instances")
     best = F.array_max(F.array(*[F.struct(F.col(f"score{k}").alias("score"), F.lit(k).alias("kind")) for k in kinds]))
-    return rated, scores.select("value", best.alias("x")).filter(F.col("x.score") >= INSTANCE_SCORE).select("value", "x.kind", "x.score")
+    return rated.drop("n", "n_seeds"), scores.select("value", best.alias("x")).filter(F.col("x.score") >= INSTANCE_SCORE).select("value", "x.kind", "x.score")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -183,7 +207,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     seen = rows.select("row", F.explode("instances").alias("i")).select("row", "i.*")
     edges = seen.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     _, found = score_graph(edges)
-    extra = seen.filter("seed < 0").join(found, "value").select("row", F.struct("start", F.col("kind").alias("rank"), "end").alias("s"))
+    counts = seen.filter("seed < 0").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    found = materialise(found.join(counts, "value"), "found")
+    extra = join_groups(seen.filter("seed < 0"), found, "value", "n").select("row", F.struct("start", F.col("kind").alias("rank"), "end").alias("s"))
     extra = extra.groupBy("row").agg(F.collect_list("s").alias("extra"))  # the spans of one text at most
     out = rows.select("row", "doc_id", "base").join(extra, "row", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))

@@ -1,7 +1,7 @@
 """A regularised quadratic discriminant over transformed document statistics.
 
 Statistics of the bytes, words and lines of a text are transformed to be nearly normal. Moments of
-each class are summed over all labelled rows; class covariances are shrunk towards the pooled one
+each class are summed over the labelled rows, at most ``MOST_LABELS`` ids; class covariances are shrunk towards the pooled one
 and that towards a multiple of the identity. A score is the posterior of label 1: the difference of
 the two log densities, each a Mahalanobis distance through the inverse of a Cholesky factor that is
 computed once.
@@ -28,6 +28,7 @@ from .shared import text_batches
 THRESHOLD = 0.7
 TO_POOLED = 0.1
 TO_IDENTITY = 0.01
+MOST_LABELS = 200_000
 
 _LINE = np.ones(256, dtype=bool)
 _LINE[10] = False
@@ -133,11 +134,16 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(k.ravel(), pa.int32()), pa.array(place.ravel(), pa.int32()), pa.array(sums.ravel())], names=["k", "place", "value"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY) -> Discriminant:
-    """Learns from all rows of ``docs`` that ``labels`` (doc_id, label) names; only sums of fixed size reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY, most_labels: int = MOST_LABELS) -> Discriminant:
+    """Learns from the rows of ``docs`` that ``labels`` (doc_id, label) names; only sums of fixed size reach the driver.
+
+    Of more than ``most_labels`` labelled ids, those of least hash are learnt from, so what is broadcast is
+    bounded and statistics are computed of no other text.
+    """
     text_batches(docs.sparkSession)
-    labels = labels.filter("label is not null").groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
-    rows = docs.select("doc_id", document_statistics("text").alias("x")).join(labels, "doc_id").select("x", "label")
+    labels = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
+    few = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(document_statistics("text").alias("x"), "label")
     sums = rows.mapInArrow(_moments, "k int, place int, value double").groupBy("k", "place").agg(F.sum("value").alias("value")).collect()
     table = np.zeros((2, 1 + SIZE + SIZE * SIZE))
     for r in sums:

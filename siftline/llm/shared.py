@@ -18,10 +18,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where the session has none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in ``spark.checkpoint.dir``, else that of setCheckpointDir; only a local session may have none and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="siftline-")
@@ -36,10 +38,12 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
+    return write_rows(df, new_path(df.sparkSession, label))
+
+
+def write_rows(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -59,19 +63,44 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(clean)
 
 
-ROWS_A_BATCH = 1000
+BATCH_BYTES = 4 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Whole texts are long: unless the session says otherwise, fewer of them than Spark's default go to Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ROWS_A_BATCH:
-        spark.conf.set(key, str(ROWS_A_BATCH))
+    """Whole texts are long: for the rest of the session, a batch for Python closes at ``BATCH_BYTES`` unless a lower limit is set.
+
+    The limit is read when a query runs, not when it is built, so it cannot be taken back here.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
-    """The rows of ``docs`` that ``kept`` (doc_id, key) names, one of those with equal id and key, with the columns of ``docs``."""
-    own = docs.withColumn("__sl_key", key)
-    named = kept.select(F.col("doc_id").alias("__sl_id"), F.col("key").alias("__sl_named")).distinct()
-    found = own.join(named, own["doc_id"].eqNullSafe(F.col("__sl_id")) & (own["__sl_key"] == F.col("__sl_named")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__sl_key"]).select(*docs.columns)
+    """The rows of ``docs`` that ``kept`` (doc_id, key) names, one of those with equal id and key, with the columns of ``docs``.
+
+    Both steps deal by one column of id and key, so texts are shuffled once.
+    """
+    name = "__sl_key"
+    while name in docs.columns:
+        name += "_"
+    own = docs.withColumn(name, F.struct("doc_id", key.alias("key")))
+    named = kept.select(F.struct("doc_id", "key").alias(name)).distinct()
+    return own.join(named, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+
+
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with their group (distinct ``key``, number of its rows ``size``), however large groups are.
+
+    Fewer than ``HOT_GROUPS`` groups can have more than that part of all rows: these are broadcast, so their
+    rows stay where they are; only the rows of other groups are shuffled. ``groups`` is read three times.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
+    hot = F.col(size) * HOT_GROUPS > total
+    few = rows.join(F.broadcast(groups.filter(hot)), key)
+    rest = rows.join(F.broadcast(groups.filter(hot).select(key)), key, "left_anti").join(groups.filter(~hot), key)
+    return few.unionByName(rest)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_rows, materialise, text_batches
+from .shared import drop_path, join_groups, keep_rows, materialise, new_path, text_batches, write_rows
 
 SHINGLE = 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -76,33 +76,39 @@ def links(prints: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b): the least node that it is connected to."""
+    spark = edges.sparkSession
     both = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), "links")
-    labels = materialise(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), "labels")
+    path = new_path(spark, "labels")
+    labels = write_rows(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), path)
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         lower = lower.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
-        lower = materialise(lower, "labels")
+        before, path = path, new_path(spark, "labels")
+        lower = write_rows(lower, path)
+        drop_path(spark, before)  # nothing reads the round before any more
         labels = lower.select("node", "root")
         if lower.filter("root < old").isEmpty():
             return labels
 
 
 def fingerprint_components(rows: DataFrame) -> DataFrame:
-    """(fp, component_id) of the distinct fingerprints of ``rows`` (doc_id, fp)."""
-    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    """(fp, n, component_id) of the distinct fingerprints of ``rows`` (doc_id, fp), each with the number of its rows."""
+    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
     found = components(links(prints))
-    rooted = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    alone = prints.join(found, prints["fp"] == found["node"], "left_anti").select("fp", "n", F.col("least").alias("component_id"))
+    linked = prints.join(found.withColumnRenamed("node", "fp"), "fp")
+    sizes = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = join_groups(linked, materialise(sizes, "components"), "root", "members").select("fp", "n", "component_id")
+    return materialise(alone.unionByName(named), "named")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     text_batches(docs.sparkSession)
     rows = materialise(docs.select("doc_id", fingerprint("text", shingle).alias("fp")), "fingerprints")
-    out = rows.join(fingerprint_components(rows), "fp")
+    out = join_groups(rows, fingerprint_components(rows), "fp", "n")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -110,7 +116,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The document of least ``doc_id`` in each component, with all its columns; of rows with equal id and text one stays."""
     text_batches(docs.sparkSession)
     rows = materialise(docs.select("doc_id", F.xxhash64("text").alias("key"), fingerprint("text", shingle).alias("fp")), "fingerprints")
-    joined = rows.join(fingerprint_components(rows), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    joined = join_groups(rows, fingerprint_components(rows), "fp", "n").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # two texts of one component may share its least id
     kept = joined.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("x.doc_id", "x.key")
     return keep_rows(docs, kept, F.xxhash64("text"))

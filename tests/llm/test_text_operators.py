@@ -145,6 +145,103 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(len(found[i]) == 1 for i in range(12))
 
 
+def brute_graph(edges):
+    """Scores of patterns and unseen instances by dictionaries, round by round."""
+    kinds = range(len(pii.KINDS))
+    values = {}
+    for p, v, seed in edges:
+        values.setdefault(p, {})[v] = seed
+    seeds = {p: [sum(s == k for s in own.values()) for k in kinds] for p, own in values.items()}
+    seeds = {p: n for p, n in seeds.items() if max(n) >= pii.MIN_SEEDS}
+    scores, rated = {}, {}
+    for _ in range(pii.ROUNDS):
+        rated = {}
+        for p, n in seeds.items():
+            gains = [sum(scores.get(v, [0] * 4)[k] for v, s in values[p].items() if s < 0) for k in kinds]
+            rated[p] = [(n[k] + g) / (sum(n) + g + pii.UNSEEN_WEIGHT * max(0, len(values[p]) - sum(n) - g)) for k, g in enumerate(gains)]
+        trusted = {p: [min(x[k], 0.95) if x[k] >= pii.PATTERN_SCORE and seeds[p][k] >= pii.MIN_SEEDS else 0 for k in kinds] for p, x in rated.items()}
+        scores = {}
+        for p, x in trusted.items():
+            if max(x) > 0:
+                for v, s in values[p].items():
+                    if s < 0:
+                        scores.setdefault(v, [1.0] * 4)
+                        scores[v] = [m * (1 - q) for m, q in zip(scores[v], x)]
+        scores = {v: [1 - m for m in x] for v, x in scores.items()}
+    return rated, {v: max((x[k], k) for k in kinds) for v, x in scores.items() if max(x) >= pii.INSTANCE_SCORE}
+
+
+def test_graph_scores_by_brute_force(spark):
+    random.seed(21)
+    edges = set()
+    for v in range(120):
+        seed = random.choice([-1, -1, 0, 1, 3])
+        for _ in range(random.randint(1, 4)):
+            edges.add((f"p{random.randint(0, 6) if seed == 3 or seed < 0 and v % 3 else random.randint(5, 25)}", f"v{v}", seed))
+    edges |= {("hot _", f"v{v}", 3 if v % 9 else -1) for v in range(900, 1400)}
+    rated, found = pii.score_graph(spark.createDataFrame(sorted(edges), "pattern string, value string, seed int"))
+    want_rated, want = brute_graph(edges)
+    got = {r.pattern: [r[f"score{k}"] for k in range(4)] for r in rated.collect()}
+    assert set(got) == set(want_rated) and all(np.allclose(got[p], want_rated[p]) for p in got)
+    assert {r.value: r.kind for r in found.collect()} == {v: k for v, (_, k) in want.items()} and len(want) > 20
+
+
+#: Contexts of each kind; two thirds of the identifiers in them are seeds, a third can be found by context only.
+CONTEXTS = {
+    3: ["please dial my number {} thanks", "reach our desk under phone {} today", "the hotline {} is open"],
+    0: ["send mail to address {} soon", "my inbox is {} for now"],
+    2: ["pay with credit card {} online", "charge the card number {} now"],
+}
+CLEAN = ["part number {} of the list", "the year {} was cold", "see room {} upstairs", "version {} of the tool", "order {} has shipped", "a total of {} people", "line {} of the file"]
+
+
+def labelled_texts():
+    """(doc_id, text), and the spans that are personal data but no match of a fixed pattern."""
+    random.seed(31)
+    rows, hidden = [], {}
+
+    def digits(n):
+        return "".join(random.choice("0123456789") for _ in range(n))
+
+    def luhn(n):
+        body = random.choice("45") + digits(n - 2)
+        return next(body + c for c in "0123456789" if pii._luhn(body + c))
+
+    for d in range(900):
+        kind = random.choice([*CONTEXTS, None, None])
+        if kind is None:
+            rows.append((d, "some text, " + random.choice(CLEAN).format(random.choice([digits(6), f"{digits(3)}-{digits(4)}", f"v{digits(2)}.{digits(3)}"])) + " and on."))
+            continue
+        hide = random.random() < 0.33
+        value = {3: f"+1 415 {digits(3)} {digits(4)}", 0: f"user{digits(3)}@mail{digits(2)}.org", 2: luhn(16)}[kind]
+        if hide:
+            value = {3: random.choice([f"0{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(4)}"]), 0: f"user{digits(3)}@localhost", 2: f"{digits(4)}-{digits(4)}-{digits(3)}"}[kind]
+        text = "some text, " + random.choice(CONTEXTS[kind]).format(value) + " and on."
+        if hide:
+            a = text.index(value)
+            hidden[d] = (a, kind, a + len(value))
+        rows.append((d, text))
+    return rows, hidden
+
+
+def test_precision_and_recall_of_what_contexts_discover(spark):
+    rows, hidden = labelled_texts()
+    found = {(r.doc_id, tuple(x)) for r in pii.find_personal_data(documents(spark, rows)).collect() for x in r.spans if x not in r.base}
+    want = set(hidden.items())
+    precision, recall = len(found & want) / max(1, len(found)), len(found & want) / len(want)
+    print(f"discovered {len(found)} of {len(want)}: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.9 and recall >= 0.9, (sorted(found - want)[:10], sorted(want - found)[:10])
+
+
+def test_a_hot_value_and_very_long_tokens(spark):
+    rows = [(i, f"please dial my number +1 (415) 555-{1000 + i} thanks") for i in range(12)]
+    rows += [(100 + i, "please dial my number 0171 555 0199 thanks") for i in range(200)]
+    rows += [(500, "9" * 100_000), (501, "1 2 " * 50_000), (502, "@a" * 50_000)]
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    a = rows[12][1].index("0171")
+    assert all(found[100 + i] == [(a, 3, a + 13)] for i in range(200)) and found[500] == found[501] == found[502] == []
+
+
 def test_personal_data_of_all_rows(spark):
     found = pii.find_personal_data(documents(spark)).collect()
     assert len(found) == len(ROWS)
@@ -299,6 +396,47 @@ def test_quality_learns_and_scores_all(spark):
     assert all(r.predicted == (r.doc_id % 3 != 0) for r in found if r.doc_id is not None and r.doc_id < 400)
 
 
+def plain_discriminant(x, y):
+    """The same discriminant from class arrays, with inverse covariances and determinants."""
+    means, spreads = [x[y == k].mean(axis=0) for k in (0, 1)], [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    share = np.array([(y == k).mean() for k in (0, 1)])
+    pooled = share[0] * spreads[0] + share[1] * spreads[1]
+    unit = np.diag(1 / np.sqrt(np.maximum(np.diag(pooled), 1e-8)))
+    parts = []
+    for k in (0, 1):
+        c = unit @ ((1 - quality.TO_POOLED) * spreads[k] + quality.TO_POOLED * pooled) @ unit
+        c = (1 - quality.TO_IDENTITY) * c + quality.TO_IDENTITY * np.trace(c) / len(c) * np.eye(len(c))
+        parts.append((means[k], np.linalg.inv(c), np.log(share[k]) - 0.5 * np.linalg.slogdet(c)[1]))
+
+    def score(row):
+        logs = [w - 0.5 * (unit @ (row - m)) @ inverse @ (unit @ (row - m)) for m, inverse, w in parts]
+        return 1 / (1 + math.exp(-min(35, max(-35, logs[1] - logs[0]))))
+
+    return score
+
+
+def test_scores_of_documents_by_a_plain_discriminant(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rows += [(9001, None), (9002, ""), (9003, "same words"), (9004, "same words"), (9005, "long " * 60_000)]
+    given = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    stats = {d: quality.statistics(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for d, t in rows}
+    learnt = [d for d, _ in rows if d in given and zlib.crc32(str(d).encode()) % 4 != 2]
+    score = plain_discriminant(np.array([stats[d] for d in learnt]), np.array([given[d] for d in learnt]))
+    found = {r.doc_id: r for r in quality.score_documents(documents(spark, rows), labels).collect()}
+    assert set(found) == set(stats) and found[9003].score == found[9004].score and found[9001].score == found[9002].score
+    for d, x in stats.items():
+        assert abs(found[d].score - score(x)) < 1e-6 and found[d].predicted == (found[d].score >= 0.7)
+
+
+def test_labels_beyond_the_bound_are_not_learnt_from(spark):
+    rows = [(i, "the river moves. " * 9 if i % 2 else "BUY!!! NOW!!! " * 9) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, label int")
+    model = quality.fit(documents(spark, rows), labels, most_labels=50)
+    least = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).limit(50).collect()]
+    assert abs(model.share - np.mean([i % 2 for i in least])) < 1e-9
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score_documents(documents(spark), none).collect()} == {0.5}
