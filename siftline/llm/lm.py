@@ -1,70 +1,162 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts words exactly, and pairs of words, over all training texts. Workers count each
-partition into sorted arrays of hashes; the arrays travel as blobs, dealt by the high bits of the
-hash, so a word that is a third of all tokens is one entry of each partition. A pair that occurs c
-times is put into the filter once for each of the levels 1 .. 1 + floor(log2 c); a reader probes
-level after level until one is missing and takes the middle of that power of two as the count. The
-probability of a word is its pair count smoothed with the additive word probability:
-(c(h, w) + mu * p(w)) / (c(h) + mu), so every token has a share of the whole.
-
-Counts of words and blocks of the filter are broadcast as pages of at most ``PAGE_BYTES``. Up to
-``HELD_BYTES`` of them a worker keeps all; beyond that it goes through them one at a time for each
-piece of its input, so memory is bounded and the scores are the same. Words are told apart by 64-bit
-hashes. The filter's false positives are about 1 in 100 for each probed pair that never occurred.
+Training counts words exactly, and pairs of words, over all training texts. Workers count pieces of
+text into sorted arrays of hashes, which travel as blobs dealt by the high bits of the hash, so a word
+that is a third of all tokens is one entry of each piece. A pair that occurs c times is put into the
+filter once for each of the levels 1 .. 1 + floor(log2 c); a reader probes level after level until one
+is missing and takes 2**(level - 1), the least such count. A word's pair count is smoothed with its
+additive probability: (q(h, w) + mu * p(w)) / (c(h) + mu). As q never exceeds the true count, the
+probabilities after any h add up to 1 at most, but for the filter's false positives: about 6 in 10,000
+of the probed pairs that never occurred, which count as 1.
+
+Counts and filter are dealt into blocks, one for each ``BLOCK_BYTES`` of training text. Up to
+``BROADCAST_BYTES`` in all they are broadcast; beyond that the probes go to the blocks: each piece of
+text asks every block once for its distinct words and pairs, and answers return to the piece. Both ways
+give the same scores; nothing depends on the size of the corpus but the number of blocks. Words are
+told apart by 64-bit hashes (XXH3), pairs by as many bits of one as make collisions rarer than false positives.
 
 Rows: null texts are empty and have one token, the end; a null id counts as the empty text in the
 choice of training rows; without training texts all counts are 0 and every score is finite; repeated
-rows count and are scored each time. Extra columns are not read.
+rows count and are scored each time; a very long text is a piece of its own. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .bytesops import LOWER, NONSPACE, U64, mix, segment, span_hashes, text_chunks
+from .bytesops import LOWER, NONSPACE, U64, mix, segment, text_chunks
 from .shared import materialise, text_batches
 
 ADD = 0.1
 MU = 200.0
-BITS_AN_ENTRY = 10
-PROBES = 5
-BLOCK_BYTES = 48 << 20  # of text for each block of counts and of the filter, as a power of two of blocks
-PAGE_BYTES = 32 << 20
-HELD_BYTES = 160 << 20
-_BUFFER = 3_000_000  # hashes that a counting worker gathers before it hands them on
+BITS_AN_ENTRY = 16
+PROBES = 8
+BLOCK_BYTES = 8 << 20
+BROADCAST_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
+WORDS, PAIRS, TEXTS = range(3)  # kinds of rows
+_BUFFER = 1_000_000  # hashes that a counting worker gathers before it hands them on
 _END, _START = U64(0x27D4EB2F165667C5), U64(0x165667B19E3779F9)
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of all tokens, hashes of the pairs that they end, first token of each text)."""
-    low = LOWER[buf]
-    starts, ends, begins = segment(low, offsets, NONSPACE)
-    words = np.insert(span_hashes(low, starts, ends), begins[1:], _END)
-    begins = begins + np.arange(len(begins))
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[begins[:-1]] = _START
-    with np.errstate(over="ignore"):
-        return words, mix(before * U64(0x9FB21C651E98DF25) + words), begins
+@dataclass(frozen=True)
+class Sizes:
+    """Of a model's blocks: their number as a power of two, and the bits of a pair's hash."""
 
+    bits: int
+    width: int
 
-def add_up(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes and the sums of their counts."""
-    h, c = np.concatenate(hashes), np.concatenate(counts)
-    if not len(h):
-        return h, c
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[heads], np.add.reduceat(c, heads)
+    @classmethod
+    def of(cls, n_bytes: int) -> Sizes:
+        """A text has at most one pair for every two bytes; 13 bits more than number these make collisions rarer than false positives."""
+        return cls(max(0, -(-n_bytes // BLOCK_BYTES) - 1).bit_length(), min(64, max(24, (n_bytes // 2).bit_length() + 13)))
+
+
+@dataclass
+class Piece:
+    """Consecutive texts as numbers of their distinct words; the end of a text is a word."""
+
+    hashes: np.ndarray  # of the distinct words
+    stream: np.ndarray  # the number of each token's word
+    begins: np.ndarray  # first token of each text, and one place more
+
+    @classmethod
+    def of(cls, buf: np.ndarray, offsets: np.ndarray) -> Piece:
+        low = LOWER[buf]
+        starts, ends, begins = segment(low, offsets, NONSPACE)
+        places = np.concatenate([[0], np.cumsum(ends - starts)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(low[NONSPACE[low]])]).dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False)
+        hashes = np.fromiter(map(xxh3_64_intdigest, known), U64, len(known))
+        stream = np.insert(words.indices.to_numpy(), begins[1:], len(known))
+        return cls(np.append(hashes, _END), stream.astype(np.int32), begins + np.arange(len(begins)))
+
+    def pairs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ascending distinct hashes of pairs, of ``width`` bits, the number of each token's pair (with the token before), and counts."""
+        n = len(self.hashes) + 1  # the last number stands for the begin of a text
+        before = np.empty(len(self.stream), np.int64)
+        before[1:] = self.stream[:-1]
+        before[self.begins[:-1]] = n - 1
+        both, back, counts = np.unique(before * n + self.stream, return_inverse=True, return_counts=True)
+        own = np.append(self.hashes, _START)
+        with np.errstate(over="ignore"):
+            hashes = mix(own[both // n] * U64(0x9FB21C651E98DF25) + own[both % n]) >> U64(64 - width)
+        hashes, place, spread = _distinct(hashes, counts)
+        return hashes, place[back], spread
+
+
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct hashes, the place of each given one among them, and sums of counts."""
+    if not len(hashes):
+        return hashes, np.zeros(0, np.int64), counts
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    place = np.empty(len(hashes), np.int64)
+    place[order] = np.cumsum(first) - 1
+    heads = np.flatnonzero(first)
+    return ordered[heads], place, np.add.reduceat(counts[order], heads)
+
+
+def _write_numbers(x: np.ndarray) -> bytes:
+    """How many, their width in bytes, and the compressed planes of their bytes."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(x).to_bytes(4, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _read_numbers(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data[5:], decompressed_size=n * width, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel().astype(U64)
+
+
+def _write_hashes(ascending: np.ndarray) -> bytes:
+    return _write_numbers(np.diff(ascending, prepend=U64(0)))
+
+
+def _read_hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(_read_numbers(data), dtype=U64)
+
+
+def _block_of(kind: int, hashes: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """The high bits of each hash."""
+    return (hashes >> U64((64 if kind == WORDS else sizes.width) - sizes.bits)).astype(np.int64) if sizes.bits else np.zeros(len(hashes), np.int64)
+
+
+def _by_block(kind: int, hashes: np.ndarray, sizes: Sizes) -> Iterator[tuple[int, int, int]]:
+    """(block, first, end) of ascending hashes."""
+    own, first = np.unique(_block_of(kind, hashes, sizes), return_index=True)
+    return zip(own.tolist(), first.tolist(), np.append(first, len(hashes))[1:].tolist(), strict=True)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Piece]]:
+    """Pieces of the last column of the batches, of about ``PIECE_BYTES`` or one longer text, and what the first column has for them."""
+    held: list[pa.RecordBatch] = []
+
+    def cut() -> Iterator[tuple[pa.Array, Piece]]:
+        both = pa.Table.from_batches(held).combine_chunks()
+        first, texts = both.column(0).combine_chunks(), both.column(both.num_columns - 1)
+        for lo, hi, buf, offsets in text_chunks(texts, PIECE_BYTES):
+            yield first.slice(lo, hi - lo), Piece.of(buf, offsets)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= PIECE_BYTES // 2:
+            yield from cut()
+            held = []
+    if held:
+        yield from cut()
 
 
 class _Counter:
@@ -73,44 +165,42 @@ class _Counter:
         self.counts: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, hashes: np.ndarray) -> None:
-        h, c = np.unique(hashes, return_counts=True)
-        self.hashes.append(h)
-        self.counts.append(c.astype(np.int64))
-        self.held += len(h)
-        if self.held > _BUFFER:
-            merged = add_up(self.hashes, self.counts)
-            self.hashes, self.counts, self.held = [merged[0]], [merged[1]], len(merged[0])
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.hashes.append(hashes)
+        self.counts.append(counts)
+        self.held += len(hashes)
+        if self.held > _BUFFER and len(self.hashes) > 1:
+            h, _, c = _distinct(np.concatenate(self.hashes), np.concatenate(self.counts))
+            self.hashes, self.counts, self.held = [h], [c], len(h)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = add_up(self.hashes, self.counts) if self.hashes else (np.zeros(0, U64), np.zeros(0, np.int64))
+        h, _, c = _distinct(np.concatenate([np.zeros(0, U64), *self.hashes]), np.concatenate([np.zeros(0, np.int64), *self.counts]))
         self.__init__()
-        return out
+        return h, c
 
 
 _COUNTS = "kind int, block int, hashes binary, counts binary"
 
 
-def _count(bits: int):
-    def rows(kind: int, counted: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, c = counted
-        blocks = (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-        own = np.unique(blocks)
-        cuts = np.append(np.searchsorted(blocks, own), len(h))
-        for b, lo, hi in zip(own.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "block": pa.array([b], pa.int32()), "hashes": pa.array([h[lo:hi].astype("<u8").tobytes()], pa.binary()), "counts": pa.array([c[lo:hi].astype("<i8").tobytes()], pa.binary())})
+def _count(sizes: Sizes):
+    def rows(kind: int, counter: _Counter) -> Iterator[pa.RecordBatch]:
+        h, c = counter.take()
+        own = [(b, _write_hashes(h[lo:hi]), _write_numbers(c[lo:hi])) for b, lo, hi in _by_block(kind, h, sizes)]
+        if own:
+            block, hashes, counts = zip(*own, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.int32()), pa.array(block, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["kind", "block", "hashes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = _Counter(), _Counter()
-        for batch in batches:
-            for _, _, buf, offsets in text_chunks(batch.column(0)):
-                words, pairs, _ = tokens(buf, offsets)
-                for kind, values in enumerate((words, pairs)):
-                    counters[kind].add(values)
-                    if counters[kind].held > _BUFFER // 2:
-                        yield from rows(kind, counters[kind].take())
-        for kind in (0, 1):
-            yield from rows(kind, counters[kind].take())
+        for _, piece in _pieces(batches):
+            counters[WORDS].add(piece.hashes, np.bincount(piece.stream, minlength=len(piece.hashes)))
+            hashes, _, counts = piece.pairs(sizes.width)
+            counters[PAIRS].add(hashes, counts)
+            for kind, counter in enumerate(counters):
+                if counter.held > _BUFFER // 2:
+                    yield from rows(kind, counter)
+        for kind, counter in enumerate(counters):
+            yield from rows(kind, counter)
 
     return run
 
@@ -120,16 +210,15 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
-def expected_count(levels: np.ndarray) -> np.ndarray:
-    """The middle of the counts that have so many levels; 0 for none."""
-    top = np.exp2(levels)
-    return np.where(levels > 0, (top / 2 + top - 1) / 2, 0.0)
+def least_count(levels: np.ndarray) -> np.ndarray:
+    """The least count that has so many levels; 0 for none."""
+    return np.where(levels > 0, np.exp2(levels - 1.0), 0.0)
 
 
-def _places(hashes: np.ndarray, level: Any, k: int, sizes: Any) -> np.ndarray:
+def _places(hashes: np.ndarray, level: int, k: int, sizes: Any) -> np.ndarray:
     with np.errstate(over="ignore"):
-        g = mix(hashes ^ (np.asarray(level).astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
-        return ((g & U64(0xFFFFFFFF)) + U64(k) * ((g >> U64(32)) | U64(1))) % sizes
+        g = mix(hashes ^ (U64(level) * U64(0xC2B2AE3D27D4EB4F)))
+        return (((g & U64(0xFFFFFFFF)) + U64(k) * ((g >> U64(32)) | U64(1))) % sizes).astype(np.int64)
 
 
 def build_filter(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -140,137 +229,205 @@ def build_filter(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for level in range(1, int(levels.max(initial=0)) + 1):
         own = hashes[levels >= level]
         for k in range(PROBES):
-            bits[_places(own, level, k, U64(size)).astype(np.int64)] = True
+            bits[_places(own, level, k, U64(size))] = True
     return np.packbits(bits, bitorder="little")
 
 
+def read_filter(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The level of each hash in the filter whose bytes begin at its start and are as many as its size."""
+    out, live, level = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), 1
+    while len(live):
+        for k in range(PROBES):
+            place = _places(hashes[live], level, k, sizes[live].astype(U64) * U64(8))
+            live = live[(body[starts[live] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1]
+        out[live] = level
+        level += 1
+    return out
+
+
 _BLOCKS = "kind int, block int, hashes binary, body binary, total long, distinct long"
 
 
 def _reduce(key: tuple, table: pa.Table) -> pa.Table:
     kind = key[0].as_py()
-    h, c = add_up([np.frombuffer(x, "<u8").astype(U64) for x in table["hashes"].to_pylist()], [np.frombuffer(x, "<i8") for x in table["counts"].to_pylist()])
-    body = c.astype("<i8").tobytes() if kind == 0 else build_filter(h, c).tobytes()
-    return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "hashes": pa.array([h.astype("<u8").tobytes() if kind == 0 else b""], pa.binary()), "body": pa.array([body], pa.binary()), "total": pa.array([int(c.sum())], pa.int64()), "distinct": pa.array([len(h)], pa.int64())})
-
-
-@dataclass
-class Page:
-    """Consecutive blocks of word counts (kind 0) or of the filter (kind 1)."""
-
-    kind: int
-    blocks: np.ndarray
-    starts: np.ndarray
-    sizes: np.ndarray
-    hashes: np.ndarray
-    body: np.ndarray
-
-    @classmethod
-    def of(cls, rows: list) -> Page:
-        kind = rows[0].kind
-        bodies = [np.frombuffer(r.body, "<i8" if kind == 0 else np.uint8) for r in rows]
-        n = np.array([len(b) for b in bodies], np.int64)
-        hashes = np.concatenate([np.frombuffer(r.hashes, "<u8") for r in rows]) if kind == 0 else np.zeros(0, "<u8")
-        body = np.concatenate(bodies)
-        if kind == 0 and body.max(initial=0) < 1 << 32:
-            body = body.astype(np.uint32)
-        return cls(kind, np.array([r.block for r in rows], np.int64), np.cumsum(n) - n, n, hashes.astype(U64), body)
-
-    def read(self, hashes: np.ndarray, bits: int, out: np.ndarray) -> None:
-        """Sets ``out`` to the counts, or levels, of those hashes whose block is here."""
-        block = (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.blocks, block), len(self.blocks) - 1)
-        own = np.flatnonzero(self.blocks[at] == block)
-        if not len(own):
-            return
-        mine = hashes[own]
-        if self.kind == 0:
-            place = np.minimum(np.searchsorted(self.hashes, mine), len(self.hashes) - 1)
-            out[own] = np.where(self.hashes[place] == mine, self.body[place], 0)
-            return
-        starts, sizes = self.starts[at[own]], self.sizes[at[own]].astype(U64) * U64(8)
-        level, live = 1, np.arange(len(own))
-        while len(live):
-            for k in range(PROBES):
-                place = _places(mine[live], level, k, sizes[live]).astype(np.int64)
-                live = live[(self.body[starts[live] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    break
-            out[own[live]] = level
-            level += 1
+    h = np.concatenate([_read_hashes(x) for x in table["hashes"].to_pylist()])
+    h, _, c = _distinct(h, np.concatenate([_read_numbers(x) for x in table["counts"].to_pylist()]).astype(np.int64))
+    body = _write_numbers(c) if kind == WORDS else build_filter(h, c).tobytes()
+    values = [kind, key[1].as_py(), _write_hashes(h) if kind == WORDS else b"", body, int(c.sum()), len(h)]
+    return pa.table([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
+
+
+class Store:
+    """Blocks of word counts or of the filter, read by hash."""
+
+    def __init__(self, kind: int, sizes: Sizes, blocks: list[tuple[int, bytes, bytes]]):
+        self.kind, self.of = kind, sizes
+        blocks = sorted(blocks)
+        self.blocks = np.array([b for b, _, _ in blocks], np.int64)
+        if kind == WORDS:
+            self.hashes = np.concatenate([np.zeros(0, U64), *[_read_hashes(h) for _, h, _ in blocks]])
+            self.body = np.concatenate([np.zeros(0, np.int64), *[_read_numbers(c).astype(np.int64) for _, _, c in blocks]])
+        else:
+            bodies = [np.frombuffer(c, np.uint8) for _, _, c in blocks]
+            self.sizes = np.array([len(b) for b in bodies], np.int64)
+            self.starts, self.body = np.cumsum(self.sizes) - self.sizes, np.concatenate([np.zeros(0, np.uint8), *bodies])
+
+    def read(self, hashes: np.ndarray) -> np.ndarray:
+        """Counts, or levels, of the hashes; 0 for those that are not stored."""
+        known, own = (self.hashes, hashes) if self.kind == WORDS else (self.blocks, _block_of(PAIRS, hashes, self.of))
+        if not len(known):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        there = known[at] == own
+        if self.kind == WORDS:
+            return np.where(there, self.body[at], 0)
+        out = np.zeros(len(hashes), np.int64)
+        at = at[there]
+        out[there] = read_filter(self.body, self.starts[at], self.sizes[at], hashes[there])
+        return out
 
 
 @dataclass
 class Model:
-    pages: list  # broadcasts of Page, words before pairs
-    held: bool
-    bits: int
+    blocks: DataFrame  # kind, block, hashes, body
+    sizes: Sizes
+    n_bytes: int  # of training text
     total: int
     distinct: int
     texts: int
     mu: float
+    stores: list = field(default_factory=list)  # broadcasts, where they are small enough
 
-    def _read(self, kind: int, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), np.int64)
-        for own, page in self.pages:
-            if own == kind:
-                page.value.read(hashes, self.bits, out)
-                if not self.held:
-                    del page._value
-        return out
+    @property
+    def weights(self) -> tuple[int, int, int, float]:
+        return self.total, self.distinct, self.texts, self.mu
 
-    def score(self, buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        words, pairs, begins = tokens(buf, offsets)
-        kinds, back = np.unique(words, return_inverse=True)
-        c = self._read(0, kinds)[back]
-        base = (c + ADD) / (self.total + ADD * (self.distinct + 1))
-        before = np.empty(len(words), np.float64)
-        before[1:] = c[:-1]
-        before[begins[:-1]] = self.texts
-        seen = np.flatnonzero((c > 0) & (before > 0))  # a pair can occur only where both words do
-        together = np.zeros(len(words))
-        together[seen] = np.minimum(expected_count(self._read(1, pairs[seen])), np.minimum(c[seen], before[seen]))
-        smooth = (together + self.mu * base) / (before + self.mu)
 
-        def per_text(x: np.ndarray) -> np.ndarray:
-            return np.add.reduceat(x, begins[:-1])  # every text has a token
+def _scores(stream: np.ndarray, begins: np.ndarray, counts: np.ndarray, levels: np.ndarray, pair: np.ndarray, weights: tuple) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of each text, from counts of its words and levels of its pairs."""
+    total, distinct, texts, mu = weights
+    c = counts[stream]
+    base = (c + ADD) / (total + ADD * (distinct + 1))
+    before = np.empty(len(c), np.float64)
+    before[1:] = c[:-1]
+    before[begins[:-1]] = texts
+    together = np.minimum(least_count(levels)[pair], np.minimum(c, before))  # a pair occurs at most as often as its words
+    smooth = (together + mu * base) / (before + mu)
 
-        return {"n_tokens": np.diff(begins), "n_known": per_text((c > 0).astype(np.int64)), "base_score": per_text(np.log10(base)), "score": per_text(np.log10(smooth))}
+    def per_text(x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, begins[:-1])  # every text has a token
+
+    return [np.diff(begins), per_text((c > 0).astype(np.int64)), per_text(np.log10(base)), per_text(np.log10(smooth))]
 
 
 def fit(texts: DataFrame, mu: float = MU) -> Model:
     """Counts the column ``text`` of all rows of ``texts``; null is empty."""
     spark = texts.sparkSession
     text_batches(spark)
-    total = texts.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("texts")).first()
-    bits = max(0, (-(-(total.n or 0) // BLOCK_BYTES) - 1).bit_length()) if total.n else 0
-    counted = texts.select("text").mapInArrow(_count(bits), _COUNTS)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("texts")).first()
+    sizes = Sizes.of(size.n)
+    counted = texts.select("text").mapInArrow(_count(sizes), _COUNTS)
     blocks = materialise(counted.groupBy("kind", "block").applyInArrow(_reduce, _BLOCKS), "ngrams")
-    sums = blocks.filter("kind = 0").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
-    sizes = blocks.agg(F.sum(F.octet_length("hashes") + F.octet_length("body")).alias("n")).first()
-    pages, rows, held = [], [], 0
-    for row in blocks.orderBy("kind", "block").toLocalIterator():
-        size = len(row.hashes) + len(row.body)
-        if rows and (rows[0].kind != row.kind or held + size > PAGE_BYTES):
-            pages.append((rows[0].kind, spark.sparkContext.broadcast(Page.of(rows))))
-            rows, held = [], 0
-        rows.append(row)
-        held += size
-    if rows:
-        pages.append((rows[0].kind, spark.sparkContext.broadcast(Page.of(rows))))
-    return Model(pages, (sizes.n or 0) <= HELD_BYTES, bits, sums.n or 0, sums.v or 0, total.texts, mu)
+    words = F.col("kind") == WORDS
+    sums = blocks.agg(F.sum(F.when(words, F.col("total"))).alias("n"), F.sum(F.when(words, F.col("distinct"))).alias("v"), F.sum(F.octet_length("hashes") + F.octet_length("body")).alias("bytes")).first()
+    model = Model(blocks.select("kind", "block", "hashes", "body"), sizes, size.n, sums.n or 0, sums.v or 0, size.texts, mu)
+    if (sums.bytes or 0) <= BROADCAST_BYTES:
+        rows = model.blocks.collect()
+        model.stores = [spark.sparkContext.broadcast(Store(kind, sizes, [(r.block, r.hashes, r.body) for r in rows if r.kind == kind])) for kind in (WORDS, PAIRS)]
+    return model
+
+
+_RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _batch(doc_ids: pa.Array, values: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), *[pa.array(v) for v in values]], names=[c.split()[0] for c in _RESULT.split(", ")])
+
+
+def _score_here(stores: list, sizes: Sizes, weights: tuple):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, piece in _pieces(batches):
+            hashes, pair, _ = piece.pairs(sizes.width)
+            counts, levels = stores[WORDS].value.read(piece.hashes), stores[PAIRS].value.read(hashes)
+            yield _batch(ids, _scores(piece.stream, piece.begins, counts, levels, pair, weights))
+
+    return run
+
+
+_ASKED = "piece long, kind int, block int, part int, asked binary, data binary"
+_ASKED_TYPES = {"piece": pa.int64(), "kind": pa.int32(), "block": pa.int32(), "part": pa.int32(), "asked": pa.binary(), "data": pa.binary()}
+
 
+def _ask(sizes: Sizes, parts: int):
+    """Rows of the distinct words and of the pairs of each piece for each block (``asked``), and a row of the piece itself (``data``)."""
 
-def score(text: Column | str, model: Model) -> Column:
-    """A struct for each text: n_tokens, n_known, base_score, score (log10)."""
-    names = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for ids, piece in _pieces(batches):
+            order = np.argsort(piece.hashes)  # words are numbered by their hashes from here
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            piece = Piece(piece.hashes[order], rank[piece.stream], piece.begins)
+            rows = []
+            for kind, hashes in ((WORDS, piece.hashes), (PAIRS, piece.pairs(sizes.width)[0])):
+                rows += [(number, kind, b, number % parts, _write_hashes(hashes[i:j]), None) for b, i, j in _by_block(kind, hashes, sizes)]
+            with pa.BufferOutputStream() as sink:
+                own = pa.record_batch([pa.array([x], pa.binary()) for x in (_write_numbers(np.diff(piece.begins)), _write_numbers(piece.stream))] + [pa.array([ids.to_pylist()], pa.list_(pa.int64()))], names=["lengths", "stream", "ids"])
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_batch(own)
+                data = sink.getvalue().to_pybytes()
+            rows.append((number, TEXTS, number % (1 << sizes.bits), 0, None, data))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _ASKED_TYPES.values(), strict=True)], names=list(_ASKED_TYPES))
+            number += 1
+
+    return run
+
+
+def _answer(sizes: Sizes):
+    """Counts and levels for what is asked of a block; hashes of words go back with them, and the pieces themselves pass through."""
+
+    def run(key: tuple, asked: pa.Table, stored: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        if kind == TEXTS or not asked.num_rows:
+            return asked
+        store = Store(kind, sizes, [(r["block"], r["hashes"], r["body"]) for r in stored.to_pylist()])
+        given = asked["asked"].to_pylist()
+        own = [_read_hashes(x) for x in given]
+        values = np.split(store.read(np.concatenate(own)), np.cumsum([len(h) for h in own])[:-1])
+        new = {"asked": given if kind == WORDS else [None] * len(given), "data": [_write_numbers(v) for v in values]}
+        return pa.table([pa.array(new[c], t) if c in new else asked[c] for c, t in _ASKED_TYPES.items()], names=list(_ASKED_TYPES))
+
+    return run
+
+
+def _finish(sizes: Sizes, weights: tuple):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"]))
+        with pa.ipc.open_stream(rows[-1]["data"]) as source:
+            held = source.read_all()
+        begins = np.concatenate([[0], np.cumsum(_read_numbers(held["lengths"][0].as_py()).astype(np.int64))])
+        stream = _read_numbers(held["stream"][0].as_py()).astype(np.int32)
+        hashes = np.concatenate([_read_hashes(r["asked"]) for r in rows if r["kind"] == WORDS])
+        got = [np.concatenate([_read_numbers(r["data"]).astype(np.int64) for r in rows if r["kind"] == kind]) for kind in (WORDS, PAIRS)]
+        _, pair, _ = Piece(hashes, stream, begins).pairs(sizes.width)
+        return pa.Table.from_batches([_batch(held["ids"].chunk(0).flatten(), _scores(stream, begins, *got, pair, weights))])
+
+    return run
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            own = [model.score(buf, offsets) for _, _, buf, offsets in text_chunks(column, 1 << 20 if model.held else 8 << 20)]
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate([x[n] for x in own]) if own else [], kind) for n, kind in names.items()], names=list(names))
 
-    return F.arrow_udf(run, "struct<n_tokens:long,n_known:long,base_score:double,score:double>")(text)
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score (log10) of each document."""
+    text_batches(docs.sparkSession)
+    own = docs.select("doc_id", "text")
+    if model.stores:
+        return own.mapInArrow(_score_here(model.stores, model.sizes, model.weights), _RESULT)
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()
+    parts = max(1, -(-size.n // max(model.n_bytes, BLOCK_BYTES)))  # of a block's probes, where more is scored than was learnt
+    asked = own.mapInArrow(_ask(model.sizes, parts), _ASKED)
+    stored = model.blocks.select("kind", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "hashes", "body")
+    keys = ["kind", "block", "part"]
+    answers = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(_answer(model.sizes), _ASKED)
+    return answers.groupBy("piece").applyInArrow(_finish(model.sizes, model.weights), _RESULT)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -281,5 +438,5 @@ def held_out(doc_id: Column) -> Column:
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the rows that are not held out."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))).select("text"))
-    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text", model).alias("x"))
-    return found.select("doc_id", "held_out", "x.n_tokens", "x.n_known", F.lit(model.total).cast("long").alias("train_tokens"), "x.base_score", "x.score")
+    found = score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

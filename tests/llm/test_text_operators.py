@@ -515,13 +515,19 @@ def test_filter_has_all_pairs_and_few_others():
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(0, 1 << 48, 20000).astype(np.uint64))
     counts = rng.integers(1, 40, len(h))
-    store = lm.Store(lm.PAIRS, 0, [(0, b"", lm.build_filter(h, counts).tobytes())])
+    store = lm.Store(lm.PAIRS, lm.Sizes(0, 48), [(0, b"", lm.build_filter(h, counts).tobytes())])
     out = store.read(h)
     assert (out >= lm.levels_of(counts)).all() and (out == lm.levels_of(counts)).mean() > 0.99
     others = rng.integers(0, 1 << 48, 20000).astype(np.uint64)
     assert (store.read(others) > 0).mean() < 0.002
 
 
+@given(st.lists(st.integers(0, (1 << 64) - 1), max_size=50))
+def test_hashes_are_written_and_read(values):
+    x = np.array(sorted(set(values)), np.uint64)
+    assert lm._read_hashes(lm._write_hashes(x)).tolist() == x.tolist() and lm._read_numbers(lm._write_numbers(x)).tolist() == x.tolist()
+
+
 def test_no_training_rows(spark):
     rows = [(k, "a b") for k in range(400) if zlib.crc32(str(k).encode()) % 10 == 0]
     assert all(math.isfinite(r.score) and r.train_tokens == 0 for r in lm.score_documents(documents(spark, rows)).collect())
