@@ -1,4 +1,4 @@
-"""Token, keyword and text functions on columns. All but the planners stay in the JVM."""
+"""Keyword and text functions on columns. All but the planners stay in the JVM; folded terms are in ``terms``."""
 
 from __future__ import annotations
 
@@ -63,18 +63,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def tokens(text: Column) -> Column:
-    """Folded terms of a text in order, repeats kept, stopwords and single characters dropped.
-
-    The text is lower-cased as a whole; accents are looked up only in words with a character beyond
-    ASCII, and plural endings only in words that end in s.
-    """
-    kept = F.filter(words(F.lower(text)), lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
-    plain = F.transform(kept, lambda t: F.when(F.octet_length(t) > F.length(t), deaccent(t)).otherwise(t))
-    folded = F.transform(plain, lambda t: F.when(t.endswith("s"), fold_plural(t)).otherwise(t))
-    return F.filter(folded, lambda t: F.length(t) >= 2)
-
-
 def first_of_each(items: Column, key=F.lower) -> Column:
     """Items whose key no earlier item has, in order. For short arrays: it compares all with all."""
     keys = F.transform(items, key)

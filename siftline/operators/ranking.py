@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.text import heading_lines, query_tokens, tokens
+from siftline.functions.terms import distinct_tokens, term_places
+from siftline.functions.text import heading_lines, query_tokens
 
 from .dedup import _cut as cut
 
@@ -26,21 +27,15 @@ TRUST = {
 NEUTRAL_TRUST = 0.5
 
 
-def field_tokens(title: Column, headings: Column, body: Column) -> Column:
-    """Tokens of the body, then those of the headings twice, then those of the title three times."""
-    return F.concat(tokens(body), F.flatten(F.array_repeat(tokens(headings), HEADING_WEIGHT)), F.flatten(F.array_repeat(tokens(title), TITLE_WEIGHT)))
-
-
 def _close(hits: Column) -> Column:
     """Neighbouring hits of different terms at most ``WINDOW`` apart."""
     return F.size(F.filter(hits, lambda h, i: (i > 0) & (h["term"] != F.get(hits, i - 1)["term"]) & (h["pos"] - F.get(hits, i - 1)["pos"] <= WINDOW)))
 
 
 def document_hits(docs: DataFrame, doc_id: str, terms: list[str], title: Column, text: Column) -> DataFrame:
-    """doc_id, dl (tokens), hits (pos, term of each query term in order)."""
-    df = docs.select(doc_id, field_tokens(title, heading_lines(F.coalesce(text, F.lit(""))), text).alias("tokens"))
-    places = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))), lambda h: h["term"].isin(terms))
-    return df.select(doc_id, F.size("tokens").alias("dl"), places.alias("hits"))
+    """doc_id, dl (terms of the body, of the headings twice and of the title three times), hits (pos, term of each query term in order)."""
+    fields = [(text, 1), (heading_lines(F.coalesce(text, F.lit(""))), HEADING_WEIGHT), (title, TITLE_WEIGHT)]
+    return docs.select(doc_id, term_places(fields, terms).alias("x")).select(doc_id, "x.dl", "x.hits")
 
 
 def corpus_statistics(hits: DataFrame) -> DataFrame:
@@ -80,7 +75,7 @@ def bm25(docs: DataFrame, doc_id: str, question: str, title: Column, text: Colum
 
 def document_frequencies(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
     """term, df, idf of all terms. Distinct terms of a document leave it once; counts are combined map-side."""
-    rows = docs.select(F.explode(F.array_distinct(tokens(text))).alias("term"))
+    rows = docs.select(F.explode(distinct_tokens(text)).alias("term"))
     counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     return counts.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))

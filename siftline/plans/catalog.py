@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.functions import claims, hashing, html, text, url
+from siftline.functions import claims, hashing, html, terms, text, url
 from siftline.operators import dedup, fusion, grounding, ranking, sources_table
 
 from . import sqltext as sql
@@ -125,8 +125,7 @@ def extraction_fault(spark, sf_dir):
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {sql.tokens('text')} AS t FROM documents)")
 def tokenize_count(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
-    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+    return table(spark, sf_dir, "documents").select("doc_id", terms.token_counts(F.col("text")).alias("t")).select("doc_id", "t.*")
 
 
 @query(
@@ -345,7 +344,7 @@ sim AS (SELECT doc_id, n, (CASE WHEN coalesce(u, 0) >= 9223372036854775808::HUGE
 
 def _prints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), hashing.simhash(text.tokens(F.col("text"))).alias("fp"))
+    return docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), hashing.simhash(F.col("text")).alias("fp"))
 
 
 @query(f"WITH {_SIMHASH_SQL} SELECT doc_id, fp FROM sim")
@@ -367,7 +366,7 @@ def near_dup_keep(spark, sf_dir):
 @query()
 def mmr_order(spark, sf_dir):
     top = _top(spark, sf_dir, 30)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(text.tokens(F.substring("text", 1, 20000))).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", terms.distinct_tokens(F.col("text")).alias("tokens"))
     pool = docs.join(F.broadcast(top), "doc_id").select(F.lit(1).alias("pool"), F.col("doc_id").alias("id"), "score", "tokens")
     return dedup.diversify(pool, "pool").select(F.col("id").alias("doc_id"), "mmr_pos")
 
@@ -377,7 +376,7 @@ def title_clusters(spark, sf_dir):
     """Clusters of the first ten page titles of each domain."""
     pages = table(spark, sf_dir, "pages").select("page_id", url.domain_of(F.col("url")).alias("domain"), html.html_title(F.col("html")).alias("title"))
     first = fusion.top_per_group(pages, "domain", 10, F.asc("page_id"))
-    pool = first.select("domain", F.col("page_id").alias("id"), F.col("rn").alias("pos"), F.array_distinct(text.tokens(F.col("title"))).alias("tokens"))
+    pool = first.select("domain", F.col("page_id").alias("id"), F.col("rn").alias("pos"), terms.distinct_tokens(F.col("title")).alias("tokens"))
     return dedup.cluster_titles(pool, "domain").withColumnRenamed("id", "page_id")
 
 
@@ -386,7 +385,7 @@ def title_clusters(spark, sf_dir):
 FROM (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({sql.tokens('text')}) AS token FROM documents) GROUP BY lang, token)) WHERE rn <= 3 GROUP BY lang"""
 )
 def angle_labels(spark, sf_dir):
-    return dedup.angle_labels(table(spark, sf_dir, "documents").select("lang", F.explode(text.tokens(F.col("text"))).alias("token")), "lang")
+    return dedup.angle_labels(table(spark, sf_dir, "documents").select("lang", F.explode(terms.tokens(F.col("text"))).alias("token")), "lang")
 
 
 # --- reports against sources ----------------------------------------------------------------------

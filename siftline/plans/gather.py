@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions.hashing import simhash
 from siftline.functions.html import html_title, html_to_text, junk_reason
-from siftline.functions.text import query_tokens, title_from_text, tokens, top_sentences
+from siftline.functions.terms import distinct_tokens
+from siftline.functions.text import query_tokens, title_from_text, top_sentences
 from siftline.functions.url import identity_key, in_domains
 from siftline.operators import dedup, fusion, ranking, sources_table
 
@@ -64,9 +65,9 @@ def gather(candidates: DataFrame, question: str, documents: DataFrame | None = N
     scored = ranking.blend(pool.join(content, "identity_key").withColumn("trust", ranking.trust(F.col("backend"), seeded)))
     ranked = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("blended"), "url")))  # a pool within the budget
     kept = ranking.relevance_floor(ranked, query_tokens(question), limits["floor"], pos="place")
-    kept = dedup.dedupe_near(kept.withColumn("fp", simhash(tokens(F.col("text")))), "fp", "place", F.length("text") >= dedup.MIN_CHARS)
+    kept = dedup.dedupe_near(kept.withColumn("fp", simhash(F.col("text"))), "fp", "place", F.length("text") >= dedup.MIN_CHARS)
     if options.diversify:
-        sets = kept.select(F.lit(1).alias("pool"), F.col("url").alias("id"), F.col("blended").alias("score"), F.array_distinct(tokens(F.substring("text", 1, 20000))).alias("tokens"))
+        sets = kept.select(F.lit(1).alias("pool"), F.col("url").alias("id"), F.col("blended").alias("score"), distinct_tokens(F.col("text")).alias("tokens"))
         kept = kept.join(dedup.diversify(sets, "pool").select(F.col("id").alias("url"), F.col("mmr_pos").alias("final")), "url")
     else:
         kept = kept.withColumn("final", F.col("place"))
@@ -88,16 +89,16 @@ def merge(runs: DataFrame) -> DataFrame:
     best = rows.groupBy("identity_key").agg(F.min(F.struct((F.coalesce("text", F.lit("")) == "").alias("bare"), "run_dir", "pos", "url", "title", "text")).alias("b"))
     pool = merged.join(best.select("identity_key", "b.url", "b.title", "b.text"), "identity_key")
     pool = sources_table.number(pool, "", 0, F.desc("score"), F.asc("url")).withColumn("rank", F.col("id").cast("long")).drop("id")
-    kept = dedup.dedupe_near(pool.withColumn("fp", simhash(tokens(F.coalesce("text", F.lit(""))))), "fp", "rank", F.length("text") >= dedup.MIN_CHARS)
+    kept = dedup.dedupe_near(pool.withColumn("fp", simhash(F.col("text"))), "fp", "rank", F.length("text") >= dedup.MIN_CHARS)
     return sources_table.number(kept.drop("fp"), "S", 0, F.asc("rank"))
 
 
 def brainstorm(candidates: DataFrame) -> DataFrame:
     """cluster, label, titles of the ten best candidates (pos, url, title) by what their titles share."""
     top = candidates.orderBy("pos").limit(10)
-    pool = top.select(F.lit(1).alias("pool"), F.col("url").alias("id"), "pos", F.array_distinct(tokens(F.col("title"))).alias("tokens"))
+    pool = top.select(F.lit(1).alias("pool"), F.col("url").alias("id"), "pos", distinct_tokens(F.col("title")).alias("tokens"))
     clusters = dedup.cluster_titles(pool, "pool").filter("cluster >= 0").select(F.col("id").alias("url"), "cluster")
-    rows = top.join(clusters, "url").withColumn("token", F.explode(F.array_distinct(tokens(F.col("title")))))
+    rows = top.join(clusters, "url").withColumn("token", F.explode(distinct_tokens(F.col("title"))))
     labels = dedup.angle_labels(rows, "cluster")
     titles = rows.groupBy("cluster").agg(F.array_sort(F.collect_set("title")).alias("titles"))  # ten titles at most
     return labels.join(titles, "cluster").orderBy("cluster")

@@ -1,10 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftline.functions import claims, hashing, html, text, url
+from siftline.functions import claims, hashing, html, terms, text, url
 
 
 def one(spark, value, f, kind="string"):
@@ -64,7 +66,7 @@ def test_words(spark):
     assert one(spark, "parseHTTPResponse", text.subtokens) == ["parse", "http", "response"]
     assert one(spark, "https://Example.com/A b", text.slug) == "example.com-a-b"
     assert one(spark, "\n", text.slug) == "run"
-    assert one(spark, None, text.tokens) == []
+    assert one(spark, None, terms.tokens) == []
 
 
 def test_titles_and_cuts(spark):
@@ -115,12 +117,45 @@ def test_fnv(strings):
     assert hashing.fnv1a64_of(strings).tolist() == [fnv(s) for s in strings]
 
 
+def brute_terms(raw):
+    """Terms word by word with the library's own folding rules for the driver."""
+    words = regex.findall(r"[\p{L}\p{N}_]+", (raw or "").lower())
+    folded = [text._fold_plural(text._deaccent(w)) for w in words if len(w) > 1 and w not in text.STOPWORDS]
+    return [t for t in folded if len(t) > 1]
+
+
+TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aBsé Éß_1½ 日本İ\u0301😀.\nx", max_size=40), st.text(max_size=20)), max_size=8)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXTS)
+def test_terms_by_brute_force(rows):
+    own = terms.terms_of(pa.array(rows, pa.string()))
+    got = [[own.terms[i] for i in own.ids[a:b]] for a, b in zip(own.begins, own.begins[1:])]
+    assert got == [brute_terms(r) for r in rows]
+    once = own.distinct()
+    assert [[once.terms[i] for i in once.ids[a:b]] for a, b in zip(once.begins, once.begins[1:])] == [list(dict.fromkeys(g)) for g in got]
+
+
+def test_terms_of_columns(spark, monkeypatch):
+    rows = [(1, "Cafés and the stories of boxes", "# Box"), (2, None, None), (3, "", "x"), (4, "word " * 3000 + "end", "ends words")]
+    df = spark.createDataFrame(rows, "id int, text string, title string").repartition(1)
+    got = {r.id: r for r in df.select("id", terms.tokens(F.col("text")).alias("t"), terms.distinct_tokens(F.col("text")).alias("d"), terms.token_counts(F.col("text")).alias("n"), terms.term_places([(F.col("text"), 1), (F.col("title"), 2)], ["box", "end", "word"]).alias("p")).collect()}
+    assert got[1].t == ["cafe", "story", "box"] and got[2].t == got[3].t == [] and got[4].d == ["word", "end"]
+    assert tuple(got[4].n) == (3001, 2) and [tuple(h) for h in got[1].p.hits] == [(2, "box"), (3, "box"), (4, "box")]
+    assert got[1].p.dl == 5 and got[2].p.dl == 0 and got[4].p.dl == 3005 and [tuple(h) for h in got[4].p.hits][-5:] == [(3000, "end"), (3001, "end"), (3002, "word"), (3003, "end"), (3004, "word")]
+
+
 def test_simhash():
-    tokens = ["token", "bucket", "rate", "limit", "drop"]
-    hashes = [fnv(" ".join(tokens[k : k + 3])) for k in range(3)]
-    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 3)
-    assert hashing.simhash_of([tokens, [], ["one"]]).tolist() == [want, 0, fnv("one")]
-    assert hashing.simhash_of([]).dtype == np.uint64
+    rows = ["token bucket rate limits drop", None, "one", "one two1", "", "Ωmega naïve wörld token bucket rate token bucket rate token"]
+
+    def brute(raw):
+        t = brute_terms(raw)
+        hashes = [fnv(" ".join(t[k : k + 3])) for k in range(len(t) - 2)] if len(t) >= 3 else [fnv(x) for x in t]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    assert hashing.simhash_of(terms.terms_of(pa.array(rows))).tolist() == [brute(r) for r in rows]
+    assert hashing.simhash_of(terms.terms_of(pa.array([], pa.string()))).dtype == np.uint64
 
 
 REPORT = """# Report

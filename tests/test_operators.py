@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from siftline.functions.text import query_tokens, tokens
+from siftline.functions.terms import distinct_tokens
+from siftline.functions.text import query_tokens
 from siftline.operators import dedup, fusion, grounding, ranking, sources_table
 
 from .test_functions import REPORT
@@ -118,7 +119,7 @@ def test_diversify(spark):
 
 def test_clusters_and_labels(spark):
     titles = ["token bucket limits", "bucket of tokens", "salmon recipes", "", "salmon soup"]
-    df = spark.createDataFrame([(1, str(k), k, t) for k, t in enumerate(titles)], "g int, id string, pos int, title string").withColumn("tokens", F.array_distinct(tokens(F.col("title"))))
+    df = spark.createDataFrame([(1, str(k), k, t) for k, t in enumerate(titles)], "g int, id string, pos int, title string").withColumn("tokens", distinct_tokens(F.col("title")))
     clusters = dedup.cluster_titles(df, "g")
     assert rows(clusters, "id", "cluster") == [("0", 0), ("1", 0), ("2", 1), ("3", -1), ("4", 1)]
     labels = dedup.angle_labels(df.join(clusters, ["g", "id"]).withColumn("token", F.explode("tokens")), "cluster")
