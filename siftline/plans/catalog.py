@@ -146,12 +146,12 @@ _WEIGHT = "CASE WHEN regexp_matches(k, '[0-9]') THEN 3.0 ELSE 0 END + CASE WHEN
 
 
 @query(
-    f"""SELECT item_id, list(k ORDER BY w DESC, i) AS ranked FROM (SELECT item_id, k, i, {_WEIGHT} AS w
-FROM (SELECT item_id, unnest(kw) AS k, unnest(range(1, len(kw) + 1)) AS i FROM (SELECT item_id, {sql.keywords('text')} AS kw FROM benchmark))) GROUP BY item_id"""
+    f"""WITH r AS (SELECT item_id, list(k ORDER BY w DESC, i) AS ranked FROM (SELECT item_id, k, i, {_WEIGHT} AS w
+FROM (SELECT item_id, unnest(kw) AS k, unnest(range(1, len(kw) + 1)) AS i FROM (SELECT item_id, {sql.keywords('text')} AS kw FROM benchmark))) GROUP BY item_id)
+SELECT item_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(ranked, CAST([] AS VARCHAR[])) END AS ranked FROM benchmark LEFT JOIN r USING (item_id)"""
 )
 def ranked_keywords(spark, sf_dir):
-    found = table(spark, sf_dir, "benchmark").select("item_id", text.ranked_keywords(F.col("text")).alias("ranked"))
-    return found.filter(F.size("ranked") > 0)
+    return table(spark, sf_dir, "benchmark").select("item_id", text.ranked_keywords(F.col("text")).alias("ranked"))
 
 
 @query(f"SELECT doc_id, {sql.identifiers('text')} AS ids FROM documents")
@@ -159,7 +159,13 @@ def identifiers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.identifiers(F.col("text")).alias("ids"))
 
 
-@query()
+@query(
+    f"""WITH k AS (SELECT item_id, trim(text) AS base, {sql.keywords('text')} AS kw, {sql.identifiers('text')} AS ids FROM benchmark),
+r AS (SELECT item_id, list(k ORDER BY {_WEIGHT} DESC, i) AS ranked FROM (SELECT item_id, unnest(kw) AS k, unnest(range(1, len(kw) + 1)) AS i FROM k) GROUP BY item_id),
+c AS (SELECT item_id, base, list_filter([base, array_to_string(ranked[1:8], ' '), array_to_string(ids, ' '), CASE WHEN len(kw) >= 2 THEN '"' || array_to_string(kw[1:4], ' ') || '"' END,
+ CASE WHEN len(ids) > 0 AND len(kw) > 0 THEN kw[1] || ' ' || array_to_string(ids, ' ') END], lambda v: v IS NOT NULL AND v <> '') AS c FROM k LEFT JOIN r USING (item_id))
+SELECT item_id, CASE WHEN len(c) = 0 THEN [base] ELSE list_filter(c, lambda v, i: list_position(list_transform(c, lambda w: lower(w)), lower(v)) = i)[1:3] END AS variants FROM c"""
+)
 def plan_variants(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.plan_variants(F.col("text"), "deep").alias("variants"))
 
@@ -357,7 +363,13 @@ def near_dup_pairs(spark, sf_dir):
     return dedup.near_pairs(_prints(spark, sf_dir).filter(F.col("n") >= dedup.MIN_CHARS))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SIMHASH_SQL}, n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM sim),
+s AS (SELECT 0::BIGINT AS rn, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS doc_id, false AS stays
+UNION ALL SELECT rn, CASE WHEN n >= 500 AND free THEN list_append(kept, fp) ELSE kept END, doc_id, n < 500 OR free
+FROM (SELECT n.*, s.kept, len(list_filter(s.kept, lambda x: bit_count(xor(x, n.fp)) <= 3)) = 0 AS free FROM s JOIN n ON n.rn = s.rn + 1))
+SELECT doc_id FROM s WHERE stays"""
+)
 def near_dup_keep(spark, sf_dir):
     """Survivors of the greedy scan in the order of ``doc_id``."""
     return dedup.dedupe_near(_prints(spark, sf_dir), "fp", "doc_id", F.col("n") >= dedup.MIN_CHARS).select("doc_id")
@@ -580,15 +592,9 @@ def inverted_to_text(spark, sf_dir):
     return docs.select("doc_id").join(back, "doc_id", "left").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
-@query("SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 8 AS batch FROM customer WHERE c_custkey <= 40")
-def worklist_batches(spark, sf_dir):
-    bounded = table(spark, sf_dir, "customer").filter(F.col("c_custkey") <= 40).select("c_custkey")
-    return sources_table.batches(bounded, 8, F.asc("c_custkey")).select("c_custkey", F.col("batch").cast("long").alias("batch"))
-
-
 @query("SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 8 AS batch FROM customer")
-def customer_batches(spark, sf_dir):
-    """What worklist_batches does for 40 keys, over the whole table."""
+def worklist_batches(spark, sf_dir):
+    """All customers as a worklist, in batches of eight."""
     customers = table(spark, sf_dir, "customer").select("c_custkey")
     return sources_table.batches(customers, 8, F.asc("c_custkey")).select("c_custkey", F.col("batch").cast("long").alias("batch"))
 

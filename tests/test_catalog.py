@@ -46,7 +46,7 @@ def test_query_without_sql_runs(spark, small, name):
 
 def test_batches_cover_all_customers(spark, small):
     keys = sorted(r.c_custkey for r in spark.read.parquet(f"{small}/customer.parquet").select("c_custkey").collect())
-    got = sorted(tuple(r) for r in entry.queries()["customer_batches"](spark, small).collect())
+    got = sorted(tuple(r) for r in entry.queries()["worklist_batches"](spark, small).collect())
     assert got == [(key, k // 8) for k, key in enumerate(keys)]
 
 
