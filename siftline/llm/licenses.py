@@ -1,12 +1,13 @@
 """Licence texts found by canonical digest.
 
-A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped, equivalent spellings
-made one, every run of other characters than letters and digits made one space. Its SHA-256 is
+A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped, every run of other
+characters than letters and digits made one space, equivalent spellings made one. Its SHA-256 is
 joined with the digests of known licence texts, so only entire texts match. A text without a match
 is tried once more as a licence file: copyright lines may stand behind comment marks or lack a year.
 
 Rows: null is the empty text; a text that is no known licence has a null ``license_id``; repeated
-rows give repeated results; an empty table gives none. Extra columns are not read.
+rows give repeated results; an empty table gives none; a very long text is digested whole like any other.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -73,19 +74,17 @@ FILES = {
 #: What may be left out behind a text, from these words on.
 APPENDIX = {"Apache-2.0": "APPENDIX: How to apply"}
 
-# Spellings that count as one.
+# Spellings that count as one, among words that single spaces part.
 SPELLINGS = {
     "licence": "license",
-    "sub-license": "sublicense",
     "sub license": "sublicense",
-    "non-infringement": "noninfringement",
+    "non infringement": "noninfringement",
     "copyright owner": "copyright holder",
     "acknowledgement": "acknowledgment",
     "merchantibility": "merchantability",
     "per cent": "percent",
     "favour": "favor",
-    "http://": "https://",
-    "&": " and ",
+    " http ": " https ",
 }
 
 COPYRIGHT_LINE = r"^[ \t]*(copyright[ \t]*([(]c[)]|©|[0-9]{4})|[(]c[)][ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
@@ -101,9 +100,10 @@ OTHER = r"[^\p{L}\p{N}]+"
 def canonical(text: Column, copyright_line: str = COPYRIGHT_LINE) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     out = F.regexp_replace(out, "(?dm)" + copyright_line, "")
+    out = F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), OTHER, " ")
     for spelling, one in SPELLINGS.items():
         out = F.replace(out, F.lit(spelling), F.lit(one))
-    return F.trim(F.regexp_replace(out, OTHER, " "))
+    return F.trim(out)
 
 
 def canonical_digest(text: Column) -> Column:
@@ -146,9 +146,10 @@ def sql() -> str:
     def form(x: str) -> str:
         out = f"translate(coalesce({x}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
         out = f"regexp_replace({out}, {quoted('(?m)' + COPYRIGHT_LINE)}, '', 'g')"
+        out = f"regexp_replace(replace({out}, '&', ' and '), {quoted(OTHER)}, ' ', 'g')"
         for spelling, one in SPELLINGS.items():
             out = f"replace({out}, {quoted(spelling)}, {quoted(one)})"
-        return f"sha256(trim(regexp_replace({out}, {quoted(OTHER)}, ' ', 'g')))"
+        return f"sha256(trim({out}))"
 
     values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in TEXTS.items())
     return f"""WITH known AS (SELECT {form('text')} AS digest, min(license_id) AS license_id FROM (VALUES {values}) AS t(license_id, text) GROUP BY 1),

@@ -368,15 +368,15 @@ def _ask(sizes: Sizes, parts: int):
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             piece = Piece(piece.hashes[order], rank[piece.stream], piece.begins)
-            rows = []
+            rows, dealt = [], int(mix(np.array([number], U64))[0])  # numbers of many tasks end alike
             for kind, hashes in ((WORDS, piece.hashes), (PAIRS, piece.pairs(sizes.width)[0])):
-                rows += [(number, kind, b, number % parts, _write_hashes(hashes[i:j]), None) for b, i, j in _by_block(kind, hashes, sizes)]
+                rows += [(number, kind, b, dealt % parts, _write_hashes(hashes[i:j]), None) for b, i, j in _by_block(kind, hashes, sizes)]
             with pa.BufferOutputStream() as sink:
                 own = pa.record_batch([pa.array([x], pa.binary()) for x in (_write_numbers(np.diff(piece.begins)), _write_numbers(piece.stream))] + [pa.array([ids.to_pylist()], pa.list_(pa.int64()))], names=["lengths", "stream", "ids"])
                 with pa.ipc.new_stream(sink, own.schema) as out:
                     out.write_batch(own)
                 data = sink.getvalue().to_pybytes()
-            rows.append((number, TEXTS, number % (1 << sizes.bits), 0, None, data))
+            rows.append((number, TEXTS, dealt % (1 << sizes.bits), 0, None, data))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _ASKED_TYPES.values(), strict=True)], names=list(_ASKED_TYPES))
             number += 1
 

@@ -28,7 +28,7 @@ from .shared import text_batches
 THRESHOLD = 0.7
 TO_POOLED = 0.1
 TO_IDENTITY = 0.01
-MOST_LABELS = 200_000
+MOST_LABELS = 100_000
 
 _LINE = np.ones(256, dtype=bool)
 _LINE[10] = False

@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from siftline.llm import exact_dedup, simhash
+from siftline.llm import exact_dedup, shared, simhash
 
 from .helpers import ROWS, documents, groups, lower, sha, spaced, tuples
 
@@ -37,6 +38,39 @@ def test_exact_groups(spark):
     assert all(r.doc_id == r.keep_id for r in found.filter("kept").collect())
 
 
+def test_buckets_are_bounded_by_both_deliveries(spark, monkeypatch):
+    """One historical digest and many new ones: no task takes more than its share."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_DIGESTS", 256)
+    seen = []
+    whole = exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "look_up", lambda index, new, buckets: seen.append(new.withColumn("b", exact_dedup._bucket(buckets)).groupBy("b").count()) or whole(index, new, buckets))
+    new = spark.range(20_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("n"))
+    found = exact_dedup.group_digests(new.limit(1), new)
+    assert found.count() == 20_000 and found.agg(F.sum("group_size")).first()[0] == 20_001
+    sizes = [r["count"] for r in seen[0].collect()]
+    assert len(sizes) == 79 and max(sizes) < 2 * 256
+    none = spark.createDataFrame([], new.schema)
+    assert exact_dedup.group_digests(none, new).filter("not historical").count() == 20_000
+
+
+def test_hot_groups_are_joined_where_their_rows_are(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id")).alias("k"), "id")
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
+    got = shared.join_groups(rows, sizes, "k", "size")
+    assert got.count() == 6000 and got.filter("k = -1 and size = 4000").count() == 4000
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": staticmethod(lambda key, default: default)})()
+
+    with pytest.raises(RuntimeError):
+        shared.shared_root(Session())
+
+
 def test_exact_rows_stay_with_their_columns(spark):
     docs = documents(spark)
     kept = exact_dedup.keep_last_of_each(docs)

@@ -345,7 +345,7 @@ def test_secrets_stay_in_the_jvm(spark):
 
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"]
-    rows = [(1, mit), (2, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "Sub-License").replace(",", " ;")), (3, mit + " more"), (4, None), (5, ""), (1, mit)]
+    rows = [(1, mit), (2, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "Sub-\n   License").replace(",", " ;")), (3, mit + " more"), (4, None), (5, ""), (1, mit)]
     found = tuples(licenses.find_licenses(documents(spark, rows)), "doc_id", "license_id")
     assert found == sorted([(1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (1, "MIT")], key=repr)
     assert licenses.find_licenses(documents(spark, [])).collect() == []
