@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and its decisions
 take effect: rejected rows go. All but the last return the columns of ``documents``; the last
 returns the pieces of the packed sequences. Each result is written as Parquet and read again.
+
+Rows: null and empty texts are scored like any other and mostly rejected by the first stage; without
+labels of both classes every score is the share of label 1 (0.5 without labels), so that stage keeps all
+or nothing; of equal texts, and of rows with equal id and text, one stays; null ids stay unless another
+row of the group has an id; very long texts are read whole; an empty table gives an empty table at every
+stage; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
