@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import claims, locale, providers, text, url
 from siftline.operators import grounding, ranking, sources_table, verdicts
-from siftline.plans import modes
+from siftline.plans import facets, modes
 from siftline.sources import files
 
 from . import sqltext as sql
@@ -168,6 +168,25 @@ def name_jaccard(spark, sf_dir):
     return parts(spark, sf_dir).filter("n is not null").select("i", F.round(both / (F.size(own) + F.size(other) - both), 6).alias("jaccard"))
 
 
+_HEADINGS = [h for m in modes.MODES.values() for h in m.headings] + ["Something else entirely"]
+_FIRST = {c: "CASE " + " ".join(f"WHEN regexp_matches(h, {sql.q('(?i)' + r[0])}) THEN {v(r)}" for r in facets.FACETS) for c, v in {
+    "asked": lambda r: f"replace({sql.q(r[1])}, '{{s}}', s)", "angle": lambda r: sql.q(r[2]), "terms": lambda r: f"[{sql.q(r[3][0])}, {sql.q(r[3][1])}]"}.items()}
+_VERBS = "(?i)\\b(" + "|".join(facets.CLAUSE_VERBS) + ")\\b"
+
+
+@query(
+    f"""WITH {_P}, x AS (SELECT i, CASE WHEN i % 3 = 0 THEN n || ' that runs hot' WHEN i % 7 = 0 THEN 'one two three four five six seven ' || n ELSE n END AS s, unnest([{', '.join(sql.q(h) for h in _HEADINGS)}]) AS h FROM p WHERE n IS NOT NULL)
+SELECT i, h AS heading, CASE WHEN len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) >= 8 OR regexp_matches(s, {sql.q(_VERBS)}) THEN 'In the context of "About ' || s || '", ' || {_FIRST['angle']} ELSE 'what does the evidence say about ' || lower(h) END || '?'
+ ELSE {_FIRST['asked']} ELSE 'What does the evidence say about ' || lower(h) || ' for ' || s || '?' END END AS question, {_FIRST['terms']} ELSE ({sql.keywords('h')})[1:2] END AS terms FROM x"""
+)
+def facet_questions(spark, sf_dir):
+    """What each heading of all modes, and one that is in none, asks about the parts; some subjects are clauses."""
+    i, n = F.col("i"), F.col("n")
+    subject = F.when(i % 3 == 0, F.concat(n, F.lit(" that runs hot"))).when(i % 7 == 0, F.concat(F.lit("one two three four five six seven "), n)).otherwise(n)
+    rows = parts(spark, sf_dir).filter("n is not null").select("i", subject.alias("s"), F.explode(F.array(*[F.lit(h) for h in _HEADINGS])).alias("heading"))
+    return rows.select("i", "heading", facets.facet_question(F.col("s"), F.col("heading"), F.concat(F.lit("About "), "s", F.lit("??"))).alias("x")).select("i", "heading", "x.*")
+
+
 # --- verdict files and run records ----------------------------------------------------------------
 
 _KIND = "CASE WHEN doc_id % 7 = 0 THEN 'maybe' WHEN toxic = 1 AND doc_id % 3 = 0 THEN 'refuted' WHEN doc_id % 17 = 0 THEN 'unsupported' WHEN quality = 1 THEN 'supported' ELSE 'partial' END"

@@ -6,8 +6,11 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.functions.text import STOPWORDS, query_tokens
+from siftline.functions.text import query_tokens
+
+from .facets import facet_queries, facet_question
 
 # Limits by depth.
 DEPTHS = {
@@ -66,21 +69,17 @@ def subject_of(question: str) -> str:
     return _SCAFFOLD.sub("", bare).strip() or bare
 
 
-def facets(question: str, mode: str) -> list[dict]:
-    """A sub-question for each heading of the mode's report."""
-    topic = subject_of(question)
-    out = []
-    for heading in MODES[mode].headings:
-        name = re.sub(r"\s*\(.*?\)", "", heading).strip()
-        terms = [w for w in re.findall(r"\w+", name.lower()) if w not in STOPWORDS][:2]
-        asked = f"What does the evidence say about {name.lower()} for {topic}?"
-        out.append({"question": asked, "facet": heading, "queries": [f"{topic} {' '.join(terms)}".strip(), asked]})
-    return out
+def facets(spark: SparkSession, question: str, mode: str) -> list[dict]:
+    """A sub-question for each heading of the mode's report; a handful of rows."""
+    rows = spark.createDataFrame([(i, subject_of(question), h, question) for i, h in enumerate(MODES[mode].headings)], "i int, subject string, heading string, question string")
+    asked = rows.select("i", "subject", "heading", facet_question(F.col("subject"), F.col("heading"), F.col("question")).alias("x"))
+    found = asked.select("i", "heading", "x.question", facet_queries(F.col("x.question"), F.col("subject"), F.col("x.terms")).alias("queries")).orderBy("i").collect()
+    return [{"question": r.question, "facet": r.heading, "queries": list(r.queries)} for r in found]
 
 
 def plan(spark: SparkSession, question: str, mode: str, agent: list[str] | None = None, most: int = MAX_SUB_QUESTIONS) -> DataFrame:
     """The sub-questions of a question with ids by position; distinct by lower case, and no query of an earlier one again unless nothing is left."""
-    rows = [{"question": q.strip(), "facet": "agent", "queries": [q.strip()]} for q in agent] if agent else facets(question, mode)
+    rows = [{"question": q.strip(), "facet": "agent", "queries": [q.strip()]} for q in agent] if agent else facets(spark, question, mode)
     seen: set[str] = set()
     used: set[str] = set()
     out = []
