@@ -7,6 +7,7 @@ attached by their fingerprint. What is kept is decided in rounds over the pairs,
 
 from __future__ import annotations
 
+import tempfile
 from itertools import combinations
 
 import pandas as pd
@@ -66,9 +67,10 @@ def _cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through the checkpoint folder that the cluster shares."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="siftline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="siftline-"))
     return df.checkpoint()
 
 
