@@ -78,7 +78,8 @@ def cut_documents(docs: DataFrame, groups: int, end: int = 1, capacity: int = CA
     file = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, met = encoder(file).encode, Counter()
+        own_encoder, met = encoder(file), Counter()
+        encode = own_encoder.encode
         for batch in batches:
             keys = batch.column(0).cast(pa.int64())
             for lo, hi, buf, offsets in text_chunks(batch.column(1), BLOCK):
@@ -102,6 +103,7 @@ def cut_documents(docs: DataFrame, groups: int, end: int = 1, capacity: int = CA
                     drawn = mix(text[doc] + mix((start.astype(U64) << U64(24)) + again[doc].astype(U64)))
                 values = [own.take(pa.array(doc)), start, length, crc, n[doc], (drawn % U64(groups)).astype(np.int64), [c.tobytes() for c in cuts] if with_ids else [None] * len(cuts)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _PIECES.values(), strict=True)], names=list(_PIECES))
+        own_encoder.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group long, ids binary")
 

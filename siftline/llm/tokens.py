@@ -24,8 +24,8 @@ import pyarrow as pa
 
 from .bytesops import ragged
 
-MOST_PARTS = 400_000
-BLOCK = 4 << 20  # bytes of text that are cut at once
+MOST_PARTS = 250_000
+BLOCK = 2 << 20  # bytes of text that are cut at once
 _LOADED: dict[str, "Encoder"] = {}
 
 # Classes of bytes. Letters are ASCII and the letters of Latin-1 (two bytes, the first 0xC3); OTHER is all that is in doubt.
@@ -117,6 +117,11 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths, self.met = (np.zeros(1 << 14, t) for t in (np.int64, np.int64, np.int32))
 
+    def release(self) -> None:
+        """Gives the memory of the table back, for what runs in this worker next."""
+        self._clear()
+        pa.default_memory_pool().release_unused()
+
     def _keep(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         k, n = len(self.place), len(parts)
         while k + n > len(self.starts):
