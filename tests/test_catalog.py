@@ -3,10 +3,14 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from siftline.functions import html, text, url
 from siftline.plans import catalog
 
+from .test_functions import brute_terms
+
 
 def plain(value):
     if value is None or value != value:
@@ -70,5 +74,58 @@ def test_titles_of_all_texts(spark, tmp_path):
     assert got == {k: brute_title(t or "") for k, t in data}
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def test_marginal_relevance_by_brute_force(spark, small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    pool = sorted(((r.doc_id, r.score, set(brute_terms(texts[r.doc_id]))) for r in catalog._top(spark, small, 30).collect()), key=lambda r: (-r[1], r[0]))
+    most = max((jaccard(a[2], b[2]) for a in pool for b in pool if a[0] < b[0]), default=0) or 1
+    picked = [pool[0]]
+    while len(picked) < len(pool):
+        left = [r for r in pool if r not in picked]
+        picked.append(max(left, key=lambda r: (0.75 * r[1] / pool[0][1] - 0.25 * max(jaccard(r[2], p[2]) for p in picked) / most, -r[0])))
+    got = sorted((r.mmr_pos, r.doc_id) for r in entry.queries()["mmr_order"](spark, small).collect())
+    assert [d for _, d in got] == [r[0] for r in picked]
+
+
+def test_title_clusters_by_brute_force(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", url.domain_of(F.col("url")).alias("domain"), html.html_title(F.col("html")).alias("title")).collect()
+    want = {}
+    for domain in {p.domain for p in pages}:
+        clusters = []
+        for p in sorted((p for p in pages if p.domain == domain), key=lambda p: p.page_id)[:10]:
+            own = set(brute_terms(p.title))
+            k = next((i for i, c in enumerate(clusters) if jaccard(c, own) >= 0.2), len(clusters))
+            if k == len(clusters) and own:
+                clusters.append(set())
+            if own:
+                clusters[k] |= own
+            want[p.page_id] = k if own else -1
+    assert {r.page_id: r.cluster for r in entry.queries()["title_clusters"](spark, small).collect()} == want
+
+
+def test_top_sentences_by_brute_force(spark, small):
+    """On texts without headings: the three sentences with most terms, in order; else the head of the text."""
+    asked = text.query_patterns(catalog.question(spark, small))
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    got = {r.doc_id: r.snippet for r in entry.queries()["top_sentences"](spark, small).collect()}
+    assert set(got) == {d.doc_id for d in docs}
+    checked = 0
+    for d in docs:
+        lines = (d.text or "").split("\n")
+        if any(re.match(r"\s*(#|```|~~~)", x) for x in lines):
+            continue
+        parts = [s for x in lines for s in (y.strip(" ") for y in re.split(r"(?<=[.!?])\s+", x)) if len(s) >= 20]
+        scored = [(sum(bool(re.search(p, text._deaccent(s.lower()))) for p in asked.values()), s) for s in parts]
+        pool = [i for i, (n, _) in enumerate(scored) if n] or list(range(len(parts)))
+        best = sorted(sorted(pool, key=lambda i: (-scored[i][0], i))[:3])
+        want = " ".join(parts[i] for i in best)[:360].strip(" ") if parts else " ".join(lines[:4])[:360].strip(" ")
+        assert got[d.doc_id] == want
+        checked += 1
+    assert checked > 100
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
