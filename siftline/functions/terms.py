@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +44,20 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-def _fold(word: str) -> list[str]:
+@lru_cache(1 << 17)
+def _fold(word: str) -> tuple[str, ...]:
     low = word.lower()
     if low.isascii():
         if len(low) < 2 or low in _STOP:
-            return []
+            return ()
         low = _fold_plural(low) if low[-1] == "s" else low
-        return [low] if len(low) > 1 else []
+        return (low,) if len(low) > 1 else ()
     out = []
     for part in _WORD.findall(low):  # lower case may bring marks that part a word
         if len(part) > 1 and part not in _STOP:
             part = _deaccent(part)
             out.append(_fold_plural(part) if part[-1] == "s" else part)
-    return [p for p in out if len(p) > 1]
+    return tuple(p for p in out if len(p) > 1)
 
 
 @dataclass

@@ -183,8 +183,11 @@ def _split(raw: str) -> list[str]:
     return re.findall(r"\w+", raw)
 
 
+_TO_PLAIN = str.maketrans(ACCENTED, PLAIN)
+
+
 def _deaccent(text: str) -> str:
-    return text.translate(str.maketrans(ACCENTED, PLAIN))
+    return text.translate(_TO_PLAIN)
 
 
 def _fold_plural(t: str) -> str:
