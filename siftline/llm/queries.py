@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, licenses, lm, packing, pii, quality, repair, secrets, simhash
+from . import audit, clusters, decontam, exact_dedup, languages, licenses, lm, packing, pii, quality, repair, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,18 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_hadamard_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_partial_distance_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_output_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_repair_token_files,
     op2_bootstrapped_pii,
@@ -72,6 +84,9 @@ QUERIES = (
     op8_perfect_hash_dedup,
     op9_ball_simhash,
     op10_bloom_lm,
+    op11_hadamard_filter_audit,
+    op12_partial_distance_clusters,
+    op13_output_code_languages,
 )
 
 #: Lower-casing of A-Z only, as an argument of DuckDB's translate.
@@ -95,10 +110,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+OP11_SQL = r"""WITH base AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM base),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    concat_ws('', CASE WHEN len(words) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+      CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first_id THEN 'E' END) AS failed
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, failed),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, filter_order[1 : step - 1] AS earlier FROM o, range(1, 6) r(step)),
+m AS (SELECT part, s.filter_order, step, n, good, toxic, failed, contains(failed, own) AS fails, len(list_intersect(string_split(failed, ''), string_split(earlier, ''))) > 0 AND earlier <> '' AND failed <> '' AS before FROM c, s),
+r AS (SELECT part, filter_order, step, any_value(own) AS own, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT before), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT before), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (fails AND before), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails AND failed = own), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (fails AND NOT before), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (fails AND NOT before), 0) AS BIGINT) AS toxic_lost
+  FROM (SELECT m.*, s.own FROM m JOIN s USING (filter_order, step)) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op3_winnowing_decontamination": OP3_SQL.replace("\\\\", "\\"), "op7_license_digests": licenses.sql(), "op8_perfect_hash_dedup": OP8_SQL}
+    return {"op3_winnowing_decontamination": OP3_SQL.replace("\\\\", "\\"), "op7_license_digests": licenses.sql(), "op8_perfect_hash_dedup": OP8_SQL, "op11_hadamard_filter_audit": OP11_SQL, "op12_partial_distance_clusters": clusters.sql()}
