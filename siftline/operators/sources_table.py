@@ -82,7 +82,8 @@ def add_sources(sources: DataFrame, new: DataFrame) -> DataFrame:
 
 def issues(sources: DataFrame) -> DataFrame:
     """id, issue of each source that is not citable, shares its canonical URL, or is a wall."""
-    twins = sources.groupBy("canonical_url").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.coalesce(F.regexp_extract("id", "([0-9]+)$", 1).try_cast("long"), F.lit(0)).alias("n"), "id")  # S9 before S10
+    twins = sources.groupBy("canonical_url").agg(F.min(place)["id"].alias("first"), F.count(F.lit(1)).alias("n"))
     rows = sources.join(twins, "canonical_url")
     found = F.array_compact(
         F.array(
@@ -94,12 +95,6 @@ def issues(sources: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(found).alias("issue"))
 
 
-def relink(sources: DataFrame) -> DataFrame:
-    """Sources that are not citable get a URL derived from their text; one step, as a derived URL is citable."""
-    better = F.when(~is_citable(F.col("canonical_url")), derive_citable_url(F.col("text")))
-    return sources.withColumn("canonical_url", F.coalesce(better, F.col("canonical_url")))
-
-
 def merge_runs(runs: DataFrame) -> DataFrame:
     """identity_key, score (fused over runs), found_by, provenance (distinct runs and sub-questions, sorted).
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grounding import SEVERITY, reduce_verdicts
+from .grounding import SEVERITY, check, claim_pairs, reduce_verdicts, worklists
 
 DEPTH_ORDER = ("summary", "standard", "deep")
 
@@ -70,6 +70,20 @@ def semantic_gate(runs: DataFrame, files: DataFrame, pairs: DataFrame | None = N
     return out.withColumn("adjudicated", adjudicated).withColumn("ok", ok)
 
 
+def check_semantic(reports: DataFrame, sources: DataFrame, files: DataFrame, require_verify: bool = False, **options) -> DataFrame:
+    """The mechanical gate with the semantic one folded in; ``files`` has report_id, file_no, payload.
+
+    The semantic part only adds failures: a report without verdicts fails. With ``require_verify`` the pairs of claims and
+    sources are derived from REPORT.md again, so a verdict that was left out, or a report changed after it was judged, fails too.
+    """
+    expected = worklists(claim_pairs(reports, sources)).select(F.col("report_id").alias("run_id"), "claim_id", "source_id") if require_verify else None
+    runs = reports.select(F.col("report_id").alias("run_id"))
+    judged = semantic_gate(runs, files.withColumnRenamed("report_id", "run_id"), expected)
+    extra = ["failures", "unadjudicated", "contradictions", *(["uncovered"] if require_verify else [])]
+    gate = check(reports, sources, judged.select(F.col("run_id").alias("report_id"), "ok"), **options)
+    return gate.join(judged.select(F.col("run_id").alias("report_id"), *extra), "report_id")
+
+
 def merge_manifests(manifests: DataFrame, group: str) -> DataFrame:
     """The manifest of merged runs: time of the latest, depth of the deepest, all backends once, number of sub-questions.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import claims, locale, providers, text, url
-from siftline.operators import grounding, ranking, sources_table, verdicts
+from siftline.operators import grounding, ranking, relink, sources_table, verdicts
 from siftline.plans import facets, modes
 from siftline.sources import files
 
@@ -268,7 +268,7 @@ def rescued_pages(spark, sf_dir):
     return files.cap_rescues(rows).select("pos", "text", "rescued")
 
 
-@query(f"WITH {_P}, s AS (SELECT 'S' || i AS id, CASE WHEN i % 6 = 0 THEN 'https://api.x.org/api/v1/' || i ELSE 'https://x.org/' || (i // 3) END AS u FROM p), t AS (SELECT u, min(id) AS first, count(*) AS n FROM s GROUP BY u) SELECT id, unnest(list_filter([CASE WHEN u LIKE '%/api/%' THEN 'not citable' END, CASE WHEN n > 1 AND id <> first THEN 'duplicate of ' || first END], lambda x: x IS NOT NULL)) AS issue FROM s JOIN t USING (u)")
+@query(f"WITH {_P}, s AS (SELECT 'S' || i AS id, CASE WHEN i % 6 = 0 THEN 'https://api.x.org/api/v1/' || i ELSE 'https://x.org/' || (i // 3) END AS u FROM p), t AS (SELECT u, arg_min(id, CAST(id[2:] AS BIGINT)) AS first, count(*) AS n FROM s GROUP BY u) SELECT id, unnest(list_filter([CASE WHEN u LIKE '%/api/%' THEN 'not citable' END, CASE WHEN n > 1 AND id <> first THEN 'duplicate of ' || first END], lambda x: x IS NOT NULL)) AS issue FROM s JOIN t USING (u)")
 def source_issues(spark, sf_dir):
     own = F.when(F.col("i") % 6 == 0, F.concat(F.lit("https://api.x.org/api/v1/"), "k")).otherwise(F.concat(F.lit("https://x.org/"), F.floor(F.col("i") / 3).cast("string")))
     return sources_table.issues(parts(spark, sf_dir).select(F.concat(F.lit("S"), "k").alias("id"), own.alias("canonical_url"), F.lit("a text").alias("text")))
@@ -277,8 +277,8 @@ def source_issues(spark, sf_dir):
 @query(f"WITH {_P} SELECT 'S' || i AS id, CASE WHEN i % 2 = 0 THEN 'https://doi.org/10.9000/' || k ELSE 'https://x.org/' || k END AS canonical_url FROM p")
 def relinked_sources(spark, sf_dir):
     own = F.when(F.col("i") % 2 == 0, F.concat(F.lit("https://api.x.org/api/v1/"), "k")).otherwise(F.concat(F.lit("https://x.org/"), "k"))
-    rows = parts(spark, sf_dir).select(F.concat(F.lit("S"), "k").alias("id"), own.alias("canonical_url"), F.concat(F.lit("as 10.9000/"), "k", F.lit(".")).alias("text"))
-    return sources_table.relink(rows).select("id", "canonical_url")
+    rows = parts(spark, sf_dir).select(F.lit(1).alias("run"), F.concat(F.lit("S"), "k").alias("id"), own.alias("url"), own.alias("canonical_url"), F.concat(F.lit("as 10.9000/"), "k", F.lit(".")).alias("text"), F.lit("t").alias("title"), F.lit("file").alias("backend"))
+    return relink.auto_relink(rows)[0].select("id", "canonical_url")
 
 
 @query(f"WITH {_P}, b AS (SELECT i, i % 40 AS g, 'byte' || (2000 + i % 3) || 'cold' AS base FROM p) SELECT g, 'S' || i AS id, base || CASE WHEN row_number() OVER w = 1 THEN '' ELSE CAST(row_number() OVER w AS VARCHAR) END AS key FROM b WINDOW w AS (PARTITION BY g, base ORDER BY i)")
@@ -342,8 +342,9 @@ def report_unsourced(spark, sf_dir):
     return grounding.unsourced_claims(made_reports(spark, sf_dir)).select("report_id", "unit", "claim")
 
 
-@query(f"WITH {_P0} SELECT i AS report_id, 3 AS citations, 1 AS model_hints, 0 AS unknown_tokens, i % 2 AS dangling, 0 AS not_citable, 1 AS unsourced, i % 2 = 0 AS ok FROM p")
+@query(f"WITH {_P0} SELECT i AS report_id, 3 - i % 2 AS citations, 1 AS model_hints, 0 AS unknown_tokens, i % 2 AS dangling, 0 AS not_citable, 1 AS unsourced, false AS ok FROM p")
 def report_gate(spark, sf_dir):
+    """Every one of these reports has an unsourced item, so none passes; the citation of a source that is not there does not count."""
     out = grounding.check(made_reports(spark, sf_dir), made_sources(spark, sf_dir))
     return out.select("report_id", *[F.col(c).cast("int").alias(c) for c in ("citations", "model_hints", "unknown_tokens", "dangling", "not_citable", "unsourced")], "ok")
 

@@ -206,6 +206,6 @@ def test_batches_of_a_whole_table(spark):
 def test_hygiene_and_bibliography(spark):
     s = spark.createDataFrame([("S1", "https://a.org", "fine"), ("S2", "https://a.org", "fine"), ("S3", "https://api.crossref.org/w", "doi 10.1000/z"), ("S4", "https://w.org", "we use cookies")], "id string, canonical_url string, text string")
     assert rows(sources_table.issues(s), "id", "issue") == [("S2", "duplicate of S1"), ("S3", "not citable"), ("S4", "wall")]
-    assert dict(rows(sources_table.relink(s), "id", "canonical_url"))["S3"] == "https://doi.org/10.1000/z"
+
     b = spark.createDataFrame([(1, "S1", 1, "Ann Lee", "Deep nets", 2020), (1, "S2", 2, "Bob Lee", "Deep things", 2020), (1, "S3", 3, None, None, None)], "run int, id string, pos int, author string, title string, year int")
     assert rows(sources_table.bibliography_keys(b, "run"), "id", "key") == [("S1", "lee2020deep"), ("S2", "lee2020deep2"), ("S3", "s3")]
