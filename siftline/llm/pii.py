@@ -11,6 +11,7 @@ Pattern and instance are aggregated before every shuffle, so a frequent word cos
 distinct instance; scores of patterns and instances are joined as tables, never gathered in one task.
 
 Rows: null texts are empty and have no span; repeated rows give repeated results; null ids are kept;
+very long texts take time in proportion to their length, runs of digit groups of any length too;
 an empty table gives no row. Extra columns are not read. Positions are code points.
 """
 
@@ -42,7 +43,10 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 #: Short groups of digits joined by single spaces, hyphens or brackets are one instance if they have enough digits.
-_RUN = re.compile(r"(?<![\w@.+/-])\(?[0-9]{1,6}\)?(?:[ -]\(?[0-9]{1,6}\)?)++(?![\w@])")
+#: The pattern takes a run to its end and cannot fail there, so no group is tried twice; what follows is looked at afterwards.
+_RUN = re.compile(r"(?<![\w@.+/-])\(?[0-9]{1,6}\)?(?:[ -]\(?[0-9]{1,6}\)?)++")
+_GOES_ON = re.compile(r"[\w@]")
+_MOST_RUN = 4 * 19  # a digit, two brackets and what joins it to the next, for the most digits of an identifier
 _EDGE = "()[]{}<>\"'.,;:!?"
 
 
@@ -110,7 +114,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         a, b = m.span()
         while at < len(covered) and covered[at][1] <= a:
             at += 1
-        if 7 <= len(_NOT_DIGITS.sub("", m.group())) <= 19 and not (at < len(covered) and covered[at][0] < b):
+        if b - a < _MOST_RUN and 7 <= len(_NOT_DIGITS.sub("", m.group())) <= 19 and not _GOES_ON.match(text, b) and not (at < len(covered) and covered[at][0] < b):
             runs.append((a, b))
     spans += [(a, b, -1) for a, b in runs]
     covered = sorted(covered + runs)

@@ -111,6 +111,39 @@ def test_empty_benchmark_and_empty_documents(spark):
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
+def runs_by_look_ahead(text):
+    """Runs of digit groups as one pattern says it that looks ahead, too slow for long runs."""
+    pattern = re.compile(r"(?<![\w@.+/-])\(?[0-9]{1,6}\)?(?:[ -]\(?[0-9]{1,6}\)?)++(?![\w@])")
+    return {m.span() for m in pattern.finditer(text) if 7 <= len(re.sub("[^0-9]", "", m.group())) <= 19}
+
+
+def test_runs_of_digit_groups_are_found_in_one_pass():
+    rng = random.Random(6)
+    pieces = ["1", "23", "456", "7890123", " ", "-", "(", ")", "a", "@", ".", "  ", "55 ", "0171 ", "12-"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        base = pii.base_spans(text)
+        got = {(x["start"], x["end"]) for x in pii.instances(text, base) if x["seed"] < 0}
+        apart = {(a, b) for a, b in runs_by_look_ahead(text) if not any(x < b and a < y for x, _, y in base)}
+        assert apart <= got, text
+        taken = sorted([(a, b) for a, _, b in base] + list(apart))
+        tokens = set()
+        for m in re.finditer(r"\S+", text):  # tokens with a digit or an at sign, without punctuation at their ends
+            whole, own = m.group(), m.group().strip(pii._EDGE)
+            at = m.start() + len(whole) - len(whole.lstrip(pii._EDGE))
+            if re.search("[0-9@]", whole) and len(own) >= 5 and not any(x < at + len(own) and at < y for x, y in taken):
+                tokens.add((at, at + len(own)))
+        assert got == apart | tokens, text
+
+
+def test_very_long_runs_of_digit_groups():
+    began = time.time()
+    for text in ("1 " * 500_000 + "1a", "1-" * 500_000 + "a", "(1) " * 250_000 + "1@", "12345678 " * 110_000, "1." * 500_000, "+1 " * 333_000, "1@" * 500_000):
+        base = pii.base_spans(text)
+        assert all(text[x["start"] : x["end"]].lower() == x["value"] for x in pii.instances(text, base)[:5])
+    assert time.time() - began < 60
+
+
 def brute_pii(text):
     out = []
     for rank, (kind, pattern) in enumerate(PII.items()):
