@@ -181,31 +181,52 @@ def token_counts(text: Column) -> Column:
     return arrow_column("struct<n_tokens:long,n_distinct:long>", of, text)
 
 
+def _hits(found: list[Terms], weights: list[int], chosen: Callable[[Terms], np.ndarray]) -> pa.Array:
+    """dl and hits of each row; ``chosen`` has the indices of the wanted terms of a field."""
+    n = len(found[0].begins) - 1
+    base, rows, places, names = np.zeros(n, np.int64), [], [], []
+    for own, weight in zip(found, weights, strict=True):
+        at = chosen(own)
+        row, size = own.rows[at], np.diff(own.begins)
+        name = pa.array(own.terms, pa.string()).take(pa.array(own.ids[at]))
+        for _ in range(weight):
+            rows.append(row)
+            places.append(base[row] + at - own.begins[row])
+            names.append(name)
+            base = base + size
+    rows, places = np.concatenate(rows), np.concatenate(places)
+    order = np.lexsort((places, rows))
+    counts = np.bincount(rows, minlength=n)
+    hits = pa.StructArray.from_arrays([pa.array(places[order], pa.int32()), pa.concat_arrays(names).take(pa.array(order))], names=["pos", "term"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), hits)
+    return pa.StructArray.from_arrays([pa.array(base, pa.int32()), lists], names=["dl", "hits"])
+
+
+_HITS = "struct<dl:int,hits:array<struct<pos:int,term:string>>>"
+
+
 def term_places(fields: list[tuple[Column, int]], wanted: list[str]) -> Column:
     """A struct for each row: dl, the number of terms of all fields, each repeated as often as its weight; hits, (pos, term) of the wanted terms in order."""
+    weights, known = [w for _, w in fields], set(wanted)
+
+    def chosen(own: Terms) -> np.ndarray:
+        return np.flatnonzero(np.array([t in known for t in own.terms], bool)[own.ids]) if len(own.ids) else np.zeros(0, np.int64)
+
+    return arrow_column(_HITS, lambda *columns: _hits([terms_of(c) for c in columns], weights, chosen), *[c for c, _ in fields])
 
+
+def row_term_places(fields: list[tuple[Column, int]], wanted: Column) -> Column:
+    """As ``term_places``, each row with wanted terms of its own: a string of terms with blanks between them."""
     weights = [w for _, w in fields]
 
     def of(*columns: pa.Array) -> pa.Array:
-        found = [terms_of(c) for c in columns]
-        n = len(columns[0])
-        base, rows, places, names = np.zeros(n, np.int64), [], [], []
-        for own, weight in zip(found, weights, strict=True):
-            place = {t: i for i, t in enumerate(wanted)}
-            which = np.array([place.get(t, -1) for t in own.terms], np.int64)[own.ids] if len(own.ids) else np.zeros(0, np.int64)
-            at = np.flatnonzero(which >= 0)
-            row = own.rows[at]
-            size = np.diff(own.begins)
-            for _ in range(weight):
-                rows.append(row)
-                places.append(base[row] + at - own.begins[row])
-                names.append(which[at])
-                base = base + size
-        rows, places, names = (np.concatenate(x) for x in (rows, places, names))
-        order = np.lexsort((places, rows))
-        counts = np.bincount(rows, minlength=n)
-        hits = pa.StructArray.from_arrays([pa.array(places[order], pa.int32()), pa.array(wanted, pa.string()).take(pa.array(names[order]))], names=["pos", "term"])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), hits)
-        return pa.StructArray.from_arrays([pa.array(base, pa.int32()), lists], names=["dl", "hits"])
-
-    return arrow_column("struct<dl:int,hits:array<struct<pos:int,term:string>>>", of, *[c for c, _ in fields])
+        asked = [(i, t) for i, own in enumerate(columns[-1].to_pylist()) for t in (own or "").split()]
+
+        def chosen(own: Terms) -> np.ndarray:
+            number = {t: i for i, t in enumerate(own.terms)}
+            keys = [i * len(number) + number[t] for i, t in asked if t in number]
+            return np.flatnonzero(np.isin(own.rows * np.int64(len(number)) + own.ids, keys))
+
+        return _hits([terms_of(c) for c in columns[:-1]], weights, chosen)
+
+    return arrow_column(_HITS, of, *[c for c, _ in fields], wanted)

@@ -84,6 +84,26 @@ def dedupe_near(ranked: DataFrame, fp: str, rank: str, long_enough: Column) -> D
     return copies.unionByName(rows.filter("__fp is null")).drop("__fp")
 
 
+def scan_near(pool: DataFrame, group: str, fp: str, rank: str, bits: int = MAX_BITS) -> DataFrame:
+    """(group, rank) of what stays of bounded pools: in the order of ``rank``, a row goes if an earlier one that stays is at most ``bits`` away; null fingerprints stay."""
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list[int] = []
+        stays = []
+        rows = rows.sort_values(rank)
+        for x in rows[fp]:
+            own = None if pd.isna(x) else int(x) & (1 << 64) - 1
+            good = own is None or all((own ^ k).bit_count() > bits for k in kept)
+            stays.append(good)
+            if good and own is not None:
+                kept.append(own)
+        return rows[stays][[group, rank]]
+
+    kinds = dict(pool.dtypes)
+    # as a decimal a fingerprint beside nulls stays whole in pandas
+    return pool.select(group, rank, F.col(fp).cast("decimal(20,0)").alias(fp)).groupBy(group).applyInPandas(scan, f"{group} {kinds[group]}, {rank} {kinds[rank]}")
+
+
 def diversify(pool: DataFrame, group: str, weight: float = LAMBDA) -> DataFrame:
     """Maximal marginal relevance over bounded pools (a top-k of each group): adds ``mmr_pos``.
 

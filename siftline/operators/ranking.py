@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.terms import distinct_tokens, term_places
+from siftline.functions.terms import distinct_tokens, row_term_places, term_places
 from siftline.functions.text import heading_lines, query_tokens
 
 from .dedup import _cut as cut
@@ -57,6 +57,11 @@ def bm25(docs: DataFrame, doc_id: str, question: str, title: Column, text: Colum
         return docs.select(doc_id, F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched"))
     hits = cut(document_hits(docs, doc_id, terms, title, text))  # small beside the texts, which are read once
     rows = hits.crossJoin(F.broadcast(corpus_statistics(hits)))  # one row of fixed size
+    return score_hits(rows, F.array(*[F.lit(t) for t in terms]), proximity).select(doc_id, "score", "matched")
+
+
+def score_hits(rows: DataFrame, terms: Column, proximity: bool = True) -> DataFrame:
+    """Adds ``score`` and ``matched`` to rows with dl, hits, n, avgdl and df (a map); ``terms`` are those of the row's question."""
     rows = rows.withColumn("norm", 1 - B + B * F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0))
 
     def part(term: Column) -> Column:
@@ -65,12 +70,28 @@ def bm25(docs: DataFrame, doc_id: str, question: str, title: Column, text: Colum
 
     found = F.array_distinct(F.transform("hits", lambda h: h["term"]))
     score = F.aggregate(found, F.lit(0.0), lambda total, term: total + part(term))
-    if proximity and len(terms) >= 2:
-        bonus = F.least(F.lit(BONUS), BONUS * _close(F.col("hits")) / max(1, len(terms) - 1))
-        score = score * (1 + F.when(F.size("hits") >= 2, bonus).otherwise(0.0))
-    every = F.array(*[F.lit(t) for t in terms])
-    matched = F.array_intersect(every, F.transform("hits", lambda h: h["term"]))
-    return rows.select(doc_id, score.alias("score"), matched.alias("matched"))
+    if proximity:
+        bonus = F.least(F.lit(BONUS), BONUS * _close(F.col("hits")) / F.greatest(F.lit(1), F.size(terms) - 1))
+        score = score * (1 + F.when((F.size("hits") >= 2) & (F.size(terms) >= 2), bonus).otherwise(0.0))
+    matched = F.array_intersect(terms, F.transform("hits", lambda h: h["term"]))
+    return rows.withColumns({"score": score, "matched": matched}).drop("norm")
+
+
+def bm25_by_question(pool: DataFrame, terms: DataFrame, question: str, doc_id: str, title: Column, text: Column) -> DataFrame:
+    """question, doc_id, content, matched, terms of every row of ``pool``; statistics are those of each question's own pool.
+
+    ``terms`` has question and an array of its terms. A text is read once for each pool that has it, and only
+    its length and the places of that question's terms go on.
+    """
+    fields = [(text, 1), (heading_lines(F.coalesce(text, F.lit(""))), HEADING_WEIGHT), (title, TITLE_WEIGHT)]
+    rows = pool.join(terms, question)
+    rows = rows.select(question, doc_id, "terms", row_term_places(fields, F.array_join("terms", " ")).alias("x"))
+    hits = cut(rows.select(question, doc_id, "terms", "x.dl", "x.hits"))
+    size = hits.groupBy(question).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    seen = hits.select(question, F.explode(F.array_distinct(F.transform("hits", lambda h: h["term"]))).alias("term")).groupBy(question, "term").agg(F.count(F.lit(1)).alias("df"))
+    counts = seen.groupBy(question).agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))  # as many as the question has
+    scored = score_hits(hits.join(size, question).join(counts, question, "left"), F.col("terms"))
+    return scored.select(question, doc_id, F.col("score").alias("content"), "matched", "terms")
 
 
 def document_frequencies(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
@@ -132,6 +153,31 @@ def relevance_floor(ranked: DataFrame, terms: list[str], floor: int, pos: str =
     return kept.unionByName(ranked.filter(~on_topic).orderBy(pos).limit(missing).withColumn("readmitted", F.lit(True)))
 
 
+DISAMBIGUATION = r"(?i)^.{0,80}?\bmay (also )?refer to\b"
+
+
+def floor_by_question(ranked: DataFrame, question: str, floor: int, place: str = "place") -> DataFrame:
+    """``relevance_floor`` for the pool of every question: ``ranked`` has place, matched, terms and text. Adds ``readmitted``.
+
+    A page that only says what its title may refer to matches nothing. Pools are bounded by the budget of a question.
+    """
+    lettered = F.exists("terms", lambda t: t.rlike(r"\p{L}")) & (F.size("terms") >= 2)
+    stub = F.trim(F.coalesce("text", F.lit(""))).rlike(DISAMBIGUATION)
+    rows = ranked.withColumn("__on", ~lettered | (F.exists("matched", lambda t: t.rlike(r"\p{L}")) & ~stub))
+    on = F.count_if(F.col("__on")).over(Window.partitionBy(question))
+    turn = F.row_number().over(Window.partitionBy(question, "__on").orderBy(place))
+    rows = rows.withColumns({"__n": on, "__turn": turn}).filter(F.col("__on") | (F.col("__turn") <= floor - F.col("__n")))
+    return rows.withColumn("readmitted", ~F.col("__on")).drop("__on", "__n", "__turn")
+
+
+def coverage_by_question(top: DataFrame, question: str) -> DataFrame:
+    """question, term, place, sources: how many of the rows of each question (terms, text) have each of its terms."""
+    own = top.select(question, "terms", distinct_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    rows = own.select(question, F.posexplode("terms").alias("place", "term"), "tokens")
+    rows = rows.select(question, "place", "term", F.array_contains("tokens", F.col("term")).alias("has"))
+    return rows.groupBy(question, "place", "term").agg(F.count_if("has").alias("sources"))
+
+
 def term_coverage(top: DataFrame, terms: list[str], tokens_column: str = "tokens") -> DataFrame:
     """term, sources: how many of the given documents have each term of the question; none counts 0."""
     spark = top.sparkSession

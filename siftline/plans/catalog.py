@@ -93,15 +93,7 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.html_title(F.col("html")).alias("title"))
 
 
-def _seen(x: str) -> str:
-    return f"length(trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')))"
-
-
-@query(
-    f"""WITH a AS (SELECT page_id, html, nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article', 1), '') AS own FROM pages),
-m AS (SELECT page_id, CASE WHEN own IS NULL OR ({_seen('own')} < 500 AND {_seen('own')} < 0.3 * {_seen('html')}) THEN html ELSE own END AS main FROM a)
-SELECT page_id, length(main) AS n_chars, md5(main) AS digest FROM m"""
-)
+@query(f"SELECT page_id, length(main) AS n_chars, md5(main) AS digest FROM (SELECT page_id, {sql.main_html('html')} AS main FROM pages)")
 def main_region(spark, sf_dir):
     """Pages of the table have one article each, which the SQL relies on; tests have nested and broken ones."""
     pages = table(spark, sf_dir, "pages").select("page_id", html.main_html("html").alias("main"))
@@ -229,10 +221,10 @@ bm AS (SELECT doc_id, coalesce(s, 0) AS plain, coalesce(s * (1 + CASE WHEN hits
 
 
 _PAGE_HEADINGS = "array_to_string(list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '^#{1,6}\\s')), chr(10))"
-_PAGE_TITLE = f"""nullif({sql.entities("trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")}, '')"""
+PAGE_TITLE = f"""nullif({sql.entities("trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")}, '')"""
 _PAGES_SQL = _TOKENS_SQL.replace(
     _TOKENS_SQL[: _TOKENS_SQL.index("\nq AS")],
-    f"""pt AS (SELECT page_id AS doc_id, {_PAGE_TITLE} AS title, {sql.html_text('html')} AS body FROM pages),
+    f"""pt AS (SELECT doc_id, title, {sql.html_text('main')} AS body FROM (SELECT page_id AS doc_id, {PAGE_TITLE} AS title, {sql.main_html('html')} AS main FROM pages)),
 docs AS (SELECT doc_id, title, list_concat({sql.tokens('body')}, list_concat(list_concat(hh, hh), list_concat(tt, list_concat(tt, tt)))) AS t FROM (SELECT *, {sql.tokens(_PAGE_HEADINGS)} AS hh, {sql.tokens("coalesce(title, '')")} AS tt FROM pt)),""",
 )
 

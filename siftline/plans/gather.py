@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.hashing import simhash
-from siftline.functions.html import html_title, html_to_text, junk_reason
+from siftline.functions.html import html_title, html_to_text, junk_reason, main_html
 from siftline.functions.terms import distinct_tokens
 from siftline.functions.text import query_tokens, title_from_text, top_sentences
 from siftline.functions.url import identity_key, in_domains
@@ -24,17 +24,19 @@ class Options:
     seeds: tuple[str, ...] = ()
     max_sources: int | None = None
     diversify: bool = True
+    rounds: int = 1
 
 
 def corpus(pages: DataFrame) -> DataFrame:
-    """Pages (url, html) as documents (url, title, text, junk); hydrating candidates is a join with it."""
-    rows = pages.select("url", html_to_text(F.col("html")).alias("text"), html_title(F.col("html")).alias("html_title"))
+    """Pages (url, html) as documents (url, title, text of the main region, junk); hydrating candidates is a join with it."""
+    rows = pages.select("url", "html", main_html(F.col("html")).alias("main"))
+    rows = rows.select("url", html_to_text(F.col("main")).alias("text"), html_title(F.col("html")).alias("html_title"))
     return rows.select("url", F.coalesce("html_title", title_from_text(F.col("text"))).alias("title"), "text", junk_reason(F.col("text")).alias("junk"))
 
 
 def hydrate(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     """Fills missing texts: a candidate's own, else its page's unless junk, else its snippet; says by which."""
-    pages = documents.filter("junk is null").select(identity_key(F.col("url")).alias("identity_key"), F.col("text").alias("page")).dropDuplicates(["identity_key"])
+    pages = documents.filter("junk is null").groupBy(identity_key(F.col("url")).alias("identity_key")).agg(F.min_by("text", "url").alias("page"))
     rows = candidates.join(pages, "identity_key", "left")
     own, page = F.nullif("text", F.lit("")), F.nullif("page", F.lit(""))
     via = F.when(own.isNotNull(), "own").when(page.isNotNull(), "page").otherwise("snippet")

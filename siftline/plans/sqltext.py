@@ -80,6 +80,16 @@ def html_text(x: str) -> str:
     return f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> ''), chr(10))"
 
 
+def _seen(x: str) -> str:
+    return f"length(trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')))"
+
+
+def main_html(html: str) -> str:
+    """The main region of a page with one article at most."""
+    own = f"nullif(regexp_extract({html}, '(?is)<article\\b[^>]*>(.*)</article', 1), '')"
+    return f"CASE WHEN {own} IS NULL OR ({_seen(own)} < 500 AND {_seen(own)} < 0.3 * {_seen(html)}) THEN {html} ELSE {own} END"
+
+
 def junk(x: str) -> str:
     cases = " ".join(f"WHEN regexp_matches(substr(trim({x}), 1, 800), {q('(?i)' + p)}) THEN {q(r)}" for p, r in JUNK)
     return f"CASE WHEN length(trim({x})) >= 2000 THEN NULL {cases} END"
