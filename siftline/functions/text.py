@@ -63,10 +63,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def first_of_each(items: Column, key=F.lower) -> Column:
     """Items whose key no earlier item has, in order. For short arrays: it compares all with all."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return once(items, lambda own: once(F.transform(own, key), lambda keys: F.filter(own, lambda x, i: F.array_position(keys, key(x)) == i + 1)))
 
 
 def keywords(text: Column) -> Column:
@@ -76,7 +80,10 @@ def keywords(text: Column) -> Column:
 
 def ranked_keywords(text: Column) -> Column:
     """Keywords by how distinctive they look: digits, inner capitals, underscores, length; ties in order."""
+    return _ranked(keywords(text))
 
+
+def _ranked(words: Column) -> Column:
     def weight(k: Column) -> Column:
         return (
             F.when(k.rlike("[0-9]"), 3.0).otherwise(0.0)
@@ -85,7 +92,7 @@ def ranked_keywords(text: Column) -> Column:
             + F.when(F.length(k) >= 8, 1.5).when(F.length(k) >= 5, 0.5).otherwise(0.0)
         )
 
-    ordered = F.array_sort(F.transform(keywords(text), lambda k, i: F.struct((-weight(k)).alias("w"), i.alias("i"), k.alias("k"))))
+    ordered = F.array_sort(F.transform(words, lambda k, i: F.struct((-weight(k)).alias("w"), i.alias("i"), k.alias("k"))))
     return F.transform(ordered, lambda x: x["k"])
 
 
@@ -112,17 +119,19 @@ def plan_variants(question: Column, depth: str) -> Column:
     """Query variants of a question: itself, ranked keywords, identifiers, a quoted phrase, head word with identifiers."""
     most = {"summary": 1, "standard": 2, "deep": 3}[depth]
     base = F.trim(question)
-    ids, kw = identifiers(question), keywords(question)
-    head = F.array_join(F.slice(ranked_keywords(question), 1, 8), " ")
-    candidates = F.array(
-        base,
-        head,
-        F.array_join(ids, " "),
-        F.when(F.size(kw) >= 2, F.concat(F.lit('"'), F.array_join(F.slice(kw, 1, 4), " "), F.lit('"'))),
-        F.when((F.size(ids) > 0) & (F.size(kw) > 0), F.concat_ws(" ", F.get(kw, F.lit(0)), F.array_join(ids, " "))),
-    )
+
+    def variants(ids: Column, kw: Column) -> Column:
+        return F.array(
+            base,
+            F.array_join(F.slice(_ranked(kw), 1, 8), " "),
+            F.array_join(ids, " "),
+            F.when(F.size(kw) >= 2, F.concat(F.lit('"'), F.array_join(F.slice(kw, 1, 4), " "), F.lit('"'))),
+            F.when((F.size(ids) > 0) & (F.size(kw) > 0), F.concat_ws(" ", F.get(kw, F.lit(0)), F.array_join(ids, " "))),
+        )
+
+    candidates = once(identifiers(question), lambda ids: once(keywords(question), lambda kw: variants(ids, kw)))
     found = F.slice(first_of_each(F.filter(candidates, lambda v: v.isNotNull() & (v != ""))), 1, most)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(base))
+    return once(found, lambda own: F.when(F.size(own) > 0, own).otherwise(F.array(base)))
 
 
 def subtokens(raw: Column) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators import dedup, ranking
+from siftline.operators import dedup
+from siftline.sources import responses
+from siftline.streaming import ingest
 
-from . import gather, questions
+from . import gather, modes, questions
 from . import sqltext as sql
 from .catalog import PAGE_TITLE, query, table
 from .catalog_rules import parts
@@ -83,6 +85,36 @@ def gather_rounds(spark, sf_dir):
     return found.select("question_id", "id", "final", "url", "text_via", F.length("text").alias("n_chars"), "blended", "found_by", "readmitted", "round")
 
 
+# --- planning -------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH c AS (SELECT p_partkey // 12 AS qid, p_partkey % 12 AS ord, CASE p_partkey % 12 WHEN 5 THEN ' ABOUT 2 ' WHEN 7 THEN ' ' ELSE 'about ' || (p_partkey % 12) END AS question,
+  CASE p_partkey % 12 WHEN 4 THEN ['ask 0', 'Ask 1'] ELSE ['Ask ' || (p_partkey % 5), 'ask ' || (p_partkey % 3), 'own ' || (p_partkey % 12), 'OWN ' || (p_partkey % 12)] END AS queries FROM part),
+f AS (SELECT qid, lower(trim(question)) AS low, min(ord) AS ord FROM c WHERE trim(question) <> '' GROUP BY qid, low), k AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY ord) AS n FROM f),
+r AS (SELECT c.qid, n, trim(question) AS question, queries FROM k JOIN c USING (qid, ord) WHERE n <= 6), u AS (SELECT qid, n, unnest(queries) AS query, unnest(range(1, len(queries) + 1)) AS i FROM r),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, lower(query) ORDER BY n, i) AS t FROM u) WHERE t = 1), g AS (SELECT qid, n, list(query ORDER BY i) AS fresh FROM o GROUP BY qid, n)
+SELECT r.qid AS question_id, 'Q' || n AS id, question, coalesce(fresh, queries[1:1]) AS queries FROM r LEFT JOIN g USING (qid, n)"""
+)
+def settled_facets(spark, sf_dir):
+    """Twelve sub-questions a question, some repeated or blank, with queries that others have too: first wins, six stay."""
+    i = F.col("i")
+    ord_ = i % 12
+    asked = F.when(ord_ == 5, F.lit(" ABOUT 2 ")).when(ord_ == 7, F.lit(" ")).otherwise(F.concat(F.lit("about "), ord_.cast("string")))
+    own = [F.concat(F.lit("Ask "), (i % 5).cast("string")), F.concat(F.lit("ask "), (i % 3).cast("string")), F.concat(F.lit("own "), ord_.cast("string")), F.concat(F.lit("OWN "), ord_.cast("string"))]
+    queries = F.when(ord_ == 4, F.array(F.lit("ask 0"), F.lit("Ask 1"))).otherwise(F.array(*own))
+    rows = parts(spark, sf_dir).select(F.floor(i / 12).alias("question_id"), ord_.alias("ord"), asked.alias("question"), F.lit("made").alias("facet"), queries.alias("queries"))
+    return modes.settle_facets(rows).drop("facet")
+
+
+@query()
+def planned_questions(spark, sf_dir):
+    """Sub-questions of every benchmark item, in one of the five modes each."""
+    rows = asked(spark, sf_dir)
+    mode = F.element_at(F.array(*[F.lit(m) for m in modes.MODES]), (F.col("question_id") % len(modes.MODES) + 1).cast("int"))
+    return modes.plan_questions(rows.withColumn("mode", mode))
+
+
 # --- the hydration ladder on made pages -----------------------------------------------------------
 
 _EFETCH = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi?db=pubmed&id={}&rettype=abstract&retmode=text"
@@ -121,3 +153,55 @@ def hydration_ladder(spark, sf_dir):
     """Own text, page, text endpoint of the archive, abstract page, snapshot (three of five dead pages of a question), snippet."""
     pool, documents = _ladder(spark, sf_dir)
     return questions.hydrate(pool, documents, rescues=3).select("question_id", "rank", "text_via", "text", "text_from")
+
+
+# --- the cache and saved result pages -------------------------------------------------------------
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {sql.canonical('url')} AS k, page_id % 50 AS age FROM pages), e AS (SELECT k, 'new ' || page_id AS text, age FROM p WHERE page_id % 3 <> 0 UNION ALL SELECT k, 'old ' || page_id, age + 1 FROM p WHERE page_id % 5 <> 0),
+b AS (SELECT k, arg_max(text, (-age, text)) AS text FROM e WHERE age <= 24 GROUP BY k) SELECT page_id, b.text, b.text IS NOT NULL AS hit FROM p LEFT JOIN b USING (k)"""
+)
+def cached_pages(spark, sf_dir):
+    """Pages asked of a cache that has two entries of some and none of others, from now to two days old; a day is the time to live."""
+    now = F.to_timestamp(F.lit("2024-05-01 12:00:00"))
+    page = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", ingest.cache_key(F.col("url")).alias("key"), (page % 50).alias("age"))
+    entries = F.array(
+        F.struct(F.when(page % 3 != 0, F.concat(F.lit("new "), page.cast("string"))).alias("text"), F.col("age").alias("age")),
+        F.struct(F.when(page % 5 != 0, F.concat(F.lit("old "), page.cast("string"))).otherwise(F.lit(" ")).alias("text"), (F.col("age") + 1).alias("age")),
+    )
+    cache = pages.select("key", F.explode(entries).alias("e")).select("key", "e.text", (now - F.make_dt_interval(hours=F.col("e.age").cast("int"))).alias("cached_at"))
+    return ingest.cache_lookup(pages.select("page_id", "key"), cache, now).select("page_id", "text", "hit")
+
+
+@query(
+    """WITH r AS (SELECT p_partkey // 40 AS q, p_partkey % 40 AS i, p_partkey % 40 // 8 AS page, p_partkey AS k FROM part), u AS (SELECT *, CASE WHEN page = 2 AND q % 3 = 0 OR page = 1 AND q % 3 = 1 THEN q * 40 + i % 8 ELSE k END AS link FROM r),
+n AS (SELECT q, page, count(*) FILTER (fresh) AS fresh FROM (SELECT *, row_number() OVER (PARTITION BY q, link ORDER BY page, i) = 1 AS fresh FROM u) GROUP BY q, page), s AS (SELECT q, coalesce(min(page) FILTER (fresh = 0), 5) AS stop FROM n GROUP BY q),
+f AS (SELECT q, link, min((page, i)) AS place FROM u JOIN s USING (q) WHERE page < stop GROUP BY q, link)
+SELECT CAST(q AS VARCHAR) AS query, CAST(row_number() OVER (PARTITION BY q ORDER BY place) AS INTEGER) AS pos, 'https://x.org/' || link AS url FROM f"""
+)
+def read_searxng_pages(spark, sf_dir):
+    """Five saved pages a query; pages behind the first without a new URL are not read."""
+    return responses.read_searxng_pages(_saved_pages(spark, sf_dir))[0].select("query", "pos", "url")
+
+
+@query(
+    """WITH q AS (SELECT DISTINCT p_partkey // 40 AS q FROM part) SELECT CAST(q AS VARCHAR) AS query, 'brave' AS engine, 'Suspended: too many requests' AS reason FROM q UNION ALL SELECT CAST(q AS VARCHAR), 'qwant', 'CAPTCHA' FROM q WHERE q % 3 <> 1 AND EXISTS (SELECT 1 FROM part WHERE p_partkey // 40 = q AND p_partkey % 40 // 8 = 2) UNION ALL SELECT CAST(q AS VARCHAR), 'late', 'last reason' FROM q WHERE q % 3 = 2"""
+)
+def suspended_engines(spark, sf_dir):
+    """Engines that a page which was read calls unresponsive, with the last reason given; the late pages of most queries are not read."""
+    return responses.read_searxng_pages(_saved_pages(spark, sf_dir))[1]
+
+
+def _saved_pages(spark, sf_dir) -> DataFrame:
+    """Pages of eight results; of a third of the queries the second, of another the third repeats the first."""
+    i = F.col("i")
+    q, page, own = F.floor(i / 40), F.floor(i % 40 / 8), i % 40 % 8
+    link = F.when(((page == 2) & (q % 3 == 0)) | ((page == 1) & (q % 3 == 1)), q * 40 + own).otherwise(i)
+    item = F.to_json(F.struct(F.concat(F.lit("https://x.org/"), link.cast("string")).alias("url"), F.lit("").alias("title"), F.lit("s").alias("content")))
+    rows = parts(spark, sf_dir).select(q.cast("string").alias("query"), page.cast("int").alias("page"), i.alias("i"), item.alias("item"))
+    saved = rows.groupBy("query", "page").agg(F.array_sort(F.collect_list(F.struct("i", "item"))).alias("x"))  # eight items
+    items = F.array_join(F.transform("x", lambda y: y["item"]), ",")
+    engines = F.when(F.col("page") == 0, '[["brave","timeout"]]').when(F.col("page") == 1, '[["brave","Suspended: too many requests"]]').when(F.col("page") == 2, '["qwant",["qwant","CAPTCHA"]]').otherwise('[["late","last reason"]]')
+    return saved.select("query", "page", F.concat(F.lit('{"results":['), items, F.lit('],"unresponsive_engines":'), engines, F.lit("}")).alias("payload"))

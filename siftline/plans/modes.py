@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.text import query_tokens
+from siftline.functions.text import identifiers, plan_variants, query_tokens
+from siftline.operators.dedup import _cut as cut
 
 from .facets import facet_queries, facet_question
 
@@ -60,43 +61,63 @@ def resolve_backends(mode: str, depth: str, only: list[str] | None = None, engin
     return found
 
 
-_SCAFFOLD = re.compile(r"^(what|how|why|when|where|who|which)\b.*?\b(is|are|was|were|do|does|did|can|should|would)\s+(an?\s+|the\s+)?", re.I)
+SCAFFOLD = r"(?i)^(what|how|why|when|where|who|which)\b.*?\b(is|are|was|were|do|does|did|can|should|would)\s+(an?\s+|the\s+)?"
 
 
-def subject_of(question: str) -> str:
+def subject_of(question: Column) -> Column:
     """What a question is about: without interrogative scaffolding and question mark."""
-    bare = question.strip().rstrip("?").strip()
-    return _SCAFFOLD.sub("", bare).strip() or bare
-
-
-def facets(spark: SparkSession, question: str, mode: str) -> list[dict]:
-    """A sub-question for each heading of the mode's report; a handful of rows."""
-    rows = spark.createDataFrame([(i, subject_of(question), h, question) for i, h in enumerate(MODES[mode].headings)], "i int, subject string, heading string, question string")
-    asked = rows.select("i", "subject", "heading", facet_question(F.col("subject"), F.col("heading"), F.col("question")).alias("x"))
-    found = asked.select("i", "heading", "x.question", facet_queries(F.col("x.question"), F.col("subject"), F.col("x.terms")).alias("queries")).orderBy("i").collect()
-    return [{"question": r.question, "facet": r.heading, "queries": list(r.queries)} for r in found]
+    bare = F.trim(F.regexp_replace(F.trim(question), r"\?+$", ""))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(bare, SCAFFOLD, "")), F.lit("")), bare)
+
+
+def facet_candidates(questions: DataFrame) -> DataFrame:
+    """question_id, ord, question, facet, queries: an identifier drill where a question has identifiers, and a sub-question for each heading of its mode's report.
+
+    ``questions`` has question_id, question and mode; unknown modes have no headings.
+    """
+    asked = F.trim(F.coalesce("question", F.lit("")))
+    rows = questions.select("question_id", asked.alias("whole"), "mode").withColumns({"ids": identifiers(F.col("whole")), "subject": subject_of(F.col("whole"))})
+    rows = cut(rows)  # long expressions, used several times below
+    drill = rows.filter(F.size("ids") > 0).select("question_id", F.lit(0).alias("ord"), F.concat_ws(" ", "whole", F.array_join("ids", " ")).alias("question"), F.lit("identifier").alias("facet"))
+    drill = drill.withColumn("queries", plan_variants(F.col("question"), "deep"))
+    headings = F.broadcast(modes(questions.sparkSession).select(F.col("name").alias("mode"), "headings"))  # five rows
+    every = rows.filter("whole <> ''").join(headings, "mode").select("question_id", "whole", "subject", F.posexplode("headings").alias("ord", "facet"))
+    every = cut(every.withColumn("x", facet_question(F.col("subject"), F.col("facet"), F.col("whole"))))
+    every = every.select("question_id", (F.col("ord") + 1).alias("ord"), F.col("x.question").alias("question"), "facet", facet_queries(F.col("x.question"), F.col("subject"), F.col("x.terms")).alias("queries"))
+    return drill.unionByName(every)
+
+
+def settle_facets(candidates: DataFrame, most: int = MAX_SUB_QUESTIONS) -> DataFrame:
+    """question_id, id (Q1 ..), question, facet, queries of the first ``most`` distinct sub-questions (by lower case) of each question.
+
+    A query that an earlier sub-question of the question has, in whatever case, is not asked again; a sub-question that is left without
+    any asks its first. Blank sub-questions go. First wins by two aggregations, over sub-questions and over queries; no row waits for another.
+    """
+    rows = candidates.filter(F.trim(F.coalesce("question", F.lit(""))) != "").withColumn("question", F.trim("question"))
+    first = rows.groupBy("question_id", F.lower("question").alias("low")).agg(F.min_by(F.struct("ord", "question", "facet", "queries"), "ord").alias("r"))
+    turn = F.row_number().over(Window.partitionBy("question_id").orderBy("r.ord"))
+    kept = first.withColumn("n", turn).filter(F.col("n") <= max(1, most)).select("question_id", "n", "r.question", "r.facet", "r.queries")
+    asked = kept.select("question_id", "n", F.posexplode("queries").alias("place", "query"))
+    once = asked.groupBy("question_id", F.lower("query").alias("low")).agg(F.min(F.struct("n", "place", "query")).alias("q"))
+    fresh = once.groupBy("question_id", F.col("q.n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("q.place", "q.query"))).alias("fresh"))  # a sub-question has a few queries
+    own = kept.join(fresh, ["question_id", "n"], "left")
+    queries = F.coalesce(F.transform("fresh", lambda x: x["query"]), F.slice("queries", 1, 1))
+    return own.select("question_id", F.concat(F.lit("Q"), F.col("n").cast("string")).alias("id"), "question", "facet", queries.alias("queries"))
+
+
+def plan_questions(questions: DataFrame, most: int = MAX_SUB_QUESTIONS) -> DataFrame:
+    """The sub-questions of every question of a table."""
+    return settle_facets(facet_candidates(questions), most)
 
 
 def plan(spark: SparkSession, question: str, mode: str, agent: list[str] | None = None, most: int = MAX_SUB_QUESTIONS) -> DataFrame:
-    """The sub-questions of a question with ids by position; distinct by lower case, and no query of an earlier one again unless nothing is left."""
-    rows = [{"question": q.strip(), "facet": "agent", "queries": [q.strip()]} for q in agent] if agent else facets(spark, question, mode)
-    seen: set[str] = set()
-    used: set[str] = set()
-    out = []
-    for r in rows:
-        if not r["question"] or r["question"].lower() in seen or len(out) >= max(1, most):
-            continue
-        seen.add(r["question"].lower())
-        fresh = [q for q in r["queries"] if q.lower() not in used]
-        used.update(q.lower() for q in r["queries"])
-        out.append((f"Q{len(out) + 1}", r["question"], r["facet"], fresh or r["queries"][:1]))
-    return spark.createDataFrame(out, "id string, question string, facet string, queries array<string>")
-
-
-def gap_query(question: str, missing: list[str]) -> str:
-    """A query for the terms that too few documents cover: two words of the question and the missing ones."""
-    head = [w for w in query_tokens(question) if w not in missing][:2]
-    return " ".join(dict.fromkeys([*head, *missing]))
+    """The sub-questions of one question, or the given ones, each its own query."""
+    if agent:
+        given = spark.createDataFrame([(0, i, q.strip(), "agent", [q.strip()]) for i, q in enumerate(agent)], "question_id int, ord int, question string, facet string, queries array<string>")
+        found = settle_facets(given, most)
+    else:
+        found = plan_questions(spark.createDataFrame([(0, question, mode)], "question_id int, question string, mode string"), most)
+    return found.drop("question_id").orderBy(F.length("id"), "id")  # a handful of rows
 
 
 def ambiguity(question: str, clusters: int) -> list[str]:

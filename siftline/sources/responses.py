@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.html import decode_entities, html_to_text
+from siftline.functions.url import canonical_url
 
 FIELDS = {"url": "string", "title": "string", "snippet": "string", "text": "string", "score": "double", "doi": "string", "arxiv_id": "string", "authors": "array<string>", "year": "int", "venue": "string"}
 SNIPPET = 360
@@ -168,6 +169,41 @@ def read_json_responses(responses: DataFrame, kind: str) -> DataFrame:
     return _finish(rows.select("query", "place", *[c.alias(n) for n, c in own.items()]), kind)
 
 
+def read_searxng_pages(responses: DataFrame, pages: int = 5, per_page: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Candidates of several saved result pages a query (query, page from 0, payload), and the engines they call suspended (query, engine, reason).
+
+    Pages are read in order until one has no URL that an earlier one has not, does not parse, or is missing: what lies behind
+    is not read, neither are its suspended engines; that page's own are. Of an engine named again the later reason counts.
+    A URL is new where it stands first; that is one aggregation by query and URL, and the end of each query one over its pages.
+    """
+    spec = SPECS["searxng"]
+    asked = responses.filter(F.col("page").between(0, pages - 1))
+    asked = asked.groupBy("query", "page").agg(F.min("payload").alias("payload")).withColumn("data", F.try_parse_json("payload"))
+    parsed = asked.select("query", "page", "payload", F.col("data").isNotNull().alias("good"))
+    items = F.coalesce(F.slice(F.from_json(F.get_json_object("payload", spec.items), "array<string>"), 1, per_page), F.array().cast("array<string>"))
+    rows = parsed.filter("good").select("query", "page", F.posexplode(items).alias("place", "item"))
+    url = spec.fields["url"](F.col("item"))
+    rows = rows.withColumn("key", canonical_url(url)).filter(url.rlike("^https?://"))
+    first = rows.groupBy("query", "key").agg(F.min(F.struct("page", "place", "item")).alias("f")).select("query", "f.*")
+    fresh = first.select("query", "page").distinct().withColumn("fresh", F.lit(True))
+    every = responses.select("query").distinct().select("query", F.explode(F.sequence(F.lit(0), F.lit(pages))).alias("page"))
+    stops = every.join(fresh, ["query", "page"], "left").filter("fresh is null").groupBy("query").agg(F.min("page").alias("stop"))
+    kept = first.join(stops, "query").filter("page < stop")
+    back = (F.lit(pages * per_page) - F.col("page") * per_page - F.col("place")).cast("double")
+    own = {name: spec.fields[name](F.col("item")).cast(kind) if name in spec.fields else F.lit(None).cast(kind) for name, kind in FIELDS.items()}
+    own["title"] = F.coalesce(F.nullif(own["title"], F.lit("")), own["url"])
+    own["score"] = back
+    candidates = _finish(kept.select("query", (F.col("page") * per_page + F.col("place")).alias("place"), *[c.alias(n) for n, c in own.items()]), "searxng")
+
+    named = F.from_json(F.get_json_object("payload", "$.unresponsive_engines"), "array<string>")
+    heard = parsed.filter("good").join(stops, "query").filter("page <= stop").select("query", "page", F.posexplode(named).alias("place", "x"))
+    pair = F.from_json("x", "array<string>")
+    engine = F.when(F.col("x").startswith("["), F.get(pair, F.lit(0))).otherwise(F.col("x"))
+    heard = heard.select("query", "page", "place", engine.alias("engine"), F.trim(F.coalesce(F.when(F.col("x").startswith("["), F.get(pair, F.lit(1))), F.lit(""))).alias("reason")).filter("engine <> ''")
+    suspended = heard.groupBy("query", "engine").agg(F.max_by("reason", F.struct("page", "place")).alias("reason"))
+    return candidates, suspended
+
+
 def quota(responses: DataFrame) -> DataFrame:
     """query, least remaining quota and first backoff over the responses of a query."""
     return responses.groupBy("query").agg(F.min(F.get_json_object("payload", "$.quota_remaining").cast("long")).alias("remaining"), F.max(F.get_json_object("payload", "$.backoff").cast("long")).alias("backoff"))

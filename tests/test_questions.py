@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions.text import query_tokens
 from siftline.functions.url import in_domains
 from siftline.operators import dedup, ranking
-from siftline.plans import questions
+from siftline.plans import modes, questions
 from siftline.plans.gather import Options
 
 WORDS = "cobalt anode lithium cathode binder slurry coating drying calender press porosity tab weld seal electrolyte fill formation cycle capacity fade".split()
@@ -241,3 +241,43 @@ def test_floor_readmits_the_best_of_the_dropped(spark):
 def test_domains(spark):
     rows = spark.createDataFrame([("https://a.org/x",), ("https://b.a.org",), ("https://ba.org",)], "url string")
     assert [r[0] for r in rows.select(in_domains(F.col("url"), ["a.org"])).collect()] == [True, True, False]
+
+
+# --- planning
+
+
+def settle_one_by_one(rows, most):
+    out, seen, used = [], set(), set()
+    for question, queries in rows:
+        key = question.strip().lower()
+        if not key or key in seen or len(out) >= most:
+            continue
+        seen.add(key)
+        fresh = []
+        for q in queries:
+            if q.lower() not in used:
+                used.add(q.lower())
+                fresh.append(q)
+        out.append((f"Q{len(out) + 1}", question.strip(), fresh or queries[:1]))
+    return out
+
+
+def test_plans_of_many_questions(spark):
+    rng = random.Random(4)
+    names = ["How a", "how A", "b ", "", "c", "d", "E", "e"]
+    rows = {q: [(rng.choice(names), [rng.choice("xyzXYZ") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 4))]) for _ in range(rng.randrange(0, 10))] for q in range(40)}
+    table = spark.createDataFrame([(q, i, t, "f", x) for q, own in rows.items() for i, (t, x) in enumerate(own)], "question_id int, ord int, question string, facet string, queries array<string>").repartition(3)
+    got = defaultdict(list)
+    for r in modes.settle_facets(table, 4).collect():
+        got[r.question_id].append((r.id, r.question, r.queries))
+    assert {q: sorted(x) for q, x in got.items()} == {q: x for q, own in rows.items() if (x := settle_one_by_one(own, 4))}
+
+
+def test_plans_have_drills_and_headings(spark):
+    asked = [(1, "What is the token bucket in RFC 6585 v2.1?", "topic"), (2, "How does caching work", "bug"), (3, None, "topic"), (4, "a question", "no such mode")]
+    found = defaultdict(list)
+    for r in modes.plan_questions(spark.createDataFrame(asked, "question_id int, question string, mode string"), 8).orderBy("question_id", "id").collect():
+        found[r.question_id].append(r)
+    assert found.keys() == {1, 2} and found[1][0].facet == "identifier" and "v2.1" in found[1][0].question
+    assert [r.facet for r in found[1][1:]] == list(modes.MODES["topic"].headings) and len(found[2]) == len(modes.MODES["bug"].headings)
+    assert all(r.queries and len({q.lower() for x in own for q in x.queries}) >= len(own) - 1 for own in found.values() for r in own)

@@ -82,7 +82,6 @@ def test_planning(spark):
     assert [r.id for r in plan] == [f"Q{k}" for k in range(1, 7)] and all(r.queries for r in plan)
     assert [r.question for r in modes.plan(spark, "q", "bug", ["A", "a", "B"]).collect()] == ["A", "B"]
     assert modes.ambiguity("python", 1) and not modes.ambiguity("How does the token bucket algorithm limit request rates?", 1)
-    assert modes.gap_query("token bucket rate limits", ["limit"]) == "token bucket limit"
 
 
 def candidates(spark):
