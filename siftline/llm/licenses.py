@@ -18,6 +18,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import join_groups, materialise
+
 # Public licence texts without their copyright lines.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -89,11 +91,11 @@ SPELLINGS = {
 
 COPYRIGHT_LINE = r"^[ \t]*(copyright[ \t]*([(]c[)]|©|[0-9]{4})|[(]c[)][ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
 #: The same in files: behind comment marks, and with a name in place of the year. The words are those that follow in running text.
-COPYRIGHT_IN_FILE = (
-    r"^[^\p{L}\p{N}\n(©]*(copyright[ \t:]*([(]c[)]|©|[0-9]{4})"
-    r"|copyright[ \t:]+(?!(notices?|holders?|owners?|licen[sc]es?|laws?|statements?|status|interests?|claims?|infringement|disclaimers?|permission|treaty|protection|rights?|the (software|program|library)|and|or|on|in|of|to|is|by|for|that|which|as|under|with)\b)[\[<{\p{L}]"
-    r"|[(]c[)][ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
-)
+_BEFORE = r"^[^\p{L}\p{N}\n(©]*"
+_DATED = r"copyright[ \t:]*([(]c[)]|©|[0-9]{4})"
+_OTHERS = r"[(]c[)][ \t]*[0-9]{4}|©|all rights reserved"
+_RUNNING = r"(notices?|holders?|owners?|licen[sc]es?|laws?|statements?|status|interests?|claims?|infringement|disclaimers?|permission|treaty|protection|rights?|the (software|program|library)|and|or|on|in|of|to|is|by|for|that|which|as|under|with)\b"
+COPYRIGHT_IN_FILE = rf"{_BEFORE}({_DATED}|copyright[ \t:]+(?!{_RUNNING})[\[<{{\p{{L}}]|{_OTHERS})[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -123,35 +125,67 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "license_id string, text string")
 
 
-def find_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, digest, license_id of each document; of several known texts with one digest the least id."""
-    texts = known_licenses(docs.sparkSession) if known is None else known
+#: Only texts with one of these (in lower case) have a second form of their own.
+_MARKS = "copyright|[(]c[)]|©|all rights reserved"
 
-    def ids(digest: Column, key: str, name: str) -> DataFrame:
-        found = texts.groupBy(digest.alias(key)).agg(F.min("license_id").alias(name))
-        return F.broadcast(found) if known is None else found  # the number of texts above bounds the size
 
+def find_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest, license_id of each document; of several known texts with one digest the least id.
+
+    A caller's own ``known`` may be of any size: then digests are joined by shuffles, and groups of equal texts however large stay where they are.
+    """
+    built_in = known is None
+    texts = known_licenses(docs.sparkSession) if built_in else known
     text = F.col("text")
-    own = docs.select("doc_id", canonical_digest(text).alias("digest"), file_digest(text).alias("as_file"))
-    own = own.join(ids(canonical_digest(text), "digest", "whole"), "digest", "left").join(ids(file_digest(text), "as_file", "filed"), "as_file", "left")
-    return own.select("doc_id", "digest", F.coalesce("whole", "filed").alias("license_id"))
+    marked = F.lower(F.coalesce(text, F.lit(""))).rlike(_MARKS)
+    own = docs.select("doc_id", canonical_digest(text).alias("digest"), F.when(marked, file_digest(text)).alias("as_file"))
+    forms = texts.select("license_id", canonical_digest(text).alias("digest"), file_digest(text).alias("as_file"))
+
+    def ids(key: str, name: str) -> DataFrame:
+        return forms.groupBy(key).agg(F.min("license_id").alias(name))
+
+    whole, filed = ids("digest", "whole"), ids("as_file", "filed")
+    if built_in:  # the number of texts above bounds what is broadcast
+        whole, filed = F.broadcast(whole), F.broadcast(filed)
+        own = own.withColumn("second", F.coalesce("as_file", "digest")).drop("as_file")
+        found = own.join(whole, "digest", "left").join(filed.withColumnRenamed("as_file", "second"), "second", "left")
+        return found.select("doc_id", "digest", F.coalesce("whole", "filed").alias("license_id"))
+    # rows meet the known texts by what they are, not one by one: each distinct pair of digests is looked up once
+    own = materialise(own.withColumn("second", F.coalesce("as_file", "digest")).drop("as_file"), "licence-rows")
+    groups = own.groupBy("digest", "second").agg(F.count(F.lit(1)).alias("copies"))
+    groups = groups.join(whole, "digest", "left").join(filed.withColumnRenamed("as_file", "second"), "second", "left")
+    named = groups.select(F.concat("digest", "second").alias("both"), "copies", F.coalesce("whole", "filed").alias("license_id"))
+    rows = own.withColumn("both", F.concat("digest", "second")).drop("second")
+    return join_groups(rows, materialise(named, "licence-groups"), "both", "copies").select("doc_id", "digest", "license_id")
 
 
 def sql() -> str:
-    """The same over the table ``documents``, in DuckDB's dialect."""
+    """The same known texts and both forms over the table ``documents``, in DuckDB's dialect, which cannot look ahead: lines are judged one by one."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    def form(x: str) -> str:
+    def form(x: str, drop: str) -> str:
         out = f"translate(coalesce({x}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
-        out = f"regexp_replace({out}, {quoted('(?m)' + COPYRIGHT_LINE)}, '', 'g')"
+        out = f"array_to_string(list_transform(string_split({out}, chr(10)), lambda l: CASE WHEN {drop} THEN '' ELSE l END), chr(10))"
         out = f"regexp_replace(replace({out}, '&', ' and '), {quoted(OTHER)}, ' ', 'g')"
         for spelling, one in SPELLINGS.items():
             out = f"replace({out}, {quoted(spelling)}, {quoted(one)})"
         return f"sha256(trim({out}))"
 
-    values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in TEXTS.items())
-    return f"""WITH known AS (SELECT {form('text')} AS digest, min(license_id) AS license_id FROM (VALUES {values}) AS t(license_id, text) GROUP BY 1),
-own AS (SELECT doc_id, {form('text')} AS digest FROM documents)
-SELECT doc_id, digest, license_id FROM own LEFT JOIN known USING (digest)"""
+    def has(pattern: str) -> str:
+        return f"regexp_matches(l, {quoted(pattern)})"
+
+    line = has(COPYRIGHT_LINE)
+    in_file = f"({has(f'{_BEFORE}({_DATED}|{_OTHERS})')} OR {has(_BEFORE + r'copyright[ \t:]+[\[<{\p{L}]')} AND NOT {has(_BEFORE + r'copyright[ \t:]+' + _RUNNING)})"
+    bodies = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in BODIES)
+    titles = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, own in TITLES.items() for t in own)
+    files = []
+    for k, name in FILES.items():
+        whole = pkgutil.get_data("siftline.llm", f"license_texts/{name}.txt").decode()
+        files += [f"({quoted(k)}, {quoted(part)})" for part in {whole: 0, (whole.split(APPENDIX[k])[0] if k in APPENDIX else whole): 0}]
+    return f"""WITH bodies(license_id, text) AS (VALUES {bodies}), titles(license_id, title) AS (VALUES {titles}), files(license_id, text) AS (VALUES {', '.join(files)}),
+every AS (SELECT * FROM bodies UNION ALL SELECT license_id, title || chr(10) || text FROM bodies JOIN titles USING (license_id) UNION ALL SELECT * FROM files),
+known AS (SELECT {form('text', line)} AS digest, min(license_id) AS whole FROM every GROUP BY 1), filed AS (SELECT {form('text', in_file)} AS second, min(license_id) AS filed FROM every GROUP BY 1),
+own AS (SELECT doc_id, {form('text', line)} AS digest, {form('text', in_file)} AS second FROM documents)
+SELECT doc_id, digest, coalesce(whole, filed) AS license_id FROM own LEFT JOIN known USING (digest) LEFT JOIN filed USING (second)"""

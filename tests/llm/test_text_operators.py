@@ -412,6 +412,90 @@ def test_license_files_as_published(spark):
     assert {r.doc_id: r.license_id for r in found} == {k: name for k, (name, _) in enumerate(rows)}
 
 
+def test_planted_licenses_agree_with_sql(spark, tmp_path):
+    """Texts of every known licence, as they are, with titles, behind marks, broken and mixed, in Spark and in SQL."""
+    import duckdb
+
+    texts = [r.text for r in licenses.known_licenses(spark).collect()]
+    rng = random.Random(3)
+    notices = ["Copyright (c) 2020 X", "Copyright The X Authors", "copyright notice of X", "(c) 2019 Y", "All rights reserved.", "Copyright: Z", "© W", "Copyright (the software) Q"]
+    for text in texts[:]:
+        mark = rng.choice(["", "# ", " * ", "// "])
+        texts.append("\n".join(mark + x for x in [rng.choice(notices), "", *text.split("\n")]))
+        texts.append(text[: len(text) // 2])
+        texts.append(text.replace("license", "licence").upper())
+    texts += [None, "", "x" * 300_000, texts[0], texts[0]]
+    rows = [(k // 2, t, "en", "s", 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = sorted(con.sql(licenses.sql()).fetchall(), key=repr)
+    assert tuples(licenses.find_licenses(docs), "doc_id", "digest", "license_id") == want
+    assert len({x for _, _, x in want if x}) == len(licenses.FILES) + len(licenses.TITLES)
+
+
+def test_own_known_texts(spark):
+    """A caller's texts: two of one digest, an empty one, and many copies of it among the documents."""
+    known = spark.createDataFrame([("b", "Some Terms, v1"), ("a", "some terms v1"), ("none", ""), ("c", None), ("other", "Copyright Q\nother terms")], "license_id string, text string")
+    rows = [(k, "") for k in range(300)] + [(400, "SOME TERMS: V1"), (401, None), (402, "# Copyright 2020 X\n# other terms"), (403, "other"), (404, "Copyright X\nOther\tterms")]
+    found = {r.doc_id: r.license_id for r in licenses.find_licenses(documents(spark, rows), known).collect()}
+    assert found == {**{k: "c" for k in range(300)}, 400: "a", 401: "c", 402: "other", 403: None, 404: "other"}
+    assert licenses.find_licenses(documents(spark, []), known).collect() == []
+
+
+def plain_statistics(text):
+    """The twelve statistics by plain counting over characters in UTF-8."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = re.findall(rb"[^\n]+", raw)
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    low_words, low_lines = re.findall(rb"[^\x20\x09-\x0D]+", low), re.findall(rb"[^\n]+", low)
+    symbols = set(range(33, 44)) | {45, 47} | set(range(58, 65)) | set(range(91, 97)) | set(range(123, 127))
+
+    def count(test):
+        return sum(1 for c in raw if test(c))
+
+    size, letters = len(raw) + 50, count(lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) + 40
+    own_words, own_lines = len(words) + 8, len(lines) + 2
+    # a pair across the end of the text counts once for it
+    pairs = len({(a, b) for a, b in zip(low_words, low_words[1:])})
+    return [
+        math.log1p(len(words)),
+        math.log(size / own_words),
+        math.sqrt((count(lambda c: 65 <= c <= 90) + 1) / letters),
+        math.sqrt(count(lambda c: 48 <= c <= 57) / size),
+        math.sqrt(count(lambda c: c in symbols) / size),
+        math.sqrt((count(lambda c: c in (44, 46)) + 1) / size),
+        math.sqrt(sum(w[-1] in symbols for w in words) / own_words),
+        math.log(len(set(low_words)) + 8) / math.log(own_words),
+        (pairs, bool(words), own_words),
+        (len(set(low_lines)) + 2) / own_lines,
+        math.log1p(len(raw) / max(len(lines), 1)),
+        math.sqrt(count(lambda c: c >= 128) / size),
+    ]
+
+
+def test_statistics_of_quality_by_plain_counting(spark):
+    rng = random.Random(2)
+    texts = [None, "", " \n\t", "A", "one", "a b a b a b", "Same line\nSAME LINE\nother", "Ünïcode, Ärger. ñ 12 34!", "x|y$ *z* (w)", "word " * 4000]
+    texts += ["".join(rng.choice("abC1 .,\n$é") for _ in range(rng.randrange(1, 400))) for _ in range(60)]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").repartition(3)
+    got = {r.k: r.x for r in table.select("k", quality.document_statistics("text").alias("x")).collect()}
+    for k, text in enumerate(texts):
+        want = plain_statistics(text)
+        pairs, some, own = want[8]
+        # the last word's pair with what follows in its batch is one more, or one that is there already
+        either = [math.log(pairs + extra + 8) / math.log(own) for extra in ((0, 1) if some else (0,))]
+        assert min(abs(got[k][8] - x) for x in either) < 1e-9, text
+        assert np.allclose(got[k][:8] + got[k][9:], want[:8] + want[9:], atol=1e-9), text
+
+
+def test_quality_of_no_documents(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.score_documents(documents(spark, []), labels).collect() == [] and quality.keep_good(documents(spark, []), labels).collect() == []
+
+
 def test_quality_learns_and_scores_all(spark):
     rng = np.random.default_rng(0)
     words = ["the", "of", "river", "green", "moves", "stone", "light", "over"]
