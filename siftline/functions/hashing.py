@@ -61,7 +61,7 @@ def _shingle_hashes(own: Terms) -> tuple[np.ndarray, np.ndarray]:
     """
     sizes = np.diff(own.begins)
     counts = np.where(sizes < _SHINGLE, sizes, sizes - _SHINGLE + 1)
-    units = _Units([*own.terms, " "])
+    units = _Units([*own.terms.to_pylist(), " "])
     space, n = len(own.terms), np.int64(len(own.terms) + 1)
     one = units.carry_on(np.full(len(own.terms), _OFFSET, np.uint64), np.arange(len(own.terms)))
     short = np.repeat(sizes < _SHINGLE, counts)

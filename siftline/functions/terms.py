@@ -22,6 +22,7 @@ from .text import STOPWORDS, _deaccent, _fold_plural
 
 SLICE_BYTES = 4 << 20
 _STOP = frozenset(STOPWORDS)
+_STOPS = pa.array(STOPWORDS, pa.large_string())
 _WORD = regex.compile(r"[\p{L}\p{N}_]+")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,7 +65,7 @@ def _fold(word: str) -> tuple[str, ...]:
 class Terms:
     """The terms of some texts: ``ids`` name entries of ``terms``, those of text i from ``begins[i]`` on."""
 
-    terms: list[str]
+    terms: pa.Array
     ids: np.ndarray
     begins: np.ndarray
 
@@ -79,7 +80,7 @@ class Terms:
         return Terms(self.terms, self.ids[first], np.searchsorted(first, self.begins))
 
     def arrays(self) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(self.begins, pa.int32()), pa.array(self.terms, pa.string()).take(pa.array(self.ids)))
+        return pa.ListArray.from_arrays(pa.array(self.begins, pa.int32()), self.terms.take(pa.array(self.ids)))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +108,26 @@ def _inside(buf: np.ndarray) -> np.ndarray:
     return inside
 
 
+def _fold_all(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of distinct words, the numbers of their terms one word after another, and how many each word has.
+
+    A word of ASCII letters that does not end in s is its own term or none, which Arrow tells; only the others are folded one by one.
+    """
+    plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.ends_with(words, "s")))
+    own = pc.and_(plain, pc.and_(pc.greater_equal(pc.binary_length(words), 2), pc.invert(pc.is_in(words, _STOPS))))
+    odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    folded = [_fold(w) for w in words.take(pa.array(odd)).to_pylist()]
+    own_at = np.flatnonzero(own.to_numpy(zero_copy_only=False))
+    sizes = np.zeros(len(words), np.int64)
+    sizes[own_at] = 1
+    sizes[odd] = [len(x) for x in folded]
+    first = np.cumsum(sizes) - sizes
+    found = pa.concat_arrays([words.take(pa.array(own_at)), pa.array([t for x in folded for t in x], pa.large_string())]).dictionary_encode()
+    flat = np.empty(int(sizes.sum()), np.int64)
+    flat[np.concatenate([first[own_at], spread(first[odd], sizes[odd])])] = found.indices.to_numpy()
+    return found.dictionary.cast(pa.string()), flat, sizes
+
+
 def terms_of(column: pa.Array) -> Terms:
     """Terms of each text in order, repeats kept, stopwords and single characters dropped; null is empty."""
     buf, offsets = _flat(column.fill_null(""))
@@ -121,15 +142,12 @@ def terms_of(column: pa.Array) -> Terms:
     lengths = letters[np.append(starts[1:], len(low))] - letters[starts]
     places = np.concatenate([[0], np.cumsum(lengths)])
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(low[inside])).dictionary_encode()
-    number: dict[str, int] = {}
-    folded = [[number.setdefault(t, len(number)) for t in _fold(w)] for w in words.dictionary.to_numpy(zero_copy_only=False)]
-    sizes = np.array([len(x) for x in folded], np.int64)
-    flat = np.array([t for x in folded for t in x], np.int64)
+    terms, flat, sizes = _fold_all(words.dictionary.cast(pa.large_string()))
     index = words.indices.to_numpy()
     own = sizes[index]
     ids = flat[spread((np.cumsum(sizes) - sizes)[index], own)]
     begins = np.concatenate([[0], np.cumsum(own)])[np.searchsorted(starts, offsets)]
-    return Terms(list(number), ids, begins)
+    return Terms(terms, ids, begins)
 
 
 def slices(*columns: pa.Array) -> Iterator[list[pa.Array]]:
@@ -188,7 +206,7 @@ def _hits(found: list[Terms], weights: list[int], chosen: Callable[[Terms], np.n
     for own, weight in zip(found, weights, strict=True):
         at = chosen(own)
         row, size = own.rows[at], np.diff(own.begins)
-        name = pa.array(own.terms, pa.string()).take(pa.array(own.ids[at]))
+        name = own.terms.take(pa.array(own.ids[at]))
         for _ in range(weight):
             rows.append(row)
             places.append(base[row] + at - own.begins[row])
@@ -207,10 +225,10 @@ _HITS = "struct<dl:int,hits:array<struct<pos:int,term:string>>>"
 
 def term_places(fields: list[tuple[Column, int]], wanted: list[str]) -> Column:
     """A struct for each row: dl, the number of terms of all fields, each repeated as often as its weight; hits, (pos, term) of the wanted terms in order."""
-    weights, known = [w for _, w in fields], set(wanted)
+    weights, known = [w for _, w in fields], pa.array(wanted, pa.string())
 
     def chosen(own: Terms) -> np.ndarray:
-        return np.flatnonzero(np.array([t in known for t in own.terms], bool)[own.ids]) if len(own.ids) else np.zeros(0, np.int64)
+        return np.flatnonzero(pc.is_in(own.terms, known).to_numpy(zero_copy_only=False)[own.ids])
 
     return arrow_column(_HITS, lambda *columns: _hits([terms_of(c) for c in columns], weights, chosen), *[c for c, _ in fields])
 
@@ -221,11 +239,12 @@ def row_term_places(fields: list[tuple[Column, int]], wanted: Column) -> Column:
 
     def of(*columns: pa.Array) -> pa.Array:
         asked = [(i, t) for i, own in enumerate(columns[-1].to_pylist()) for t in (own or "").split()]
+        row, term = np.array([i for i, _ in asked], np.int64), pa.array([t for _, t in asked], pa.string())
 
         def chosen(own: Terms) -> np.ndarray:
-            number = {t: i for i, t in enumerate(own.terms)}
-            keys = [i * len(number) + number[t] for i, t in asked if t in number]
-            return np.flatnonzero(np.isin(own.rows * np.int64(len(number)) + own.ids, keys))
+            number = pc.fill_null(pc.index_in(term, own.terms), -1).to_numpy()
+            keys = (row * len(own.terms) + number)[number >= 0]
+            return np.flatnonzero(np.isin(own.rows * np.int64(len(own.terms)) + own.ids, keys))
 
         return _hits([terms_of(c) for c in columns[:-1]], weights, chosen)
 

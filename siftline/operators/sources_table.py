@@ -112,6 +112,15 @@ def batches(rows: DataFrame, size: int = 8, *order: Column) -> DataFrame:
     return _placed(rows, *order).withColumn("batch", F.floor((F.col("__place") - 1) / size).cast("int")).drop("__place")
 
 
+def probes(rows: DataFrame, group: str, size: int, *order: Column) -> DataFrame:
+    """Adds ``probe`` (from 0) and ``pos`` (from 1): the rows of each group in order, ``size`` to a probe. A group of any size is ranked by ranges and offsets."""
+    placed = _cut(_placed(rows, F.asc(group), *order))
+    heads = placed.groupBy(group).agg(F.min("__place").alias("__head"))
+    both = placed.join(heads, placed[group].eqNullSafe(heads[group])).drop(heads[group])
+    at = F.col("__place") - F.col("__head")
+    return both.withColumns({"probe": F.floor(at / size).cast("int"), "pos": (at % size + 1).cast("int")}).drop("__place", "__head")
+
+
 def bibliography_keys(sources: DataFrame, group: str) -> DataFrame:
     """Unique citation keys for the scholarly sources of each run, in the order of ``pos``; later keys get a number.
 

@@ -403,11 +403,11 @@ def mmr_order(spark, sf_dir):
 
 @query()
 def title_clusters(spark, sf_dir):
-    """Clusters of the first ten page titles of each domain."""
+    """Clusters of all page titles, in probes of ten of a domain by page number; no task has more than a range of the table or a probe."""
     pages = table(spark, sf_dir, "pages").select("page_id", url.domain_of(F.col("url")).alias("domain"), html.html_title(F.col("html")).alias("title"))
-    first = fusion.top_per_group(pages, "domain", 10, F.asc("page_id"))
-    pool = first.select("domain", F.col("page_id").alias("id"), F.col("rn").alias("pos"), terms.distinct_tokens(F.col("title")).alias("tokens"))
-    return dedup.cluster_titles(pool, "domain").withColumnRenamed("id", "page_id")
+    pool = sources_table.probes(pages, "domain", 10, F.asc("page_id")).select("domain", "probe", F.col("page_id").alias("id"), "pos", terms.distinct_tokens(F.col("title")).alias("tokens"))
+    found = dedup.cluster_titles(pool.withColumn("pool", F.concat_ws(" ", "domain", F.col("probe").cast("string"))), "pool")
+    return pool.select("domain", "probe", F.col("id").alias("page_id")).join(found.select(F.col("id").alias("page_id"), "cluster"), "page_id")
 
 
 @query(

@@ -131,10 +131,10 @@ TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aBsé Éß_1½ 日本İ\
 @given(TEXTS)
 def test_terms_by_brute_force(rows):
     own = terms.terms_of(pa.array(rows, pa.string()))
-    got = [[own.terms[i] for i in own.ids[a:b]] for a, b in zip(own.begins, own.begins[1:])]
+    got = [[own.terms[i].as_py() for i in own.ids[a:b]] for a, b in zip(own.begins, own.begins[1:])]
     assert got == [brute_terms(r) for r in rows]
     once = own.distinct()
-    assert [[once.terms[i] for i in once.ids[a:b]] for a, b in zip(once.begins, once.begins[1:])] == [list(dict.fromkeys(g)) for g in got]
+    assert [[once.terms[i].as_py() for i in once.ids[a:b]] for a, b in zip(once.begins, once.begins[1:])] == [list(dict.fromkeys(g)) for g in got]
 
 
 def test_terms_of_columns(spark, monkeypatch):

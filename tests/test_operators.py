@@ -209,3 +209,11 @@ def test_hygiene_and_bibliography(spark):
 
     b = spark.createDataFrame([(1, "S1", 1, "Ann Lee", "Deep nets", 2020), (1, "S2", 2, "Bob Lee", "Deep things", 2020), (1, "S3", 3, None, None, None)], "run int, id string, pos int, author string, title string, year int")
     assert rows(sources_table.bibliography_keys(b, "run"), "id", "key") == [("S1", "lee2020deep"), ("S2", "lee2020deep2"), ("S3", "s3")]
+
+
+def test_probes_hold_every_row_in_order(spark):
+    data = [("hot", k) for k in range(205)] + [("cold", k) for k in range(3)] + [(None, k) for k in range(12)]
+    df = spark.createDataFrame(data, "g string, id long").repartition(5)
+    got = sorted((tuple(r) for r in sources_table.probes(df, "g", 10, F.asc("id")).select("g", "id", "probe", "pos").collect()), key=repr)
+    assert got == sorted(((g, k, k // 10, k % 10 + 1) for g, k in data), key=repr)
+    assert sources_table.probes(df.limit(0), "g", 10, F.asc("id")).collect() == []
