@@ -6,11 +6,10 @@ place of the span. Fingerprints of the documents are joined with those of the be
 window of words around a shared one is looked up among the items' windows and compared byte by byte,
 and windows that overlap are extended to one span. An item of fewer words counts where all its words occur in order.
 
-The benchmark is dealt into pages of at most ``PAGE_BYTES`` of text (or one longer item). Pages are
-broadcast one by one; a worker that must pass several holds one at a time, and goes through them once
-for each ``PASS_BYTES`` of documents, so neither the driver nor a worker holds a benchmark of any size
-at once, and the result is the same for any number of pages. Windows are looked up by distinct hash,
-so repeated words or passages on either side do not multiply.
+A benchmark of at most ``PAGE_BYTES`` is broadcast as one page; a larger one is joined by shuffles (``decontam_join``), with
+the same result, and passes neither the driver nor a worker as a whole. Windows are looked up by distinct
+hash, so repeated words or passages on either side do not multiply. ``contamination`` as a column deals what it is given into
+pages and is meant for benchmarks of a few.
 
 Rows: a null text, or one without words, has no words and is not contaminated; a null item has no
 window; items that repeat an ``item_id`` count once; an empty benchmark hits nothing. Repeated rows
@@ -93,6 +92,18 @@ class Words:
         return np.searchsorted(self.begins, at, "right") - 1
 
 
+def around(docs: Words, places: np.ndarray, window: int, k: int) -> np.ndarray:
+    """Begins of all windows of one text that hold the fingerprint at one of the places."""
+    text = docs.texts_of(places)
+    lo = np.maximum(places - (window - k), docs.begins[text])
+    hi = np.minimum(places, docs.begins[text + 1] - window) + 1
+    some = lo < hi
+    marks = np.zeros(len(docs.hashes) + 1, np.int32)
+    np.add.at(marks, lo[some], 1)
+    np.add.at(marks, hi[some], -1)
+    return np.flatnonzero(np.cumsum(marks) > 0)
+
+
 def _same_words(a: Words, at: np.ndarray, b: Words, to: np.ndarray, size: int) -> np.ndarray:
     """Whether the ``size`` words from each place of one are byte for byte those from the place of the other."""
     same = np.ones(len(at), bool)
@@ -167,7 +178,7 @@ class Page:
         """
         for size, own in self.sizes.items():
             if size == self.window:
-                at = self._around(docs, prints[0][self.prints.find(prints[1])[0]])
+                at = around(docs, prints[0][self.prints.find(prints[1])[0]], self.window, self.k)
             else:
                 at = np.arange(max(0, len(docs.hashes) - size + 1))
                 at = at[at + size <= docs.begins[docs.texts_of(at) + 1]]
@@ -182,17 +193,6 @@ class Page:
                 there = there[_same_words(docs, there, self.words, np.full(len(there), j), size)]
                 self._add(found, docs, there, size, np.zeros(len(there), np.int64), [[item]])
 
-    def _around(self, docs: Words, places: np.ndarray) -> np.ndarray:
-        """Begins of all windows of one text that hold the fingerprint at one of the places."""
-        text = docs.texts_of(places)
-        lo = np.maximum(places - (self.window - self.k), docs.begins[text])
-        hi = np.minimum(places, docs.begins[text + 1] - self.window) + 1
-        some = lo < hi
-        marks = np.zeros(len(docs.hashes) + 1, np.int32)
-        np.add.at(marks, lo[some], 1)
-        np.add.at(marks, hi[some], -1)
-        return np.flatnonzero(np.cumsum(marks) > 0)
-
     def _add(self, found, docs: Words, at: np.ndarray, size: int, sets: np.ndarray, items: list[list[int]]) -> None:
         """Ascending windows become spans, those that overlap or meet one span; equal sets of items count once a text."""
         if not len(at):
@@ -279,12 +279,29 @@ def is_contaminated(found: Column) -> Column:
     return (found["n_hit"] > 0) & (20 * found["n_hit"] >= found["n_words"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids, spans, contaminated of each document."""
-    found = docs.select("doc_id", contamination("text", benchmark).alias("found"))
-    return found.select("doc_id", "found.*", is_contaminated(F.col("found")).alias("contaminated"))
+def _is_page(benchmark: DataFrame) -> bool:
+    """Whether the benchmark is small enough to be broadcast: ``PAGE_BYTES`` of texts and ids."""
+    size = benchmark.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.octet_length(F.coalesce(F.col("item_id").cast("string"), F.lit(""))) + 16).alias("n")).first()
+    return (size.n or 0) <= PAGE_BYTES
+
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids, spans, contaminated of each document.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    A benchmark of one page is broadcast; fingerprints of a larger one are joined with those of the documents by shuffles, with the same result.
+    """
+    if _is_page(benchmark):
+        found = docs.select("doc_id", contamination("text", benchmark, window, k).alias("found")).select("doc_id", "found.*")
+    else:
+        found = decontam_join.find_by_join(docs, benchmark, window, k)
+    return found.withColumn("contaminated", is_contaminated(F.struct("n_hit", "n_words")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return docs.filter(~is_contaminated(contamination("text", benchmark)))
+    if _is_page(benchmark):
+        return docs.filter(~is_contaminated(contamination("text", benchmark, window, k)))
+    return decontam_join.drop_by_join(docs, benchmark, window, k, is_contaminated)
+
+
+from . import decontam_join  # noqa: E402 - it uses the words and fingerprints above

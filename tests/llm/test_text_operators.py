@@ -376,6 +376,26 @@ def test_secrets_stay_in_the_jvm(spark):
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowConverters", "")
 
 
+def test_large_benchmarks_are_joined(spark, monkeypatch):
+    """Beyond one page fingerprints are shuffled; the result is that of the page, row for row."""
+    rng = random.Random(7)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "été", "x1", "ünder", "9"]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 3, 6, 12, 13, 14, 25])))) for k in range(30)]
+    items += [(3, "one two three"), (40, None), (41, ""), (42, items[0][1]), (None, "delta " * 15), (50, " ".join(PASSAGE.split()))]
+    rows = [*ROWS, *[(200 + k, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 120)))) for k in range(40)], *[(300 + k, PASSAGE.title()) for k in range(50)], (400, " ".join(rng.choices(vocabulary, k=20_000)))]
+    benchmark = spark.createDataFrame([(i, t, 1, "d") for i, t in items], "item_id long, text string, n_hit int, digest string").repartition(3)
+    docs = documents(spark, rows)
+    columns = ("doc_id", "n_words", "n_hit", "item_ids", "spans", "contaminated")
+    want, kept = tuples(decontam.find_contamination(docs, benchmark), *columns), tuples(decontam.drop_contaminated(docs, benchmark), *docs.columns)
+    monkeypatch.setattr(decontam, "PAGE_BYTES", 10)
+    assert tuples(decontam.find_contamination(docs, benchmark), *columns) == want
+    assert tuples(decontam.drop_contaminated(docs, benchmark), *docs.columns) == kept and 0 < len(kept) < len(rows)
+    long_only = benchmark.filter("length(text) > 85")  # no item that is shorter than a window
+    assert any(r.n_hit for r in decontam.find_contamination(docs, long_only).collect())
+    assert decontam.find_contamination(documents(spark, []), benchmark).collect() == []
+    assert decontam.drop_contaminated(documents(spark, []), benchmark).collect() == []
+
+
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"]
     rows = [(1, mit), (2, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "Sub-\n   License").replace(",", " ;")), (3, mit + " more"), (4, None), (5, ""), (1, mit)]
