@@ -84,6 +84,13 @@ def dedupe_near(ranked: DataFrame, fp: str, rank: str, long_enough: Column) -> D
     return copies.unionByName(rows.filter("__fp is null")).drop("__fp")
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Overlap of two arrays as sets; 0 where either is empty."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both
+    return F.when(union > 0, both / union).otherwise(0.0)
+
+
 def scan_near(pool: DataFrame, group: str, fp: str, rank: str, bits: int = MAX_BITS) -> DataFrame:
     """(group, rank) of what stays of bounded pools: in the order of ``rank``, a row goes if an earlier one that stays is at most ``bits`` away; null fingerprints stay."""
 

@@ -16,9 +16,10 @@ def ranked(df: DataFrame, list_id: str, *order: Column) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(list_id).orderBy(*order)))
 
 
-def rrf(lists: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
-    """key, score: the sum of 1 / (k + pos) over all rows. Hash aggregation with partial sums; a key twice in a list counts twice."""
-    return lists.groupBy(key).agg(F.sum(1.0 / (k + F.col("pos"))).alias("score"))
+def rrf(lists: DataFrame, key: str, k: int = RRF_K, list_no: str | None = None) -> DataFrame:
+    """key, score: the sum of 1 / (k + pos) over all rows, and with ``list_no`` found_by, the number of lists. Hash aggregation with partial sums; a key twice in a list counts twice."""
+    found = [F.count_distinct(list_no).alias("found_by")] if list_no else []
+    return lists.groupBy(key).agg(F.sum(1.0 / (k + F.col("pos"))).alias("score"), *found)
 
 
 def fuse(lists: DataFrame, key: str, k: int = RRF_K) -> DataFrame:

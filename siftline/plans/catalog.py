@@ -290,8 +290,7 @@ def _three_lists(spark, sf_dir):
 
 @query(f"WITH {_LISTS} SELECT doc_id, round(sum(1.0 / (60 + pos)), 6) AS score, count(DISTINCT list_no) AS found_by FROM lists GROUP BY doc_id")
 def rrf_fuse(spark, sf_dir):
-    lists = _three_lists(spark, sf_dir)
-    return lists.groupBy("doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("pos"))), 6).alias("score"), F.count_distinct("list_no").alias("found_by"))
+    return fusion.rrf(_three_lists(spark, sf_dir), "doc_id", list_no="list_no").withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -13,7 +13,8 @@ from siftline.operators import grounding, relink, verdicts
 from .catalog import query
 from .catalog_rules import parts
 
-_I = F.col("i")
+def _i() -> Column:
+    return F.col("i")
 
 
 def _if(condition: Column, text: Column | str) -> Column:
@@ -22,30 +23,30 @@ def _if(condition: Column, text: Column | str) -> Column:
 
 def gate_reports(spark, sf_dir) -> DataFrame:
     """A report for each part: cited, marked, unsourced and dangling claims, appendices, and summaries; some have notes only."""
-    price = F.concat((100 + _I % 7).cast("string"), F.lit(",000"))
+    price = F.concat((100 + _i() % 7).cast("string"), F.lit(",000"))
     name = F.coalesce("n", F.lit("thing"))
     body = F.concat(
         F.lit("# Report\n\nThe "), name, F.lit(" costs "), price, F.lit(" coins in the usual shop"),
-        F.when(_I % 5 == 0, F.lit(" [M].")).otherwise(F.lit(" [S1].")),
-        _if(_I % 4 == 1, "\n\nIt has no source at all but many words here"),
-        _if(_I % 6 == 2, "\n\nIt is also seen in shops that are far away [S9]"),
-        _if(_I % 7 == 3, "\n\n## Sources\n- the second one [S2]"),
+        F.when(_i() % 5 == 0, F.lit(" [M].")).otherwise(F.lit(" [S1].")),
+        _if(_i() % 4 == 1, "\n\nIt has no source at all but many words here"),
+        _if(_i() % 6 == 2, "\n\nIt is also seen in shops that are far away [S9]"),
+        _if(_i() % 7 == 3, "\n\n## Sources\n- the second one [S2]"),
     )
-    summary = F.concat(F.lit("# Summary\n\n"), _if(_I % 9 == 0, "It costs what the others cost [S2]\n\n"), F.lit("This tier has no source in its many words"))
-    files = F.array(F.struct(F.when(_I % 11 == 0, F.lit("NOTES.md")).otherwise(F.lit("REPORT.md")).alias("file"), body.alias("text")), F.struct(F.lit("SUMMARY.md").alias("file"), summary.alias("text")))
-    return parts(spark, sf_dir).select(_I.alias("report_id"), F.explode(files).alias("f")).select("report_id", "f.*")
+    summary = F.concat(F.lit("# Summary\n\n"), _if(_i() % 9 == 0, "It costs what the others cost [S2]\n\n"), F.lit("This tier has no source in its many words"))
+    files = F.array(F.struct(F.when(_i() % 11 == 0, F.lit("NOTES.md")).otherwise(F.lit("REPORT.md")).alias("file"), body.alias("text")), F.struct(F.lit("SUMMARY.md").alias("file"), summary.alias("text")))
+    return parts(spark, sf_dir).select(_i().alias("report_id"), F.explode(files).alias("f")).select("report_id", "f.*")
 
 
 def gate_sources(spark, sf_dir) -> DataFrame:
     """S1, here an endpoint, there a wall or another price; S2 for even parts."""
-    price = (100 + _I % 7 + F.when(_I % 3 == 0, 7).otherwise(0)).cast("string")
-    one = F.when(_I % 13 == 0, F.lit("Checking your browser before accessing the site")).otherwise(F.concat(F.lit("It is sold at "), price, F.lit(" 000 coins")))
-    url = F.concat(F.when(_I % 10 == 1, F.lit("https://api.x.org/api/v1/")).otherwise(F.lit("https://x.org/")), "k")
+    price = (100 + _i() % 7 + F.when(_i() % 3 == 0, 7).otherwise(0)).cast("string")
+    one = F.when(_i() % 13 == 0, F.lit("Checking your browser before accessing the site")).otherwise(F.concat(F.lit("It is sold at "), price, F.lit(" 000 coins")))
+    url = F.concat(F.when(_i() % 10 == 1, F.lit("https://api.x.org/api/v1/")).otherwise(F.lit("https://x.org/")), "k")
     rows = F.array(
         F.struct(F.lit("S1").alias("source_id"), url.alias("url"), one.alias("text"), F.lit(0.9).alias("trust")),
         F.struct(F.lit("S2").alias("source_id"), F.concat(F.lit("https://y.org/"), "k").alias("url"), F.lit("another text").alias("text"), F.lit(0.5).alias("trust")),
     )
-    return parts(spark, sf_dir).select(_I.alias("report_id"), F.explode(rows).alias("s")).select("report_id", "s.*").filter((F.col("source_id") == "S1") | (F.col("report_id") % 2 == 0))
+    return parts(spark, sf_dir).select(_i().alias("report_id"), F.explode(rows).alias("s")).select("report_id", "s.*").filter((F.col("source_id") == "S1") | (F.col("report_id") % 2 == 0))
 
 
 _GATE = """p AS (SELECT p_partkey AS i FROM part),
@@ -74,10 +75,10 @@ SELECT i AS report_id, CAST(judged AND bad AS BIGINT) AS failures, uncovered, ju
 )
 def check_semantic(spark, sf_dir):
     """Both gates in one: reports that were not judged, are refuted or unsupported, or miss a verdict for what they cite, fail."""
-    claim = F.when(_I % 10 == 9, F.lit("C9")).otherwise(F.lit("C1"))
-    verdict = F.when(_I % 10 == 7, F.lit("refuted")).when(_I % 10 == 8, F.lit("unsupported")).otherwise(F.lit("supported"))
+    claim = F.when(_i() % 10 == 9, F.lit("C9")).otherwise(F.lit("C1"))
+    verdict = F.when(_i() % 10 == 7, F.lit("refuted")).when(_i() % 10 == 8, F.lit("unsupported")).otherwise(F.lit("supported"))
     payload = F.to_json(F.array(F.struct(claim.alias("claimId"), F.lit("S1").alias("sourceId"), verdict.alias("verdict"))))
-    files = parts(spark, sf_dir).filter(_I % 3 != 2).select(_I.alias("report_id"), F.lit(0).alias("file_no"), payload.alias("payload"))
+    files = parts(spark, sf_dir).filter(_i() % 3 != 2).select(_i().alias("report_id"), F.lit(0).alias("file_no"), payload.alias("payload"))
     gate = verdicts.check_semantic(gate_reports(spark, sf_dir), gate_sources(spark, sf_dir), files, require_verify=True)
     return gate.select("report_id", "failures", "uncovered", "semantic_ok", "ok")
 
@@ -88,7 +89,7 @@ def check_semantic(spark, sf_dir):
 def clashing_sources(spark, sf_dir) -> DataFrame:
     """Groups of six sources, ten groups a run: a page that may hold the group's document, two endpoints that name it, an endpoint that
     holds a second document and names a third, one that names the second, and one that names nothing."""
-    j = _I
+    j = _i()
     g, kind = F.floor(j / 6).cast("string"), j % 6
     named = [F.concat(F.lit(f"Record 10.{n}/"), g, F.lit(". of the library")) for n in (9000, 7000, 8000)]
     url = F.when((kind == 0) & (F.floor(j / 6) % 2 == 0), F.concat(F.lit("https://doi.org/10.9000/"), g)).when(kind == 0, F.concat(F.lit("https://x.org/"), "k")).otherwise(F.concat(F.lit("https://api.x.org/api/v1/"), "k"))

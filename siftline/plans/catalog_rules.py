@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import claims, locale, providers, text, url
-from siftline.operators import grounding, ranking, relink, sources_table, verdicts
+from siftline.operators import dedup, grounding, ranking, relink, sources_table, verdicts
 from siftline.plans import facets, modes
 from siftline.sources import files
 
@@ -134,13 +134,19 @@ def seeded_trust(spark, sf_dir):
 # --- words ----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_P} SELECT i, list_filter(list_distinct_ordered, lambda x: length(x) >= 3)[1:4] AS subtokens FROM (SELECT i, ['parse', 'http', 'response', 'item'] AS list_distinct_ordered FROM p)")
+@query(
+    f"""WITH {_P}, w AS (SELECT i, list_concat(string_split(lower(n), ' '), CASE WHEN length(k) > 0 THEN [k] ELSE [] END) AS w FROM p WHERE n IS NOT NULL)
+SELECT i, list_filter(list_filter(w, lambda x: length(x) >= 3 AND x NOT IN {sql.STOP}), lambda x, j: list_position(list_filter(w, lambda y: length(y) >= 3 AND y NOT IN {sql.STOP}), x) = j)[1:4] AS subtokens FROM w"""
+)
 def compound_parts(spark, sf_dir):
-    return parts(spark, sf_dir).select("i", text.subtokens(F.lit("parseHTTPResponse_of_item42")).alias("subtokens"))
+    """Names written as one compound with their number: SmallRing12."""
+    rows = parts(spark, sf_dir).filter("n is not null")
+    return rows.select("i", text.subtokens(F.concat(F.replace(F.initcap("n"), F.lit(" "), F.lit("")), "k")).alias("subtokens"))
 
 
 TOPIC = "How do Cold Bolts and large-widgets meet?"
-_TOPIC_PATTERNS = text.query_patterns(TOPIC)
+# stated here, not taken from the code: the words of the topic with the spellings that count
+_TOPIC_PATTERNS = {"cold": "cold", "bolt": "bolts|bolt", "large": "large", "widget": "widgets|widget", "meet": "meet"}
 
 
 @query(f"WITH {_P} SELECT i, round(({' + '.join(f'CAST(regexp_matches(lower(n), {sql.q(x)}) AS INT)' for x in _TOPIC_PATTERNS.values())}) / {len(_TOPIC_PATTERNS)}, 6) AS coverage FROM p")
@@ -149,23 +155,23 @@ def content_coverage(spark, sf_dir):
 
 
 @query(
-    "SELECT mode, depth, backend, pos FROM (VALUES "
-    + ", ".join(f"({sql.q(m)}, {sql.q(d)}, {sql.q(b)}, {i})" for m in modes.MODES for d in ("standard", "deep") for i, b in enumerate([*modes.MODES[m].backends, *[x for x in modes.MODES[m].deep_only if d == "deep"]]))
-    + ") v(mode, depth, backend, pos)"
+    """WITH m(name, backends, more) AS (VALUES ('topic', ['wikipedia', 'searxng', 'duckduckgo', 'standards'], CAST([] AS VARCHAR[])), ('bug', ['stackexchange', 'github', 'duckduckgo', 'hackernews', 'standards'], ['searxng']),
+ ('research', ['arxiv', 'openalex', 'crossref', 'semanticscholar', 'europepmc'], ['pubmed', 'dblp', 'duckduckgo', 'wikipedia']), ('learn', ['wikipedia', 'duckduckgo', 'searxng'], ['standards']), ('startup', ['duckduckgo', 'searxng', 'hackernews'], ['wikipedia'])),
+c AS (SELECT c_custkey, ['topic', 'bug', 'research', 'learn', 'startup'][c_nationkey % 5 + 1] AS name, c_acctbal > 5000 AS deep FROM customer), l AS (SELECT c_custkey, CASE WHEN deep THEN list_concat(backends, more) ELSE backends END AS lane FROM c JOIN m USING (name))
+SELECT c_custkey, unnest(lane) AS backend, unnest(range(0, len(lane)))::INTEGER AS pos FROM l"""
 )
 def lanes(spark, sf_dir):
-    """The backends of each mode and depth; the table of modes is the dimension."""
-    every = modes.modes(spark)
-    deep = every.select(F.col("name").alias("mode"), F.lit("deep").alias("depth"), F.posexplode(F.concat("backends", "deep_only")).alias("pos", "backend"))
-    return every.select(F.col("name").alias("mode"), F.lit("standard").alias("depth"), F.posexplode("backends").alias("pos", "backend")).unionByName(deep)
+    """The backends that each customer's run searches, in order: the mode goes by nation, rich ones search deeply."""
+    names = F.array(*[F.lit(m) for m in ("topic", "bug", "research", "learn", "startup")])
+    runs = table(spark, sf_dir, "customer").select("c_custkey", F.get(names, (F.col("c_nationkey") % 5).cast("int")).alias("mode"), F.when(F.col("c_acctbal") > 5000, "deep").otherwise("standard").alias("depth"))
+    return modes.run_lanes(runs).select("c_custkey", "backend", "pos")
 
 
 @query(f"WITH {_P}, t AS (SELECT i, list_distinct(string_split(n, ' ')) AS t FROM p WHERE n IS NOT NULL), o AS (SELECT ['cold', 'bolt', 'large'] AS o) SELECT i, round(len(list_intersect(t, o)) / (len(t) + 3 - len(list_intersect(t, o))), 6) AS jaccard FROM t, o")
 def name_jaccard(spark, sf_dir):
     """Overlap of the words of each name with three words."""
-    own, other = F.array_distinct(F.split("n", " ")), F.array(*[F.lit(x) for x in ("cold", "bolt", "large")])
-    both = F.size(F.array_intersect(own, other))
-    return parts(spark, sf_dir).filter("n is not null").select("i", F.round(both / (F.size(own) + F.size(other) - both), 6).alias("jaccard"))
+    overlap = dedup.jaccard(F.split("n", " "), F.array(*[F.lit(x) for x in ("cold", "bolt", "large")]))
+    return parts(spark, sf_dir).filter("n is not null").select("i", F.round(overlap, 6).alias("jaccard"))
 
 
 _HEADINGS = [h for m in modes.MODES.values() for h in m.headings] + ["Something else entirely"]

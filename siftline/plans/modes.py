@@ -46,6 +46,13 @@ def modes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, backends array<string>, deep_only array<string>, extras array<string>, headings array<string>")
 
 
+def run_lanes(runs: DataFrame) -> DataFrame:
+    """backend and pos (from 0) of each run (mode, depth): the backends of its mode, and the deep ones behind them where it is deep; unknown modes have none."""
+    known = F.broadcast(modes(runs.sparkSession).select(F.col("name").alias("mode"), "backends", "deep_only"))  # five rows
+    lane = F.when(F.col("depth") == "deep", F.array_distinct(F.concat("backends", "deep_only"))).otherwise(F.col("backends"))
+    return runs.join(known, "mode").select(*runs.columns, F.posexplode(lane).alias("pos", "backend"))
+
+
 def resolve_backends(mode: str, depth: str, only: list[str] | None = None, engine: str | None = None, profile: str | None = None) -> list[str]:
     """The backends of a run: those named, or those of the mode (and its deep ones); ``engine`` replaces the web lanes; profiles narrow or widen."""
     m = MODES[mode]
