@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import ALNUM, LOWER, U64, mix, ngram_hashes, ragged, segment, span_hashes, text_chunks
-from .shared import text_batches
+from .shared import give_back, text_batches
 
 K = 5
 WINDOW = 13
@@ -270,6 +270,7 @@ def contamination(text: Column | str, benchmark: DataFrame, window: int = WINDOW
                 yield from judged(held)
                 held = []
         yield from judged(held)
+        give_back()
 
     return F.arrow_udf(run, f"struct<{', '.join(x.replace(' ', ':', 1) for x in RESULT.split(', '))}>")(text)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, NONSPACE, U64, mix, ngram_hashes, segment, span_hashes, text_chunks
-from .shared import text_batches
+from .shared import give_back, text_batches
 
 THRESHOLD = 0.7
 TO_POOLED = 0.1
@@ -172,6 +172,7 @@ def score(text: Column | str, model: Discriminant) -> Column:
         for column in batches:
             own = [model.score(statistics(buf, offsets)) for _, _, buf, offsets in text_chunks(column)]
             yield pa.array(np.concatenate(own) if own else np.zeros(0), pa.float64())
+        give_back()
 
     return F.arrow_udf(run, "double")(text)
 

@@ -8,9 +8,11 @@ temporary folder is made for it.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,14 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(clean)
 
 
+def give_back() -> None:
+    """Returns memory that a worker does not use any more to the machine: workers live on through other stages, and what they keep adds up in an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)
+
+
 BATCH_BYTES = 4 << 20
 
 

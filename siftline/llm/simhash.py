@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_path, join_groups, keep_rows, materialise, new_path, text_batches, write_rows
+from .shared import drop_path, give_back, join_groups, keep_rows, materialise, new_path, text_batches, write_rows
 
 SHINGLE = 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -57,6 +57,7 @@ def fingerprint(text: Column | str, shingle: int = SHINGLE) -> Column:
         for column in batches:
             own = [fingerprint_of((t.as_py() or "").encode(), shingle) for t in column]  # one text at a time
             yield pa.array(np.array(own, dtype=np.uint64).view(np.int64))
+        give_back()
 
     return F.arrow_udf(run, "long")(text)
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 
 from .bytesops import ragged
+from .shared import give_back
 
 MOST_PARTS = 250_000
 BLOCK = 2 << 20  # bytes of text that are cut at once
@@ -120,7 +121,7 @@ class Encoder:
     def release(self) -> None:
         """Gives the memory of the table back, for what runs in this worker next."""
         self._clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def _keep(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         k, n = len(self.place), len(parts)
