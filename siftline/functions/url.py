@@ -88,11 +88,19 @@ def _decoded(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(text), text)
 
 
+# Where resolvers and landing pages have a DOI, and pages of preprints their id.
+DOI_HOST, DOI_START = r"(^|\.)(dx\.)?doi\.org$", r"^10\.[0-9]{4,9}/"
+DOI_PATH = r"(?i)/doi(?:/(?:abs|full|pdf|epdf|e?pub))?/(10\.[0-9]{4,9}/[^\s?#]+)"
+ARXIV_HOST = r"(^|\.)arxiv\.org$"
+ARXIV_BEFORE, ARXIV_AFTER = r"(?i)/(?:abs|pdf|html|format)/", r"(?:v[0-9]+)?(?:\.pdf)?$"
+ARXIV_MODERN, ARXIV_LEGACY = r"([0-9]{4}\.[0-9]{4,5})", r"([a-z-]+(?:\.[A-Z]{2})?/[0-9]{7})"
+
+
 def doi_from_url(url: Column) -> Column:
     """The DOI of a resolver link or in the path of a landing page; null without one."""
     resolver = normalize_doi(_decoded(F.regexp_replace(F.regexp_replace(path(url), "^/+", ""), "/+$", "")))
-    landing = F.regexp_extract(path(url), r"(?i)/doi(?:/(?:abs|full|pdf|epdf|e?pub))?/(10\.[0-9]{4,9}/[^\s?#]+)", 1)
-    found = F.when(host(url).rlike(r"(^|\.)(dx\.)?doi\.org$"), F.when(resolver.rlike(r"^10\.[0-9]{4,9}/"), resolver)).otherwise(
+    landing = F.regexp_extract(path(url), DOI_PATH, 1)
+    found = F.when(host(url).rlike(DOI_HOST), F.when(resolver.rlike(DOI_START), resolver)).otherwise(
         _some(normalize_doi(F.regexp_replace(_decoded(landing), "/+$", "")))
     )
     return F.when(is_parseable(url), found)
@@ -100,10 +108,8 @@ def doi_from_url(url: Column) -> Column:
 
 def arxiv_from_url(url: Column) -> Column:
     """The arXiv id of an abs, pdf, html or format page without its version; null without one."""
-    front, back = r"(?i)/(?:abs|pdf|html|format)/", r"(?:v[0-9]+)?(?:\.pdf)?$"
-    modern = F.regexp_extract(path(url), front + r"([0-9]{4}\.[0-9]{4,5})" + back, 1)
-    legacy = F.regexp_extract(path(url), front + r"([a-z-]+(?:\.[A-Z]{2})?/[0-9]{7})" + back, 1)
-    return F.when(host(url).rlike(r"(^|\.)arxiv\.org$"), F.lower(F.coalesce(_some(modern), _some(legacy))))
+    modern, legacy = (F.regexp_extract(path(url), ARXIV_BEFORE + own + ARXIV_AFTER, 1) for own in (ARXIV_MODERN, ARXIV_LEGACY))
+    return F.when(host(url).rlike(ARXIV_HOST), F.lower(F.coalesce(_some(modern), _some(legacy))))
 
 
 def identity_key(url: Column, doi: Column | None = None, arxiv: Column | None = None) -> Column:
@@ -133,13 +139,15 @@ def addressed_ids(url: Column) -> Column:
     return F.coalesce(*counts, F.lit(0))
 
 
+# What names a work in a text or URL.
 DOI = r"(?<![A-Za-z0-9_])(10\.[0-9]{4,9}/[^\s\"'<>()\[\],;]+)"
 ARXIV = r"(?i)(?<![A-Za-z0-9_])arxiv[:\s/]+((?:[0-9]{4}\.[0-9]{4,5}|[a-z-]+(?:\.[A-Z]{2})?/[0-9]{7})(?:v[0-9]+)?)"
+ARXIV_IN_PATH = r"/([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)(?:$|[/?#])"
 PMID = r"(?i)(?<![A-Za-z0-9_])PMID:?\s*([0-9]{4,9})(?![A-Za-z0-9_])"
 
 
 def declares_identity(url: Column) -> Column:
-    return url.rlike(DOI) | url.rlike(r"/([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)(?:$|[/?#])")
+    return url.rlike(DOI) | url.rlike(ARXIV_IN_PATH)
 
 
 def derive_citable_url(text: Column, canonical: Column | None = None) -> Column:
@@ -164,9 +172,12 @@ def in_domains(url: Column, domains: list[str]) -> Column:
     return out
 
 
+# Names and routes of PDF files, and the names that such a route may end in nevertheless.
+PDF_NAME, PDF_ROUTE, NO_PDF = r"(?i)\.pdf($|[?#])", r"(?i)/(pdf|epdf)/", r"(?i)\.(html?|xml|json|txt)($|[?#])"
+
+
 def looks_like_pdf(url: Column) -> Column:
-    route = url.rlike(r"(?i)/(pdf|epdf)/") & ~url.rlike(r"(?i)\.(html?|xml|json|txt)($|[?#])")
-    return url.rlike(r"(?i)\.pdf($|[?#])") | route
+    return url.rlike(PDF_NAME) | (url.rlike(PDF_ROUTE) & ~url.rlike(NO_PDF))
 
 
 # Office formats by extension.

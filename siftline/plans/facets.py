@@ -40,10 +40,12 @@ FACETS = (
 )
 # Verbs that make a subject a clause, and how many words do.
 CLAUSE_VERBS = (
-    "is are was were be been being do does did has have had can could should would will shall may might must compares? compared works? worked deploys? deployed builds? creates? uses? implements? runs? configures? "
-    "installs? handles? manages? scales? optimi[sz]es? chooses? migrates? fix(?:es)? debugs? prevents? avoids? improves? reduces? increases? affects? causes? differs? relates? applies integrates? connects? stores? "
-    "processes? generates? renders? parses? validates? measures? monitors?"
-).split()
+    "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "has", "have", "had", "can", "could", "should", "would", "will", "shall",
+    "may", "might", "must", "compares?", "compared", "works?", "worked", "deploys?", "deployed", "builds?", "creates?", "uses?", "implements?",
+    "runs?", "configures?", "installs?", "handles?", "manages?", "scales?", "optimi[sz]es?", "chooses?", "migrates?", "fix(?:es)?", "debugs?",
+    "prevents?", "avoids?", "improves?", "reduces?", "increases?", "affects?", "causes?", "differs?", "relates?", "applies", "integrates?",
+    "connects?", "stores?", "processes?", "generates?", "renders?", "parses?", "validates?", "measures?", "monitors?",
+)
 CLAUSE_WORDS = 8
 
 
