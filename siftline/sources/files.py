@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from siftline.functions.html import extraction_fault, html_title, html_to_text, main_html
 from siftline.functions.text import title_from_text
 
+from .office import office_text
+
 TEXT, HTML, PDF = ("txt", "md", "markdown", "text", "csv"), ("html", "htm", "xhtml"), ("pdf",)
+OFFICE = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub", "rtf", "docm", "xlsm", "pptm")
 
 
 def pdf_text_of(data: bytes) -> str:
@@ -51,11 +54,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     decoded = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    files = files.select("path", extension.alias("extension"), decoded.alias("decoded"), F.when(extension.isin(*PDF), F.col("content")).alias("pdf"))
-    files = files.withColumns({"shown": pdf_text("pdf"), "main": main_html(F.when(F.col("extension").isin(*HTML), F.col("decoded")))})
-    text = F.when(F.col("extension").isin(*HTML), html_to_text(F.col("main"))).when(F.col("extension").isin(*PDF), F.col("shown")).when(F.col("extension").isin(*TEXT), F.col("decoded"))
+    files = files.select("path", extension.alias("extension"), decoded.alias("decoded"), F.when(extension.isin(*PDF), F.col("content")).alias("pdf"), F.when(extension.isin(*OFFICE), F.col("content")).alias("office"))
+    files = files.withColumns({"shown": pdf_text("pdf"), "written": office_text("office"), "main": main_html(F.when(F.col("extension").isin(*HTML), F.col("decoded")))})
+    text = F.when(F.col("extension").isin(*HTML), html_to_text(F.col("main"))).when(F.col("extension").isin(*PDF), F.col("shown")).when(F.col("extension").isin(*OFFICE), F.col("written")).when(F.col("extension").isin(*TEXT), F.col("decoded"))
     rows = files.withColumn("text", text)
-    refused = F.when(~F.col("extension").isin(*TEXT, *HTML, *PDF), "unsupported format").otherwise(extraction_fault(F.col("text")))
+    refused = F.when(~F.col("extension").isin(*TEXT, *HTML, *PDF, *OFFICE), "unsupported format").otherwise(extraction_fault(F.col("text")))
     title = F.coalesce(F.when(F.col("extension").isin(*HTML), html_title(F.col("decoded"))), title_from_text(F.coalesce("text", F.lit(""))))
     return rows.select(F.col("path").alias("url"), title.alias("title"), "text", refused.alias("refused"))
 
