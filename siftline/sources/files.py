@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,41 +9,12 @@ from siftline.functions.html import extraction_fault, html_title, html_to_text,
 from siftline.functions.text import title_from_text
 
 from .office import office_text
+from .pdf import pdf_text
 
 TEXT, HTML, PDF = ("txt", "md", "markdown", "text", "csv"), ("html", "htm", "xhtml"), ("pdf",)
 OFFICE = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub", "rtf", "docm", "xlsm", "pptm")
 
 
-def pdf_text_of(data: bytes) -> str:
-    """Text that the content streams of a PDF show; compressed streams are inflated. Encrypted or image-only files give none."""
-    out = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        body = m[1]
-        try:
-            body = zlib.decompress(body)
-        except zlib.error:
-            pass
-        for block in re.findall(rb"BT\b(.*?)\bET\b", body, re.S):
-            line = []
-            for shown in re.finditer(rb"\(((?:\\.|[^\\()])*)\)|T\*|\bT[dD]\b|'", block):
-                if shown[1] is None:
-                    line.append("\n")
-                else:
-                    line.append(re.sub(r"\\([()\\])", r"\1", shown[1].decode("latin-1").replace("\\n", "\n")))
-            out.append("".join(line))
-    return re.sub(r"\n{2,}", "\n", "\n".join(out)).strip()
-
-
-def pdf_text(data: Column | str) -> Column:
-    """``pdf_text_of`` of each file."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            yield pa.array([pdf_text_of(x.as_py() or b"") for x in column], pa.string())
-
-    return F.arrow_udf(run, "string")(data)
-
-
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """url, title, text, refused of every file below a path, by its extension. Files are read where the tasks are."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
