@@ -190,6 +190,12 @@ def under_covered(coverage: DataFrame, least: int = 2) -> DataFrame:
     return coverage.filter(F.col("sources") < least)
 
 
+def by_locale(text: Column | str) -> list[Column]:
+    """Text in the order that readers expect, accents and case behind letters; what that order does not tell apart is in binary order."""
+    own = F.col(text) if isinstance(text, str) else text
+    return [F.collate(own, "UNICODE"), own]
+
+
 def positions(df: DataFrame, *order: Column) -> DataFrame:
     """Adds ``pos`` from 1 over a bounded pool, such as a top-k."""
     return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)))

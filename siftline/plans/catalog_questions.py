@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.operators import dedup
+from siftline.operators import dedup, ranking
 from siftline.sources import responses
 from siftline.streaming import ingest
 
@@ -56,8 +56,8 @@ part AS (SELECT qid, key, sum({_IDF} * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(t
 bm AS (SELECT rows.*, coalesce(s * (1 + CASE WHEN hits >= 2 AND len(q) >= 2 THEN least(0.1, 0.1 * close / greatest(1, len(q) - 1)) ELSE 0 END), 0) AS content FROM rows LEFT JOIN part USING (qid, key) LEFT JOIN near USING (qid, key)),
 bl AS (SELECT *, round(0.45 * rrf / greatest(1e-9, max(rrf) OVER w) + 0.35 * content / greatest(1e-9, max(content) OVER w) + 0.15 * 0.5 + 0.05 * 0.5, 6) AS blended FROM bm WINDOW w AS (PARTITION BY qid)),
 tp AS (SELECT *, len(q) < 2 OR len(list_filter(q, lambda x: regexp_matches(x, '\\p{{L}}'))) = 0 OR (len(list_filter(q, lambda x: regexp_matches(x, '\\p{{L}}') AND list_contains(t, x))) > 0 AND NOT regexp_matches(trim(text), '(?i)^.{{0,80}}?\\bmay (also )?refer to\\b')) AS topic FROM bl),
-fl AS (SELECT *, count(*) FILTER (topic) OVER (PARTITION BY qid) AS n_on, row_number() OVER (PARTITION BY qid, topic ORDER BY blended DESC, url) AS turn FROM tp),
-kept AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY NOT topic, blended DESC, url) AS place FROM fl WHERE topic OR turn <= 6 - n_on)"""
+fl AS (SELECT *, count(*) FILTER (topic) OVER (PARTITION BY qid) AS n_on, row_number() OVER (PARTITION BY qid, topic ORDER BY blended DESC, url COLLATE en, url) AS turn FROM tp),
+kept AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY NOT topic, blended DESC, url COLLATE en, url) AS place FROM fl WHERE topic OR turn <= 6 - n_on)"""
 
 
 @query(f"WITH {_POOL} SELECT qid AS question_id, place, url, found_by, round(rrf, 9) AS rrf, round(content, 6) AS content, blended, NOT topic AS readmitted FROM kept")
@@ -155,6 +155,17 @@ def hydration_ladder(spark, sf_dir):
     return questions.hydrate(pool, documents, rescues=3).select("question_id", "rank", "text_via", "text", "text_from")
 
 
+_SPELT = "CASE i % 4 WHEN 0 THEN n WHEN 1 THEN upper(n) WHEN 2 THEN replace(n, 'e', 'é') ELSE replace(n, 'i', 'Í') END"
+
+
+@query(f"WITH p AS (SELECT p_partkey AS i, coalesce(p_name, '') AS n FROM part), s AS (SELECT i % 25 AS pool, i, {_SPELT} AS name FROM p) SELECT pool, i, name, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pool ORDER BY name COLLATE en, name, i) AS INTEGER) AS pos FROM s) WHERE pos <= 12")
+def locale_order(spark, sf_dir):
+    """The first twelve names of each pool in a reader's order: accents and case do not part equal letters."""
+    rows = parts(spark, sf_dir).withColumn("n", F.coalesce("n", F.lit(""))).select((F.col("i") % 25).alias("pool"), "i", F.expr(_SPELT).alias("name"))
+    order = Window.partitionBy("pool").orderBy(*ranking.by_locale("name"), "i")
+    return rows.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= 12)
+
+
 # --- the cache and saved result pages -------------------------------------------------------------
 
 

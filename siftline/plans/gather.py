@@ -57,7 +57,7 @@ def gather(candidates: DataFrame, question: str, documents: DataFrame | None = N
     rows = rows.select("list_no", "pos", "url", "title", "text", meta.alias("meta"), identity_key(F.col("url"), F.col("doi"), F.col("arxiv_id")).alias("identity_key"))
     pool = fusion.fuse(rows, "identity_key").withColumnRenamed("score", "rrf")
     budget = (options.max_sources or limits["max_sources"]) + limits["overshoot"]
-    pool = pool.orderBy(F.desc("rrf"), "url").limit(budget)
+    pool = pool.orderBy(F.desc("rrf"), *ranking.by_locale("url")).limit(budget)
     pool = pool.select("*", F.col("meta")["snippet"].alias("snippet"), F.col("meta")["backend"].alias("backend"), F.col("meta")["year"].cast("int").alias("year"))
     if documents is not None:
         pool = hydrate(pool, documents)
@@ -65,7 +65,7 @@ def gather(candidates: DataFrame, question: str, documents: DataFrame | None = N
     content = ranking.bm25(pool, "identity_key", question, F.coalesce("title", F.lit("")), F.col("text")).withColumnRenamed("score", "content")
     seeded = in_domains(F.col("url"), list(options.seeds)) if options.seeds else None
     scored = ranking.blend(pool.join(content, "identity_key").withColumn("trust", ranking.trust(F.col("backend"), seeded)))
-    ranked = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("blended"), "url")))  # a pool within the budget
+    ranked = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("blended"), *ranking.by_locale("url"))))  # a pool within the budget
     kept = ranking.relevance_floor(ranked, query_tokens(question), limits["floor"], pos="place")
     kept = dedup.dedupe_near(kept.withColumn("fp", simhash(F.col("text"))), "fp", "place", F.length("text") >= dedup.MIN_CHARS)
     if options.diversify:

@@ -94,7 +94,7 @@ def pools(candidates: DataFrame, options: Options) -> DataFrame:
     kept = [F.col("meta")[n].alias(n) for n in names if n != "year"]
     pool = pool.select("key.question_id", "key.identity_key", "url", "title", "text", *kept, F.col("meta")["year"].cast("int").alias("year"), F.round("rrf", 12).alias("rrf"), "found_by")
     budget = (options.max_sources or limits["max_sources"]) + limits["overshoot"]
-    order = Window.partitionBy("question_id").orderBy(F.desc("rrf"), "url")
+    order = Window.partitionBy("question_id").orderBy(F.desc("rrf"), *ranking.by_locale("url"))
     return pool.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= budget)
 
 
@@ -161,7 +161,7 @@ def scored(pool: DataFrame, terms: DataFrame, options: Options) -> DataFrame:
     seeded = in_domains(F.col("url"), list(options.seeds)) if options.seeds else None
     rows = rows.join(content, ["question_id", "identity_key"]).withColumn("trust", ranking.trust(F.col("backend"), seeded))
     ranked = ranking.blend(rows, "question_id")
-    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("blended"), "url")))
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("blended"), *ranking.by_locale("url"))))
 
 
 def assemble(candidates: DataFrame, terms: DataFrame, documents: DataFrame, options: Options, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
