@@ -167,7 +167,8 @@ def title_from_text(text: Column) -> Column:
 
 
 def heading_lines(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda l: l.rlike(r"^#{1,6}\s")), "\n")
+    own = F.array_join(F.filter(F.split(text, "\n", -1), lambda l: l.rlike(r"^#{1,6}\s")), "\n")
+    return F.when(~text.contains("#"), "").otherwise(own)  # most texts have none, and are not split for it
 
 
 EXTRACT_CAPS = {"summary": 4000, "standard": 8000, "deep": None}
