@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_groups, materialise, text_batches
+from .shared import join_groups, materialise, materialise_few, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 3  # distinct seeds that a pattern needs before it is trusted
@@ -180,12 +180,12 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
 
     Joins know how many edges each pattern and value has, so a frequent one is not gathered in one task.
     """
-    edges = materialise(edges, "edges")
+    edges = materialise_few(edges, "edges")
     kinds = range(len(KINDS))
     seeds = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("seed") >= 0).cast("long")).alias("n_seeds"), *[F.sum((F.col("seed") == k).cast("long")).alias(f"n_seeds{k}") for k in kinds])
-    seeds = materialise(seeds.filter(F.greatest(*[f"n_seeds{k}" for k in kinds]) >= MIN_SEEDS), "patterns")
+    seeds = materialise_few(seeds.filter(F.greatest(*[f"n_seeds{k}" for k in kinds]) >= MIN_SEEDS), "patterns")
     unseen = edges.filter("seed < 0").select("pattern", "value")
-    degrees = materialise(unseen.groupBy("value").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    degrees = materialise_few(unseen.groupBy("value").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     scores = rated = None
     for _ in range(rounds):
         if scores is None:
@@ -194,11 +194,11 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
             gained = join_groups(unseen, scores, "value", "degree").groupBy("pattern").agg(*_by_kind("score", F.sum))
         rated = seeds.join(gained.toDF("pattern", *[f"gain{k}" for k in kinds]), "pattern", "left")
         rated = rated.select("pattern", "n", "n_seeds", *[_confidence(F.col(f"n_seeds{k}"), F.coalesce(F.col(f"gain{k}"), F.lit(0.0)), F.col("n"), F.col("n_seeds")).alias(f"score{k}") for k in kinds], *[f"n_seeds{k}" for k in kinds])
-        rated = materialise(rated, "rated")
+        rated = materialise_few(rated, "rated")
         trusted = rated.select("pattern", "n", *[F.when((F.col(f"score{k}") >= PATTERN_SCORE) & (F.col(f"n_seeds{k}") >= MIN_SEEDS), F.least(F.col(f"score{k}"), F.lit(0.95))).otherwise(0.0).alias(f"score{k}") for k in kinds])
         trusted = trusted.filter(F.greatest(*[f"score{k}" for k in kinds]) > 0)
         reached = join_groups(unseen, trusted, "pattern", "n").groupBy("value").agg(*_by_kind("score", lambda s: F.lit(1.0) - F.exp(F.sum(F.log1p(-s)))))
-        scores = materialise(reached.join(degrees, "value"), "instances")
+        scores = materialise_few(reached.join(degrees, "value"), "instances")
     best = F.array_max(F.array(*[F.struct(F.col(f"score{k}").alias("score"), F.lit(k).alias("kind")) for k in kinds]))
     return rated.drop("n", "n_seeds"), scores.select("value", best.alias("x")).filter(F.col("x.score") >= INSTANCE_SCORE).select("value", "x.kind", "x.score")
 
@@ -212,9 +212,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     edges = seen.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     _, found = score_graph(edges)
     counts = seen.filter("seed < 0").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    found = materialise(found.join(counts, "value"), "found")
+    found = materialise_few(found.join(counts, "value"), "found")
     extra = join_groups(seen.filter("seed < 0"), found, "value", "n").select("row", F.struct("start", F.col("kind").alias("rank"), "end").alias("s"))
     extra = extra.groupBy("row").agg(F.collect_list("s").alias("extra"))  # the spans of one text at most
+    extra = materialise_few(extra, "extra")  # where it is small, Spark sees it and leaves the texts' rows where they are
     out = rows.select("row", "doc_id", "base").join(extra, "row", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
     return out.select("doc_id", "base", spans.alias("spans"))

@@ -6,6 +6,7 @@ import textwrap
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftline.llm import decontam, licenses, lm, pii, quality, secrets
+from siftline.llm import decontam, licenses, lm, pii, quality, secrets, shared
 from siftline.llm.bytesops import ALNUM, LOWER, NONSPACE, segment, span_hashes, text_chunks
 
 from .helpers import PASSAGE, ROWS, documents, lower, spaced, tuples
@@ -275,6 +276,25 @@ def test_a_hot_value_and_very_long_tokens(spark):
     assert all(found[100 + i] == [(a, 3, a + 13)] for i in range(200)) and found[500] == found[501] == found[502] == []
 
 
+def test_tables_of_rounds_have_few_files(spark, monkeypatch):
+    rows, _ = labelled_texts()
+    paths, write = [], shared.write_rows
+    monkeypatch.setattr(shared, "write_rows", lambda df, path: (paths.append(path), write(df, path))[1])
+    monkeypatch.setattr(shared, "ROWS_A_FILE", 1000, raising=False)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = pii.find_personal_data(documents(spark, rows)).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(len(r.spans) > len(r.base) for r in found) > 100
+    small = [p.removeprefix("file://") for p in paths if "-pii-" not in p]
+    sizes = [(len(list(Path(p).glob("part-*"))), spark.read.parquet(p).count()) for p in small]
+    assert len(sizes) >= 10 and all(files <= -(-n // 1000) or files == 1 for files, n in sizes) and max(files for files, _ in sizes) > 1, sizes
+
+
 def test_personal_data_of_all_rows(spark):
     found = pii.find_personal_data(documents(spark)).collect()
     assert len(found) == len(ROWS)
