@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .bytesops import LOWER, NONSPACE, U64, mix, segment, text_chunks
-from .shared import materialise, text_batches
+from .shared import give_back, materialise, text_batches
 
 ADD = 0.1
 MU = 200.0
@@ -201,6 +201,8 @@ def _count(sizes: Sizes):
                     yield from rows(kind, counter)
         for kind, counter in enumerate(counters):
             yield from rows(kind, counter)
+        del counters
+        give_back()
 
     return run
 
@@ -379,6 +381,7 @@ def _ask(sizes: Sizes, parts: int):
             rows.append((number, TEXTS, dealt % (1 << sizes.bits), 0, None, data))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _ASKED_TYPES.values(), strict=True)], names=list(_ASKED_TYPES))
             number += 1
+        give_back()
 
     return run
 
@@ -427,7 +430,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     stored = model.blocks.select("kind", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "hashes", "body")
     keys = ["kind", "block", "part"]
     answers = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(_answer(model.sizes), _ASKED)
-    return answers.groupBy("piece").applyInArrow(_finish(model.sizes, model.weights), _RESULT)
+    found = answers.groupBy("piece").applyInArrow(_finish(model.sizes, model.weights), _RESULT)
+    return found.repartition("doc_id")  # scores are few bytes beside the pieces: dealt anew, they are written in few files
 
 
 def held_out(doc_id: Column) -> Column:

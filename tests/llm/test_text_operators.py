@@ -668,6 +668,25 @@ def test_more_is_scored_than_was_learnt(spark, monkeypatch):
     assert [r[:3] for r in held] == [r[:3] for r in dealt] and np.allclose([r[3:] for r in held], [r[3:] for r in dealt])
 
 
+def test_scores_of_many_pieces_are_few_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 1 << 12)
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", 0)
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16384", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16384"}
+    held = {k: spark.conf.get(k, None) for k in own}
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(2000))) for i in range(60)]
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        lm.score_documents(documents(spark, rows)).write.parquet(str(tmp_path / "scores"))
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(list((tmp_path / "scores").glob("part-*"))) <= 2
+    assert spark.read.parquet(str(tmp_path / "scores")).count() == len(rows)
+
+
 def test_filter_has_all_pairs_and_few_others():
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(0, 1 << 48, 20000).astype(np.uint64))
