@@ -33,7 +33,8 @@ SHARD_IDS = 1 << 20
 RULES_A_ROUND = 1 << 14
 LEAST = 4  # a pair that occurs less often is no rule
 MOST_PARTS = 600_000
-CHUNK = 1 << 20  # bytes of text that are encoded at once; a shard ends behind such a chunk
+CHUNK = 1 << 20  # bytes of text; a shard ends behind such a chunk
+BLOCK = 4 << 20  # bytes of text whose distinct parts are looked up at once: those of a whole batch
 _SLOTS = 20
 
 SHARD_SCHEMA = "part int, shard int, n_tokens long, doc_ids array<long>, doc_tokens array<int>, doc_symbols array<int>, rules binary, rule_lengths binary, symbols binary"
@@ -64,7 +65,8 @@ def _frequent(a: np.ndarray, b: np.ndarray, borders: np.ndarray, least: int) ->
     number = number[hits]
     first = np.zeros(len(own), np.int64)
     first[number[::-1]] = hits[::-1]
-    same = (a[hits] == a[first[number]]) & (b[hits] == b[first[number]])
+    pairs = (a.astype(np.int64) << 32) | b
+    same = pairs[hits] == pairs[first][number]
     hits, number = hits[same], number[same]
     often = np.bincount(number, minlength=len(own))
     keep = often >= least
@@ -98,8 +100,9 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[n
         hits = np.zeros(0, np.int64)
         if newest:
             new = seq >= newest
-            places = np.flatnonzero(new[:-1] | new[1:])
-            hits, rule, first = _frequent_among(a, b, places[~np.isin(places, borders)], least)
+            near = new[:-1] | new[1:]
+            near[borders] = False
+            hits, rule, first = _frequent_among(a, b, np.flatnonzero(near), least)
         elif not exact:
             hits, rule, first, whole = _frequent(a, b, borders, least)
         if not len(hits) and not exact:  # frequent pairs that stood behind rare ones in their slots
@@ -117,7 +120,6 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[n
         newest = FIRST_RULE + len(rules) if whole else 0
         stay = np.ones(len(seq), dtype=bool)
         stay[hits + 1] = False
-        seq = seq.copy()
         seq[hits] = FIRST_RULE + len(rules) + rule
         seq = seq[stay]
         starts = starts - np.searchsorted(hits + 1, starts)
@@ -138,8 +140,11 @@ def _expansions(rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     flat = (FIRST_RULE + np.arange(len(rules))).astype(np.int32)
     while len(high := np.flatnonzero(flat >= FIRST_RULE)):
         pairs = rules[flat[high] - FIRST_RULE]
-        flat[high] = pairs[:, 0]
-        flat = np.insert(flat, high + 1, pairs[:, 1])
+        width = np.ones(len(flat), np.int8)
+        width[high] = 2
+        flat = np.repeat(flat, width)
+        at = high + np.arange(len(high))  # each pair before has made one place more
+        flat[at], flat[at + 1] = pairs[:, 0], pairs[:, 1]
     return flat, np.cumsum(lengths) - lengths
 
 
@@ -204,7 +209,7 @@ def _build(vocabulary: str, end: int, shard_ids: int):
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("doc_symbols", pa.list_(pa.int32())), ("rules", pa.binary()), ("rule_lengths", pa.binary()), ("symbols", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, encode = TaskContext.get().partitionId(), 0, encoder(vocabulary, MOST_PARTS).encode
+        part, shard, encode = TaskContext.get().partitionId(), 0, encoder(vocabulary, MOST_PARTS, BLOCK).encode
         keys: list = []
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -220,13 +225,16 @@ def _build(vocabulary: str, end: int, shard_ids: int):
 
         held = 0
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            for lo, hi, buf, offsets in text_chunks(batch.column(1), CHUNK):
-                got, at = encode(buf, offsets, end)
+            if not batch.num_rows:
+                continue
+            own, texts = batch.column(0).to_pylist(), batch.column(1)
+            ((_, _, buf, offsets),) = text_chunks(texts, 1 << 62)
+            got, at = encode(buf, offsets, end)
+            for lo, hi, _, _ in text_chunks(texts, CHUNK):
                 keys += own[lo:hi]
-                ids.append(got)
-                sizes.append(np.diff(at))
-                held += len(got)
+                ids.append(got[at[lo] : at[hi]])
+                sizes.append(np.diff(at[lo : hi + 1]))
+                held += len(ids[-1])
                 if held >= shard_ids:
                     yield flush()
                     held = 0

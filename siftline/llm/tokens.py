@@ -96,7 +96,7 @@ _BYTE_CHARACTERS = _byte_characters()
 
 class Encoder:
     def __init__(self, path: str, most_parts: int):
-        self.most_parts = most_parts
+        self.most_parts, self.block = most_parts, BLOCK
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -184,7 +184,7 @@ class Encoder:
 
     def _ids_in_parts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of each text's ids. Blocks end at cuts, so a long text needs no more room than many short ones."""
-        out, sizes, lo, reach = [], np.zeros(len(offsets) - 1, np.int64), 0, BLOCK
+        out, sizes, lo, reach = [], np.zeros(len(offsets) - 1, np.int64), 0, self.block
         while lo < len(buf):
             hi = min(len(buf), lo + reach)
             back = min(lo, 3)
@@ -199,7 +199,7 @@ class Encoder:
                     continue
             else:
                 bounds = np.append(bounds, hi)
-            bounds, end, reach = np.concatenate([[lo], bounds]), int(bounds[-1]), BLOCK
+            bounds, end, reach = np.concatenate([[lo], bounds]), int(bounds[-1]), self.block
             ids, lengths = self._ids_of_block(buf[lo:end], bounds - lo)
             text = np.searchsorted(offsets, bounds[:-1], "right") - 1
             first = np.flatnonzero(np.diff(text, prepend=-1))
@@ -227,11 +227,11 @@ class Encoder:
         return out, np.concatenate([[0], closing + 1])
 
 
-def encoder(path: str, most_parts: int = MOST_PARTS) -> Encoder:
+def encoder(path: str, most_parts: int = MOST_PARTS, block: int | None = None) -> Encoder:
     """One encoder for each worker process and vocabulary file; some 300 bytes for each part that it remembers."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path, most_parts)
-    _LOADED[path].most_parts = most_parts
+    _LOADED[path].most_parts, _LOADED[path].block = most_parts, block or BLOCK
     return _LOADED[path]
 
 

@@ -112,6 +112,20 @@ def test_token_files(spark):
     assert {r.doc_id: r.ids for r in repair.read_documents(spark, path, [4, -3]).collect()} == {4: ids_of("Hello World", 2), -3: ids_of(dict(ROWS)[-3], 2)}
 
 
+def test_distinct_parts_of_a_batch_are_looked_up_once(monkeypatch):
+    random.seed(8)
+    texts = [" ".join(random.choice(["same", "words", "again", f"n{i}"]) for _ in range(30)) for i in range(200)] + [None]
+    asked, own = [], tokens.Encoder._ids_of_block
+    monkeypatch.setattr(tokens.Encoder, "_ids_of_block", lambda self, *a: (asked.append(len(a[1])), own(self, *a))[1])
+    monkeypatch.setattr(repair, "CHUNK", 1 << 10)
+    monkeypatch.setattr(repair, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    batches = [pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])]
+    rows = [r for b in repair._build(default_vocabulary(), 2, 1000)(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+    assert len(asked) == 1 and len(rows) > 5  # shards still end behind chunks
+    got = [s.document(k).tolist() for r in rows for s in [repair.Shard(r["doc_symbols"], r["rules"], r["rule_lengths"], r["symbols"])] for k in range(len(r["doc_ids"]))]
+    assert got == [ids_of(t, 2) for t in texts] and sum(r["n_tokens"] for r in rows) == sum(map(len, got))
+
+
 def test_no_documents(spark):
     empty = documents(spark, [])
     assert repair.token_files(empty).collect() == []
