@@ -23,7 +23,7 @@ def asked(spark, sf_dir) -> DataFrame:
 
 
 def page_documents(spark, sf_dir) -> DataFrame:
-    return dedup._cut(gather.corpus(table(spark, sf_dir, "pages").select("url", "html")))
+    return dedup._cut(gather.corpus(table(spark, sf_dir, "pages").select("url", "html", F.col("page_id").alias("pos"))))
 
 
 def _first_pass(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -28,10 +28,11 @@ class Options:
 
 
 def corpus(pages: DataFrame) -> DataFrame:
-    """Pages (url, html) as documents (url, title, text of the main region, junk); hydrating candidates is a join with it."""
-    rows = pages.select("url", "html", main_html(F.col("html")).alias("main"))
-    rows = rows.select("url", html_to_text(F.col("main")).alias("text"), html_title(F.col("html")).alias("html_title"))
-    return rows.select("url", F.coalesce("html_title", title_from_text(F.col("text"))).alias("title"), "text", junk_reason(F.col("text")).alias("junk"))
+    """Pages (url, html and, where known, pos) as documents (url, title, text of the main region, junk, pos); hydrating candidates is a join with it."""
+    place = [c for c in pages.columns if c == "pos"]
+    rows = pages.select("url", "html", *place, main_html(F.col("html")).alias("main"))
+    rows = rows.select("url", *place, html_to_text(F.col("main")).alias("text"), html_title(F.col("html")).alias("html_title"))
+    return rows.select("url", F.coalesce("html_title", title_from_text(F.col("text"))).alias("title"), "text", junk_reason(F.col("text")).alias("junk"), *place)
 
 
 def hydrate(candidates: DataFrame, documents: DataFrame) -> DataFrame:

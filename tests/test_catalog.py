@@ -43,6 +43,26 @@ def test_query_against_sql(spark, small, duck, name):
     assert mine == theirs
 
 
+def test_gathering_from_addresses_with_several_pages(spark, small, tmp_path):
+    """Every third address has a second page of the same title: other words, or a wall."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE p AS SELECT * FROM '{small}/pages.parquet'")
+    title, main = "regexp_extract(html, '(?s)<title>.*?</title>')", "'<article><p>' || coalesce(CASE WHEN page_id % 2 = 0 THEN next ELSE 'We use cookies' END, '') || '</p></article>'"
+    con.sql(f"CREATE TABLE pages AS SELECT * FROM p UNION ALL SELECT page_id + 1000, url, {title} || {main} FROM (SELECT *, lead(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1) OVER (ORDER BY page_id) AS next FROM p) WHERE page_id % 3 = 0")
+    con.sql(f"COPY (FROM pages ORDER BY page_id) TO '{tmp_path}/pages.parquet'")
+    con.sql(f"COPY (FROM '{small}/benchmark.parquet') TO '{tmp_path}/benchmark.parquet'")
+    con.sql(f"CREATE VIEW benchmark AS FROM '{tmp_path}/benchmark.parquet'")
+    for name in ("gather_questions", "question_gaps"):
+        got, want = entry.queries()[name](spark, str(tmp_path)), con.sql(entry.oracle_sql()[name])
+        columns = sorted(got.columns)
+        mine = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)
+        assert mine == sorted((tuple(plain(v) for v in r) for r in want.select(", ".join(columns)).fetchall()), key=repr)
+    found = entry.queries()["gather_rounds"](spark, str(tmp_path)).select("question_id", "url").collect()
+    assert found and len(found) == len(set(found))
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(spark, small, name):
     assert entry.queries()[name](spark, small).collect() is not None
