@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,29 +119,75 @@ def probes(rows: DataFrame, group: str, size: int, *order: Column) -> DataFrame:
     return both.withColumns({"probe": F.floor(at / size).cast("int"), "pos": (at % size + 1).cast("int")}).drop("__place", "__head")
 
 
+_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_DIGITS = 18  # of a number that fits 64 bits
+
+
+def _key_base() -> Column:
+    """The citation key of a source as long as no other has it: surname, year, first word of more than three letters; the id where these are missing."""
+
+    def words(x: str) -> Column:
+        return F.filter(F.split(F.coalesce(x, F.lit("")), _SPACE), lambda w: w != "")
+
+    def plain(w: Column) -> Column:
+        return F.regexp_replace(F.lower(w), "[^a-z0-9]", "")
+
+    names, number = words("author"), F.col("year").try_cast("double")
+    author = F.coalesce(plain(F.get(names, F.size(names) - 1)), F.lower("id"))
+    year = F.when(~F.isnan(number) & (number != 0), F.col("year").try_cast("long").cast("string"))
+    word = F.get(F.filter(F.transform(words("title"), plain), lambda w: F.length(w) > 3), F.lit(0))
+    base = F.concat(F.coalesce(author, F.lit("")), F.coalesce(year, F.lit("")), F.coalesce(word, F.lit("")))
+    return F.when(base != "", base).otherwise(F.coalesce(F.lower("id"), F.lit("")))
+
+
+def _meeting(bases: DataFrame) -> DataFrame:
+    """__run, base of the bases whose numbered keys may meet: one is another with a number behind it that the rows of their family (equal without
+    digits at the end) can reach, and some base of the family needs numbers. ``bases`` has __run, base and n, its rows.
+    """
+    own = bases.select("__run", "base", "n", F.regexp_replace("base", r"[0-9]+\z", "").alias("root"))
+    families = own.groupBy("__run", "root").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("bases"), F.max("n").alias("most"))
+    some = own.join(families.filter("bases > 1 and most > 1").select("__run", "root", "rows"), ["__run", "root"])
+    length = F.length("base")
+    heads = F.when(length > F.length("root"), F.sequence(F.greatest(F.length("root"), length - _DIGITS), length - 1))
+    parted = some.select("__run", "base", "rows", F.explode(heads).alias("at"))
+    tail = F.col("base").substr(F.col("at") + 1, F.lit(_DIGITS))
+    parted = parted.filter(~tail.startswith("0") & (tail.cast("long") <= F.col("rows"))).select("__run", "base", F.col("base").substr(F.lit(1), F.col("at")).alias("shorter"))
+    pairs = parted.join(some.select("__run", F.col("base").alias("shorter")), ["__run", "shorter"])
+    return pairs.select("__run", F.explode(F.array("base", "shorter")).alias("base")).distinct()
+
+
 def bibliography_keys(sources: DataFrame, group: str) -> DataFrame:
     """Unique citation keys for the scholarly sources of each run, in the order of ``pos``; later keys get a number.
 
-    A suffix may meet another key, so keys of one base depend on each other: a run's sources are one task.
+    A base whose keys meet no others has its sources numbered by their places, by ranges and offsets, so a run or a base may have any size.
+    A suffix may meet another key: bases with such keys depend on each other, and those of one family are one task, in time
+    proportional to its sources.
     """
 
     def keys(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pos", "id"])
         used: set[str] = set()
+        ahead: dict[str, int] = {}  # smaller numbers of the base are taken
         out = []
-        for r in rows.sort_values("pos").itertuples():
-            author = re.sub("[^a-z0-9]", "", (r.author or "").split()[-1].lower()) if (r.author or "").split() else r.id.lower()
-            word = next((re.sub("[^a-z0-9]", "", w.lower()) for w in (r.title or "").split() if len(re.sub("[^a-z0-9]", "", w.lower())) > 3), "")
-            year = "" if pd.isna(r.year) or not r.year else str(int(r.year))
-            base = f"{author}{year}{word}" or r.id.lower()
-            key, n = base, 2
+        for base in rows["base"]:
+            key, n = base, ahead.get(base, 2)
             while key in used:
                 key, n = f"{base}{n}", n + 1
             used.add(key)
+            ahead[base] = n
             out.append(key)
-        return rows.sort_values("pos").assign(key=out)[[group, "id", "key"]]
+        return rows.assign(key=out)[[group, "id", "key"]]
 
     kinds = dict(sources.dtypes)
-    return sources.groupBy(group).applyInPandas(keys, f"{group} {kinds[group]}, id string, key string")
+    rows = sources.select(group, "id", "pos", _key_base().alias("base"))
+    placed = _cut(_placed(rows, F.asc(group), F.asc("base"), F.asc_nulls_last("pos"), F.asc("id"))).withColumn("__run", F.struct(group))
+    bases = placed.groupBy("__run", "base").agg(F.min("__place").alias("first"), F.count(F.lit(1)).alias("n"))
+    meeting = _cut(_meeting(bases))
+    alone = placed.join(bases.join(meeting, ["__run", "base"], "left_anti"), ["__run", "base"])
+    n = F.col("__place") - F.col("first") + 1
+    numbered = alone.select(group, "id", F.when(n == 1, F.col("base")).otherwise(F.concat("base", n.cast("string"))).alias("key"))
+    others = placed.join(meeting, ["__run", "base"], "left_semi").select(group, "id", "pos", "base", F.regexp_replace("base", r"[0-9]+\z", "").alias("root"))
+    return numbered.unionByName(others.groupBy(group, "root").applyInPandas(keys, f"{group} {kinds[group]}, id string, key string"))
 
 
 def bibtex(title: Column, key: Column, authors: Column, year: Column, doi: Column, url: Column) -> Column:

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -211,6 +213,45 @@ def test_hygiene_and_bibliography(spark):
     assert rows(sources_table.bibliography_keys(b, "run"), "id", "key") == [("S1", "lee2020deep"), ("S2", "lee2020deep2"), ("S3", "s3")]
 
 
+def keys_one_by_one(sources):
+    """The keys of a run's sources (id, author, title, year) in order."""
+    used, out = set(), {}
+    for id_, author, title, year in sources:
+        names = (author or "").split()
+        own = re.sub("[^a-z0-9]", "", names[-1].lower()) if names else id_.lower()
+        words = [re.sub("[^a-z0-9]", "", w.lower()) for w in (title or "").split()]
+        base = own + (str(year) if year else "") + next((w for w in words if len(w) > 3), "") or id_.lower()
+        key, n = base, 2
+        while key in used:
+            key, n = f"{base}{n}", n + 1
+        used.add(key)
+        out[id_] = key
+    return out
+
+
+KEYS = "run int, id string, pos int, author string, title string, year int"
+
+
+def test_citation_keys_that_meet(spark):
+    rng = random.Random(8)
+    authors = ["Ann Lee", "Lee 2", "lee2", "Lee\u00a02", "Lee 21", "Lee02", "M. M\u00fcller", "\u674e", " ", None, "S1", "x 12", "x 1", "x"]
+    titles = [None, "On a", "Deep nets", "deep2 nets", "Deep\u20032 things", "deep12", "22222", "(Deep)"]
+    data = [(run, f"S{k}", k, rng.choice(authors), rng.choice(titles), rng.choice([None, 0, 2, 2020])) for run in (1, 2, None) for k in range(rng.choice([90, 250]))]
+    data += [(3, f"S{k}", k, None, None, None) for k in range(60)] + [(4, f"S{k}", k, "x" if k % 3 else "x 1", "none", 2) for k in range(40)] + [(5, f"S{k}", 40 - k, "x" if k % 3 else "x 1", None, None) for k in range(40)]
+    got = {(r.run, r.id): r.key for r in sources_table.bibliography_keys(spark.createDataFrame(rng.sample(data, len(data)), KEYS).repartition(5), "run").collect()}
+    want = {(run, id_): key for run in (1, 2, 3, 4, 5, None) for id_, key in keys_one_by_one([(r[1], *r[3:]) for r in sorted((r for r in data if r[0] == run), key=lambda r: r[2])]).items()}
+    assert got == want and len({(run, key) for (run, _), key in got.items()}) == len(data)
+
+
+def test_citation_keys_of_a_large_run_in_proportion(spark):
+    """80,000 sources of one base and 80,000 of bases that meet: a search from the first number for each takes minutes."""
+    rows = spark.range(160000).selectExpr("cast(id % 2 as int) AS run", "'S' || id AS id", "cast(id AS int) AS pos", "CASE WHEN id % 4 = 1 THEN 'Lee2' ELSE 'Lee' END AS author", "'On' AS title", "cast(null AS int) AS year")
+    begun = time.time()
+    got = sources_table.bibliography_keys(rows, "run").groupBy("run").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"), F.max(F.length("key")).alias("longest"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 80000, 80000, 8), (1, 80000, 80000, 9)]
+    assert time.time() - begun < 90
+
+
 def test_probes_hold_every_row_in_order(spark):
     data = [("hot", k) for k in range(205)] + [("cold", k) for k in range(3)] + [(None, k) for k in range(12)]
     df = spark.createDataFrame(data, "g string, id long").repartition(5)
